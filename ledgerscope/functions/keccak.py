@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -79,7 +80,7 @@ def keccak256_single_block(messages: np.ndarray) -> np.ndarray:
     return digest.astype("<u8").view(np.uint8).reshape(rows, 32)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _checksum(keys: pd.Series) -> pd.Series:
     """Checksum form of lower-case '0x' addresses."""
     if len(keys) == 0:

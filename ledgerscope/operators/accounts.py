@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import scalars as S
-from ledgerscope.operators.touches import touches
+from ledgerscope.operators.touches import distinct_touches, touches
 
-IS_OUT = F.col("direction") == "out"
-IS_IN = F.col("direction") == "in"
+ACCOUNT = ["address", "balance", "is_contract", "first_seen", "last_seen"]
+ACTIVITY = ["sent_count", "received_count", "total_count", "total_sent", "total_received"]
+
+
+def is_out() -> Column:
+    return F.col("direction") == "out"
+
+
+def is_in() -> Column:
+    return F.col("direction") == "in"
 
 
 def amount_text(amount: Column) -> Column:
@@ -17,29 +25,48 @@ def amount_text(amount: Column) -> Column:
     return F.coalesce(amount, F.lit(0).cast("decimal(38,0)")).cast("string")
 
 
-def build_accounts(transactions: DataFrame, bytecode: DataFrame) -> DataFrame:
-    """One row per participating address; contracts are called addresses that have code."""
-    called = IS_IN & (F.col("payload") > 0)
+def account_activity(transactions: DataFrame, bytecode: DataFrame) -> DataFrame:
+    """Every participating address with its times, counts and exact amounts.
+
+    One scan and one shuffle answer both what an account is and what it did;
+    aggregates that a caller does not select are pruned from the plan. Contracts
+    are called addresses that have code.
+    """
+    called = is_in() & (F.col("payload") > 0)
     sized = transactions.withColumn("payload", S.octets(F.col("data")))
     seen = (
-        touches(sized, "timestamp", "payload")
+        touches(sized, "timestamp", "payload", "value")
         .groupBy("address")
         .agg(
             F.min("timestamp").alias("first_seen"),
             F.max("timestamp").alias("last_seen"),
             F.bool_or(called).alias("called"),
+            F.count_if(is_out()).alias("sent_count"),
+            F.count_if(is_in()).alias("received_count"),
+            F.count("*").alias("total_count"),
+            F.sum(F.when(is_out(), F.col("value"))).alias("sent_value"),
+            F.sum(F.when(is_in(), F.col("value"))).alias("received_value"),
         )
     )
-    coded = bytecode.filter(S.octets(F.col("bytecode")) > 0).select("address", F.lit(True).alias("coded"))
+    coded = bytecode.filter("has_code").select("address", F.lit(True).alias("coded"))
     return seen.join(coded, "address", "left").select(
         "address",
         F.lit(0).cast("decimal(38,0)").alias("balance"),
         (F.col("called") & F.coalesce("coded", F.lit(False))).alias("is_contract"),
         "first_seen",
         "last_seen",
+        "sent_count",
+        "received_count",
+        "total_count",
+        amount_text(F.col("sent_value")).alias("total_sent"),
+        amount_text(F.col("received_value")).alias("total_received"),
     )
 
 
+def build_accounts(transactions: DataFrame, bytecode: DataFrame) -> DataFrame:
+    return account_activity(transactions, bytecode).select(*ACCOUNT)
+
+
 def merge_accounts(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Fold a batch of accounts into the stored ones; being a contract is never undone."""
     return (
@@ -60,48 +87,17 @@ def account_lookup(accounts: DataFrame, keys: DataFrame) -> DataFrame:
     return accounts.join(wanted, "address", "left_semi")
 
 
-def activity(transactions: DataFrame) -> DataFrame:
-    """Sent and received counts and exact amounts per address."""
-    return (
-        touches(transactions, "value")
-        .groupBy("address")
-        .agg(
-            F.count_if(IS_OUT).alias("sent_count"),
-            F.count_if(IS_IN).alias("received_count"),
-            F.count("*").alias("total_count"),
-            F.sum(F.when(IS_OUT, F.col("value"))).alias("sent_value"),
-            F.sum(F.when(IS_IN, F.col("value"))).alias("received_value"),
-        )
-    )
-
-
-def address_activity(transactions: DataFrame) -> DataFrame:
-    return activity(transactions).select(
-        "address",
-        "sent_count",
-        "received_count",
-        "total_count",
-        amount_text(F.col("sent_value")).alias("total_sent"),
-        amount_text(F.col("received_value")).alias("total_received"),
-    )
+def address_activity(account_activity: DataFrame) -> DataFrame:
+    """Sent and received counts and amounts per address."""
+    return account_activity.select("address", *ACTIVITY)
 
 
-def top_addresses(transactions: DataFrame, accounts: DataFrame, limit: int | None = None) -> DataFrame:
+def top_addresses(account_activity: DataFrame, limit: int | None = None) -> DataFrame:
     """The most active addresses: most transfers, then latest seen."""
     n = S.clamp_limit(limit, 20, 100)
     return (
-        accounts.join(address_activity(transactions), "address")
-        .select(
-            "address",
-            "is_contract",
-            "first_seen",
-            "last_seen",
-            "sent_count",
-            "received_count",
-            "total_count",
-            "total_sent",
-            "total_received",
-        )
+        account_activity.select("address", "is_contract", "first_seen", "last_seen", *ACTIVITY)
+        .filter("total_count > 0")
         .orderBy(F.desc("total_count"), F.desc_nulls_first("last_seen"), "address")
         .limit(n)
     )
@@ -126,8 +122,8 @@ def counterparties(transactions: DataFrame, limit: int | None = None) -> DataFra
         .filter(F.col("counterparty").isNotNull())
         .groupBy("address", "counterparty")
         .agg(
-            F.count_if(IS_OUT).alias("sent_count"),
-            F.count_if(IS_IN).alias("received_count"),
+            F.count_if(is_out()).alias("sent_count"),
+            F.count_if(is_in()).alias("received_count"),
             F.count("*").alias("total_count"),
             F.sum("value").alias("total_value"),
             F.max("timestamp").alias("last_seen"),
@@ -141,8 +137,6 @@ def counterparties(transactions: DataFrame, limit: int | None = None) -> DataFra
 
 def recent_for_accounts(transactions: DataFrame, limit: int | None = None, *keep: str) -> DataFrame:
     """Per address, its latest transactions; a transfer to oneself appears once."""
-    from ledgerscope.operators.touches import distinct_touches
-
     n = S.clamp_limit(limit, 8, 50)
     rows = distinct_touches(transactions, "hash", "timestamp", *keep)
     order = Window.partitionBy("address").orderBy(F.desc_nulls_first("timestamp"), "hash")
@@ -157,11 +151,11 @@ def address_velocity(transactions: DataFrame, as_of, bucket: str | None = None,
         touches(recent, "value", "timestamp")
         .groupBy("address", F.date_trunc(unit, "timestamp").alias("bucket"))
         .agg(
-            F.count_if(IS_OUT).alias("sent_count"),
-            F.count_if(IS_IN).alias("received_count"),
+            F.count_if(is_out()).alias("sent_count"),
+            F.count_if(is_in()).alias("received_count"),
             F.count("*").alias("total_count"),
-            amount_text(F.sum(F.when(IS_OUT, F.col("value")))).alias("sent_value"),
-            amount_text(F.sum(F.when(IS_IN, F.col("value")))).alias("received_value"),
+            amount_text(F.sum(F.when(is_out(), F.col("value")))).alias("sent_value"),
+            amount_text(F.sum(F.when(is_in(), F.col("value")))).alias("received_value"),
             amount_text(F.sum("value")).alias("total_value"),
         )
     )

@@ -192,7 +192,7 @@ def recent_window(transactions: DataFrame, as_of, hours: int) -> DataFrame:
 
 def contract_calls(transactions: DataFrame, bytecode: DataFrame) -> DataFrame:
     """Transactions that call an address with code."""
-    coded = bytecode.filter(S.octets(F.col("bytecode")) > 0).select(
+    coded = bytecode.filter("has_code").select(
         F.col("address").alias("to_address"), F.octet_length("bytecode").alias("bytecode_size")
     )
     calls = transactions.filter(F.col("to_address").isNotNull() & (S.octets(F.col("data")) > 0))

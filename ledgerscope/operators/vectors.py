@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import scalars as S
 from ledgerscope.functions.fingerprint import bytecode_embedding
-from ledgerscope.operators.accounts import IS_IN, IS_OUT
+from ledgerscope.operators.accounts import is_in, is_out
 from ledgerscope.operators.knn import nearest_neighbours
 from ledgerscope.operators.labels import address_risk, join_labels, label_columns
 from ledgerscope.operators.touches import distinct_touches
@@ -42,8 +42,7 @@ def latest_bytecode(observations: DataFrame) -> DataFrame:
 
 def contract_vectors(bytecode: DataFrame) -> DataFrame:
     """Stored contracts: code, fingerprint, not flagged yet."""
-    coded = bytecode.filter(S.octets(F.col("bytecode")) > 0)
-    return coded.select(
+    return bytecode.filter("has_code").select(
         "address", "bytecode", bytecode_embedding(F.col("bytecode")).alias("embedding"), F.lit(False).alias("flagged")
     )
 
@@ -94,19 +93,19 @@ def behavior_stats(transactions: DataFrame, as_of) -> DataFrame:
 
     def mean_sent(name: str) -> Column:
         # Exact decimal sums, divided once at the end.
-        total = F.sum(F.when(IS_OUT, F.col(name))).cast("double")
-        count = F.count(F.when(IS_OUT, F.col(name)))
+        total = F.sum(F.when(is_out(), F.col(name))).cast("double")
+        count = F.count(F.when(is_out(), F.col(name)))
         return F.coalesce(total / F.nullif(count, F.lit(0)), F.lit(0.0))
 
     since = lambda hours: F.col("timestamp") >= F.lit(as_of) - F.expr(f"INTERVAL {hours} HOURS")
     micros = F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))
     return rows.groupBy("address").agg(
-        F.count_if(IS_OUT).alias("sent_count"),
-        F.count_if(IS_IN).alias("received_count"),
+        F.count_if(is_out()).alias("sent_count"),
+        F.count_if(is_in()).alias("received_count"),
         mean_sent("value").alias("avg_sent_value"),
         mean_sent("gas_price").alias("avg_gas_price"),
         F.count_distinct("counterparty").alias("unique_counterparties"),
-        share(IS_OUT & (F.col("payload") > 0)).alias("contract_call_ratio"),
+        share(is_out() & (F.col("payload") > 0)).alias("contract_call_ratio"),
         F.count_if(since(1)).alias("recent_one_hour"),
         F.count_if(since(24)).alias("recent_twenty_four_hours"),
         share(F.hour("timestamp") <= 5).alias("night_ratio"),

@@ -253,7 +253,7 @@ def risk_flags_first(ledger):
 
 @on_ledger
 def address_activity(ledger):
-    return A.address_activity(ledger.transactions)
+    return A.address_activity(ledger.account_activity)
 
 
 @on_ledger
@@ -319,7 +319,7 @@ def enrichment_status(ledger):
 
 @on_ledger
 def top_addresses(ledger):
-    return A.top_addresses(ledger.transactions, ledger.accounts, 20)
+    return A.top_addresses(ledger.account_activity, 20)
 
 
 @on_ledger
@@ -458,7 +458,7 @@ def compact_count(ledger):
 def percent_format(ledger):
     total = F.col("sent_count") + F.col("received_count")
     sent_share = F.when(F.col("received_count") > 0, F.round(F.col("sent_count") / total, 4))
-    return A.activity(ledger.transactions).select(
+    return ledger.account_activity.select(
         "address", S.format_percent(sent_share).alias("percent"), S.format_similarity(sent_share).alias("similarity")
     )
 
@@ -609,7 +609,7 @@ def merge_duplicate_edges(spark, sf_dir):
 
 @on_ledger
 def bytecode_fingerprints(ledger):
-    rows = ledger.bytecode.filter(S.octets(F.col("bytecode")) > 0)
+    rows = ledger.bytecode.filter("has_code")
     return rows.select("address", _micro_units(bytecode_embedding(F.col("bytecode"))))
 
 
@@ -725,7 +725,7 @@ def stream_network_metrics(spark, sf_dir):
 
 def _stored_contracts(ledger: Ledger) -> DataFrame:
     """Stored code with marks, without computing fingerprints that are not shown."""
-    coded = ledger.bytecode.filter(S.octets(F.col("bytecode")) > 0).withColumn("flagged", F.lit(False))
+    coded = ledger.bytecode.filter("has_code").withColumn("flagged", F.lit(False))
     return D.mark_flagged(coded, ledger.flags)
 
 

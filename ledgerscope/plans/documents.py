@@ -47,10 +47,9 @@ def counterparty_total(ledger: Ledger) -> DataFrame:
 
 def profile_summary(ledger: Ledger) -> DataFrame:
     """The flat part of an account profile, for every account."""
-    activity = A.activity(ledger.transactions)
     flagged = flag_counts(ledger.flags)
     joined = join_labels(
-        ledger.accounts.join(activity, "address", "left").join(flagged.drop("flag_risk"), "address", "left"),
+        ledger.account_activity.join(flagged.drop("flag_risk"), "address", "left"),
         ledger.entities,
         flagged.select("address", "flag_risk"),
     )
@@ -61,11 +60,7 @@ def profile_summary(ledger: Ledger) -> DataFrame:
         "is_contract",
         "first_seen",
         "last_seen",
-        F.coalesce("sent_count", zero).alias("sent_count"),
-        F.coalesce("received_count", zero).alias("received_count"),
-        F.coalesce("total_count", zero).alias("total_count"),
-        A.amount_text(F.col("sent_value")).alias("total_sent"),
-        A.amount_text(F.col("received_value")).alias("total_received"),
+        *A.ACTIVITY,
         F.coalesce("flag_count", zero).alias("flag_count"),
         F.coalesce("high_severity_flag_count", zero).alias("high_severity_flag_count"),
         *label_columns(F.col("is_contract")),
@@ -195,7 +190,7 @@ def snapshot(ledger: Ledger, transactions: int = 10, flags: int = 10) -> DataFra
 
 def overview_page(ledger: Ledger) -> DataFrame:
     """The overview: counters, six busiest addresses, eight transactions, six flags, 24 hours of metrics."""
-    top = A.top_addresses(ledger.transactions, ledger.accounts, 6)
+    top = A.top_addresses(ledger.account_activity, 6)
     metrics = TS.network_metrics(ledger.transactions, ledger.as_of, "hour", 24)
     parts = [
         TS.overview_stats(ledger.transactions, ledger.accounts, ledger.flags, ledger.jobs).select(

@@ -76,6 +76,7 @@ BYTECODE = T.StructType(
     [
         T.StructField("address", T.StringType(), False),
         T.StructField("bytecode", T.BinaryType()),
+        T.StructField("has_code", T.BooleanType()),
     ]
 )
 

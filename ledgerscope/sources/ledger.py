@@ -17,8 +17,9 @@ from ledgerscope.operators import accounts as _accounts
 class Ledger:
     """Base tables plus the reference time of a run.
 
-    ``bytecode`` holds one row per contract address. ``run_time`` stands for
-    "now"; left out, it is the latest transaction time.
+    ``bytecode`` holds one row per contract address; ``has_code`` tells empty code
+    apart without reading the code. ``run_time`` stands for "now"; left out, it is
+    the latest transaction time.
     """
 
     transactions: DataFrame
@@ -42,7 +43,11 @@ class Ledger:
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return _accounts.build_accounts(self.transactions, self.bytecode)
+        return self.account_activity.select(*_accounts.ACCOUNT)
+
+    @cached_property
+    def account_activity(self) -> DataFrame:
+        return _accounts.account_activity(self.transactions, self.bytecode)
 
 
 def read_ledger(spark: SparkSession, root: str, run_time: datetime | None = None) -> Ledger:

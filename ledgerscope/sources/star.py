@@ -93,7 +93,9 @@ def as_transactions(events: DataFrame) -> DataFrame:
 
 def bytecode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        addr(F.col("doc_id")).alias("address"), F.encode("text", "UTF-8").alias("bytecode")
+        addr(F.col("doc_id")).alias("address"),
+        F.encode("text", "UTF-8").alias("bytecode"),
+        (F.col("n_chars") > 0).alias("has_code"),
     )
 
 
