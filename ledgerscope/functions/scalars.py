@@ -10,10 +10,15 @@ SEVERITY_RANK = {"high": 3, "medium": 2, "low": 1}
 HASH_PATTERN = "^0x[a-fA-F0-9]{64}$"
 ADDRESS_PATTERN = "^(0[xX])?[0-9a-fA-F]{40}$"
 INTEGER_PATTERN = "^-?[0-9]+$"
+WHITESPACE = " \t\n\r\f\v\u0085\u00a0"
 
 
 def trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITESPACE))
+
+
+def is_blank(value: Column) -> Column:
+    return F.coalesce(trimmed(value), F.lit("")) == ""
 
 
 def normalize_address(value: Column) -> Column:

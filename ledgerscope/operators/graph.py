@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import scalars as S
 from ledgerscope.operators.labels import address_risk, join_labels
 from ledgerscope.operators.touches import distinct_touches, touches
+from ledgerscope.session import materialize
 
 # A node with this many edges inside a displayed neighbourhood counts as a hub.
 LOCAL_HUB_DEGREE = 4
@@ -92,6 +93,8 @@ def neighbourhood_paths(edges: DataFrame, centers: DataFrame, depth: int | None
     first_edges = (
         sides.withColumn("position", F.row_number().over(by_hash)).filter(F.col("position") <= n + hops - 1).drop("position")
     )
+    if hops > 1:
+        first_edges = materialize(first_edges, "first-edges")
     level = (
         centers.select(F.col("address").alias("center"))
         .join(first_edges, F.col("center") == F.col("node"))
@@ -102,14 +105,23 @@ def neighbourhood_paths(edges: DataFrame, centers: DataFrame, depth: int | None
             F.array("node", "other").alias("nodes"),
         )
     )
-    level = _first_trails(level, n)
-    found = level
-    for _ in range(hops - 1):
+    found = materialize(_first_trails(level, n), "trails1")
+    sizes = first_edges.groupBy(F.col("node").alias("tip")).agg(F.count("*").alias("tip_edges"))
+    for length in range(2, hops + 1):
         # A center that reached its limit is done; the others know all their shorter trails.
-        counted = found.withColumn("_have", F.count("*").over(Window.partitionBy("center")))
-        longest = F.max(F.size("edges")).over(Window.partitionBy("center"))
-        frontier = counted.withColumn("_long", longest).filter(
-            (F.col("_have") < n) & (F.size("edges") == F.col("_long"))
+        # Longer trails follow the order of their beginnings, so beginnings are extended only
+        # until those before them already yield all trails that are missing.
+        missing = found.groupBy("center").agg((F.lit(n) - F.count("*")).alias("missing")).filter("missing > 0")
+        used_at_tip = F.size(F.filter("edges", lambda e: (e["from_address"] == F.col("tip")) | (e["to_address"] == F.col("tip"))))
+        earlier = _trail_order().rowsBetween(Window.unboundedPreceding, -1)
+        frontier = (
+            found.filter(F.size("edges") == length - 1)
+            .join(missing, "center")
+            .join(sizes, "tip")
+            .withColumn("ways", F.col("tip_edges") - used_at_tip)
+            .filter("ways > 0")
+            .withColumn("before", F.coalesce(F.sum("ways").over(earlier), F.lit(0)))
+            .filter("before < missing")
         )
         longer = (
             frontier.join(first_edges, F.col("tip") == F.col("node"))
@@ -121,14 +133,16 @@ def neighbourhood_paths(edges: DataFrame, centers: DataFrame, depth: int | None
                 F.array_append("nodes", F.col("other")).alias("nodes"),
             )
         )
-        found = _first_trails(found.unionByName(_first_trails(longer, n)), n)
+        found = materialize(_first_trails(found.unionByName(_first_trails(longer, n)), n), f"trails{length}")
     return found.drop("tip")
 
 
+def _trail_order() -> WindowSpec:
+    return Window.partitionBy("center").orderBy(F.size("edges"), F.transform("edges", lambda e: e["hash"]))
+
+
 def _first_trails(paths: DataFrame, n: int) -> DataFrame:
-    hashes = F.transform("edges", lambda e: e["hash"])
-    order = Window.partitionBy("center").orderBy(F.size("edges"), hashes)
-    return paths.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+    return paths.withColumn("_n", F.row_number().over(_trail_order())).filter(F.col("_n") <= n).drop("_n")
 
 
 def graph_members(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
