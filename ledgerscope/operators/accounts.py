@@ -83,7 +83,7 @@ def merge_accounts(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 def account_lookup(accounts: DataFrame, keys: DataFrame) -> DataFrame:
     """Accounts for the given addresses; an unknown address gives no row."""
-    wanted = keys.select(S.normalize_address(F.col("address")).alias("address")).distinct()
+    wanted = keys.select(S.normalize_address(F.col("address")).alias("address"))
     return accounts.join(wanted, "address", "left_semi")
 
 

@@ -13,6 +13,8 @@ from ledgerscope.session import materialize
 # Fixed values.
 MAX_RETURN_HOPS = 3
 SIMILAR_BYTECODE_THRESHOLD = 0.98
+# The same bound as a distance between unit vectors.
+SIMILAR_DISTANCE = (2 - 2 * SIMILAR_BYTECODE_THRESHOLD) ** 0.5
 
 
 def earliest_returns(edges: DataFrame, transfers: DataFrame) -> DataFrame:

@@ -62,9 +62,13 @@ def risk_by_flags(accounts: DataFrame, entities: DataFrame, flags: DataFrame) ->
     return joined.select("address", S.risk_flags_first(F.col("label_risk"), F.col("flag_risk")).alias("risk_level"))
 
 
+def distinct_addresses(keys: DataFrame) -> DataFrame:
+    """The different addresses of a list in normal form, blanks left out."""
+    return keys.select(S.normalize_address(F.col("address")).alias("address")).filter(F.col("address") != "").distinct()
+
+
 def entities_by_addresses(entities: DataFrame, keys: DataFrame) -> DataFrame:
-    wanted = keys.select(S.normalize_address(F.col("address")).alias("address")).filter(F.col("address") != "").distinct()
-    return entities.join(wanted, "address", "left_semi")
+    return entities.join(distinct_addresses(keys), "address", "left_semi")
 
 
 def merge_seed_labels(existing: DataFrame, seeds: DataFrame, as_of) -> DataFrame:

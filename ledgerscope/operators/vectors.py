@@ -187,14 +187,28 @@ def highlights(source: Column, target: Column) -> Column:
 
 
 def similar_accounts(
-    features: DataFrame, accounts: DataFrame, entities: DataFrame, flags: DataFrame, limit: int | None = None
+    features: DataFrame,
+    accounts: DataFrame,
+    entities: DataFrame,
+    flags: DataFrame,
+    limit: int | None = None,
+    pool: DataFrame | None = None,
 ) -> DataFrame:
-    """The accounts that behave most alike, for every account."""
+    """The accounts that behave most alike, for every account.
+
+    ``pool`` restricts the accounts to choose from, for instance to the most active
+    ones; without it all accounts are compared with all.
+    """
     n = S.clamp_limit(limit, 8, 25)
-    # Read three times below: written once, not derived from the ledger each time.
+    # Read several times below: written once, not derived from the ledger each time.
     all_features = materialize(complete_features(features, accounts), "behavior")
-    vectors = with_embedding(all_features).select(F.col("address").alias("id"), F.col("embedding").alias("vector"))
-    found = nearest_neighbours(vectors, None, n)
+    # The unused slots are zero in every vector and do not change a cosine.
+    used = F.slice("embedding", 1, len(FEATURES))
+    vectors = with_embedding(all_features).select(F.col("address").alias("id"), used.alias("vector"))
+    chosen = None
+    if pool is not None:
+        chosen = vectors.join(pool.select(F.col("address").alias("id")), "id", "left_semi")
+    found = nearest_neighbours(vectors, chosen, n)
     values = F.struct(*FEATURES)
     own = all_features.select(F.col("address").alias("id"), values.alias("own"))
     known = join_labels(accounts.select("address", "is_contract"), entities, address_risk(flags))

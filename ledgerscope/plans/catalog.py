@@ -20,12 +20,14 @@ from ledgerscope.operators import detectors as D
 from ledgerscope.operators import graph as G
 from ledgerscope.operators import labels as L
 from ledgerscope.operators import paths as P
+from ledgerscope.operators import quality as Q
 from ledgerscope.operators import records as R
 from ledgerscope.operators import series as TS
 from ledgerscope.operators import vectors as V
 from ledgerscope.operators.knn import nearest_neighbours
 from ledgerscope.operators.touches import touches
 from ledgerscope.plans import documents as docs
+from ledgerscope.session import materialize
 from ledgerscope.sources import star
 from ledgerscope.sources.ledger import Ledger
 from ledgerscope.sources.seed_labels import builtin_labels
@@ -384,6 +386,14 @@ def contract_queue_counts(ledger):
     return TS.contract_queue_counts(R.recent_contracts(ledger.accounts, _stored_contracts(ledger), 12))
 
 
+@query
+def constraint_violations(spark, sf_dir):
+    """The rules over the ledger, with the repeated signals as its flags."""
+    ledger = star.load(spark, sf_dir)
+    flags = star.repeated_flags(spark, sf_dir).withColumn("severity", star.pick(star.SEVERITIES, F.col("id") % 3))
+    return Q.constraint_violations(ledger.transactions, ledger.accounts, flags, ledger.entities, ledger.jobs)
+
+
 # ---------------------------------------------------------------- top-k lists
 
 
@@ -680,6 +690,14 @@ def similar_accounts(ledger):
     return _rounded(_similar_accounts(ledger).drop("highlights"), "similarity", digits=SIMILARITY_DIGITS)
 
 
+@on_ledger
+def similar_active_accounts(ledger):
+    """Every account against the pool of most active ones."""
+    pool = A.active_candidates(ledger.transactions, 6)
+    found = V.similar_accounts(_features(ledger), ledger.accounts, ledger.entities, ledger.flags, 6, pool)
+    return _rounded(found.select("address", "match", "position", "similarity"), "similarity", digits=SIMILARITY_DIGITS)
+
+
 @on_ledger
 def behavior_highlights(ledger):
     return _similar_accounts(ledger).select("address", "match", joined("highlights", "; "))
@@ -695,9 +713,9 @@ def detect_circular(ledger):
 
 @on_ledger
 def detect_similar_bytecode(ledger):
-    contracts = V.contract_vectors(ledger.bytecode)
-    distance = (2 - 2 * D.SIMILAR_BYTECODE_THRESHOLD) ** 0.5
-    nearest = V.similar_contracts(contracts, 1, distance)
+    contracts = materialize(V.contract_vectors(ledger.bytecode).select("address", "embedding"), "contract-vectors")
+    called = R.contract_calls(ledger.transactions, ledger.bytecode).select(F.col("to_address").alias("address"))
+    nearest = V.nearest_stored(contracts.join(called, "address", "left_semi"), contracts, D.SIMILAR_DISTANCE)
     flags = D.detect_similar_bytecode(ledger.transactions, ledger.bytecode, nearest)
     return _rounded(flags, "similarity", digits=SIMILARITY_DIGITS)
 

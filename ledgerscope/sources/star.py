@@ -53,18 +53,17 @@ def shape_events(events: DataFrame) -> DataFrame:
 def _nonces(events: DataFrame) -> DataFrame:
     """Position of each event among those of its user.
 
-    Users are numbered hour by hour (earlier hours add an offset), so that one
-    user with very many events is spread over many tasks.
+    Users are numbered minute by minute (earlier minutes add an offset), so that
+    one user with very many events is spread over many tasks.
     """
-    hour = F.date_trunc("hour", "timestamp").alias("hour")
-    keyed = events.withColumn("hour", hour)
-    per_hour = keyed.groupBy("user_id", "hour").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("user_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_hour.select("user_id", "hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("user_id", "hour").orderBy("timestamp", "event_id")
+    keyed = events.withColumn("minute", F.date_trunc("minute", "timestamp"))
+    per_minute = keyed.groupBy("user_id", "minute").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("user_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_minute.select("user_id", "minute", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("user_id", "minute").orderBy("timestamp", "event_id")
     return (
         keyed.withColumn("rank", F.row_number().over(inside))
-        .join(offsets, ["user_id", "hour"], "left")
+        .join(offsets, ["user_id", "minute"], "left")
         .withColumn("nonce", (F.col("offset") + F.col("rank") - 1).cast("long"))
     )
 

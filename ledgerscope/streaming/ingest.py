@@ -120,8 +120,7 @@ def enrich_batch(batch: DataFrame, batch_id: int, store: BatchStore, bytecode: D
     vectors = store.upto(spark, "vectors", VECTORS, batch_id)
 
     circular = D.detect_circular(history, batch).select(*RAISED.fieldNames())
-    distance = (2 - 2 * D.SIMILAR_BYTECODE_THRESHOLD) ** 0.5
-    nearest = V.nearest_stored(vectors.join(called, "address", "left_semi"), vectors, distance)
+    nearest = V.nearest_stored(vectors.join(called, "address", "left_semi"), vectors, D.SIMILAR_DISTANCE)
     similar = D.detect_similar_bytecode(ready, bytecode, nearest).select(*RAISED.fieldNames())
     earlier = store.before(spark, "flags", RAISED, batch_id)
     store.write(R.new_flags(circular.unionByName(similar), earlier).select(*RAISED.fieldNames()), "flags", batch_id)

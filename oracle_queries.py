@@ -555,6 +555,17 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (bytecode_size > 0) AS with_bytecode_count FROM {RECENT_CONTRACTS.format(n=12)}""",
         "acc", "stored",
     ),
+    "constraint_violations": sql(
+        """SELECT 'flag severity' AS rule, 0::BIGINT AS violations
+        UNION ALL SELECT 'job status', count(*) FILTER (status NOT IN ('pending', 'processing', 'done')) FROM jb
+        UNION ALL SELECT 'label risk', count(*) FILTER (risk_level NOT IN ('none', 'low', 'medium', 'high')) FROM ent
+        UNION ALL SELECT 'unique signal', count(*) - count(DISTINCT tx_hash || address || flag_type) FROM repflags WHERE address IS NOT NULL
+        UNION ALL SELECT 'unique account', count(*) - count(DISTINCT address) FROM acc
+        UNION ALL SELECT 'unique transaction', count(*) - count(DISTINCT hash) FROM tx
+        UNION ALL SELECT 'known sender', count(*) FROM tx WHERE from_address NOT IN (SELECT address FROM acc)
+        UNION ALL SELECT 'known recipient', count(*) FROM tx WHERE to_address NOT IN (SELECT address FROM acc)""",
+        "jb", "ent", "repflags", "acc",
+    ),
     "recent_transactions": sql(f"SELECT {LISTED_TX} FROM tx ORDER BY timestamp DESC, hash LIMIT 50", "tx"),
     "recent_contracts": sql(f"SELECT * FROM {RECENT_CONTRACTS.format(n=20)}", "acc", "stored"),
     "recent_flags": sql(f"{LISTED_FLAGS} ORDER BY detected_at DESC, id DESC LIMIT 50", "fl"),
@@ -697,6 +708,14 @@ ORACLES: dict[str, str] = {
         l.entity_name, l.entity_type, l.risk_level, l.is_contract FROM fsim s JOIN lab l ON l.address = s.match""",
         "fsim", "lab",
     ),
+    "similar_active_accounts": sql(
+        """SELECT a.address, b.address AS match, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
+        row_number() OVER (PARTITION BY a.address ORDER BY
+            round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.address) AS position
+        FROM fvec a JOIN fvec b ON a.address <> b.address
+        WHERE b.address IN (SELECT address FROM tch GROUP BY address ORDER BY count(*) DESC, address LIMIT 72) QUALIFY position <= 6""",
+        "fvec",
+    ),
     "behavior_highlights": sql(highlights(), "fsim"),
     "detect_circular": sql("SELECT * FROM circular", "prs", extra=RETURNS),
     "detect_similar_bytecode": sql(similar_flags("vec"), "tx", "code", extra=FINGERPRINT.format(n="vec", source="code")),
