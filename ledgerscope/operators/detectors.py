@@ -41,6 +41,24 @@ def earliest_returns(edges: DataFrame, transfers: DataFrame) -> DataFrame:
     return found.drop("first_at")
 
 
+def edges_in_reach(edges: DataFrame, transfers: DataFrame) -> DataFrame:
+    """The edges that a return path of at most three steps can use.
+
+    First steps leave a recipient, last steps enter a sender, and a middle step
+    links the two. For a few transfers against a long history these are a few
+    semi joins instead of an aggregation of all edges.
+    """
+    source = transfers.select(F.col("to_address").alias("from_address")).distinct()
+    target = transfers.select(F.col("from_address").alias("to_address")).distinct()
+    first = edges.join(source, "from_address", "left_semi")
+    last = edges.join(target, "to_address", "left_semi")
+    middle = edges.join(
+        first.select(F.col("to_address").alias("from_address")).distinct(), "from_address", "left_semi"
+    ).join(last.select(F.col("from_address").alias("to_address")).distinct(), "to_address", "left_semi")
+    # The same edge may qualify more than once; collapsing to pairs removes that.
+    return first.unionByName(last).unionByName(middle)
+
+
 def detect_circular(history: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Flags for plain transfers whose amount can already flow back to the sender.
 
@@ -49,6 +67,8 @@ def detect_circular(history: DataFrame, candidates: DataFrame | None = None) ->
     """
     plain = circular_candidates(history if candidates is None else candidates)
     edges = history.filter(F.col("to_address").isNotNull()).select("hash", "from_address", "to_address", "timestamp")
+    if candidates is not None:
+        edges = edges_in_reach(edges, plain)
     returns = earliest_returns(edges, plain).select(
         F.col("dst").alias("from_address"), F.col("src").alias("to_address"), "hops", "closed_at", "path"
     )

@@ -153,19 +153,12 @@ def graph_members(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def address_graph_nodes(
-    edges: DataFrame,
-    centers: DataFrame,
-    accounts: DataFrame,
-    entities: DataFrame,
-    flags: DataFrame,
-    depth: int | None = None,
-    limit: int | None = None,
+    paths: DataFrame, edges: DataFrame, centers: DataFrame, accounts: DataFrame, entities: DataFrame, flags: DataFrame
 ) -> DataFrame:
-    """Labelled nodes of each neighbourhood.
+    """Labelled nodes of each neighbourhood; ``paths`` comes from ``neighbourhood_paths``.
 
     A center without edges is shown alone, as its account profile describes it.
     """
-    paths = neighbourhood_paths(edges, centers, depth, limit)
     nodes, shown = graph_members(paths)
     ends = shown.select("center", F.explode(F.array("from_address", "to_address")).alias("node"))
     degrees = ends.groupBy("center", "node").agg(F.count("*").alias("degree"))
@@ -206,11 +199,9 @@ def address_graph_nodes(
     return inside.unionByName(single)
 
 
-def address_graph(
-    edges: DataFrame, centers: DataFrame, accounts: DataFrame, depth: int | None = None, limit: int | None = None
-) -> DataFrame:
+def address_graph(paths: DataFrame, centers: DataFrame, accounts: DataFrame) -> DataFrame:
     """One document per center with its nodes and edges. Both lists are bounded by the path limit."""
-    nodes, shown = graph_members(neighbourhood_paths(edges, centers, depth, limit))
+    nodes, shown = graph_members(paths)
     node_lists = nodes.groupBy("center").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     edge_lists = shown.groupBy("center").agg(
         F.array_sort(F.collect_list(F.struct("hash", "from_address", "to_address", "value", "timestamp"))).alias("edges")

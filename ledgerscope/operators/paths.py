@@ -57,24 +57,27 @@ def best_walks(requests: DataFrame, graph: PairGraph, hops: int) -> DataFrame:
     the total stays near the sum over requests of the smaller degree.
     """
     pairs = graph.pairs
+    single = pairs.select("src", "dst", "times", F.array("src", "dst").alias("path"))
     if hops == 1:
-        return requests.join(pairs.select("src", "dst", "times"), ["src", "dst"]).select(
-            "src", "dst", "times", F.array("src", "dst").alias("path")
-        )
+        return requests.join(single, ["src", "dst"])
     sized = requests.join(graph.fan_out, "src").join(graph.fan_in, "dst")
     forward = sized.filter("fan_out <= fan_in").select("src", "dst")
     backward = sized.filter("fan_out > fan_in").select("src", "dst")
 
+    def shorter(remaining: DataFrame) -> DataFrame:
+        """Best walks for what remains to be found; one step is looked up as it is."""
+        return single if hops == 2 else best_walks(remaining.distinct(), graph, hops - 1)
+
     first = pairs.select("src", F.col("dst").alias("mid"), F.col("times").alias("step"))
     opened = forward.join(first, "src")
-    rest = best_walks(opened.select(F.col("mid").alias("src"), "dst").distinct(), graph, hops - 1)
+    rest = shorter(opened.select(F.col("mid").alias("src"), "dst"))
     ahead = opened.join(rest.withColumnRenamed("src", "mid"), ["mid", "dst"]).select(
         "src", "dst", _latest_first(F.col("step"), F.col("times")).alias("times"), F.concat(F.array("src"), "path").alias("path")
     )
 
     last = pairs.select(F.col("src").alias("mid"), "dst", F.col("times").alias("step"))
     closed = backward.join(last, "dst")
-    start = best_walks(closed.select("src", F.col("mid").alias("dst")).distinct(), graph, hops - 1)
+    start = shorter(closed.select("src", F.col("mid").alias("dst")))
     behind = closed.join(start.withColumnRenamed("dst", "mid"), ["src", "mid"]).select(
         "src", "dst", _latest_first(F.col("step"), F.col("times")).alias("times"), F.concat("path", F.array("dst")).alias("path")
     )

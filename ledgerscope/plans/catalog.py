@@ -158,6 +158,28 @@ def snapshot_json(ledger):
     return docs.snapshot(ledger)
 
 
+@on_ledger
+def snapshot_contents(ledger):
+    """Values read back from the snapshot document."""
+
+    def number(path: str):
+        return F.get_json_object("snapshot", path).cast("long")
+
+    def listed(name: str, field: str):
+        rows = F.from_json(F.get_json_object("snapshot", f"$.{name}"), f"array<struct<{field}: string>>")
+        return F.array_join(F.transform(rows, lambda r: r[field]), ",")
+
+    return docs.snapshot(ledger).select(
+        number("$.overview.transaction_count").alias("transaction_count"),
+        number("$.overview.account_count").alias("account_count"),
+        number("$.enrichment.pending").alias("pending"),
+        number("$.enrichment.max_attempts").alias("max_attempts"),
+        listed("recent_transactions", "hash").alias("transactions"),
+        listed("recent_flags", "id").alias("flags"),
+        listed("recent_flags", "confidence").alias("confidences"),
+    )
+
+
 @on_ledger
 def overview_page(ledger):
     return docs.overview_page(ledger)
@@ -542,25 +564,45 @@ def return_paths(ledger):
     return found.select("from_address", "to_address", "hops", joined("path"), joined("hashes"))
 
 
-@on_ledger
-def trace_path(ledger):
+def _traces_to_hub(ledger: Ledger) -> DataFrame:
     """How every account reaches the best connected node."""
     edges = G.graph_edges(ledger.transactions)
     hub = G.node_degrees(edges).orderBy(F.desc("degree"), "address").limit(1).select(F.lit(1).alias("one"), F.col("address").alias("dst"))
     requests = ledger.accounts.select(F.col("address").alias("src"), F.lit(1).alias("one")).join(hub, "one")
-    found = P.shortest_paths(edges, requests.select("src", "dst"))
+    return P.shortest_paths(edges, requests.select("src", "dst"))
+
+
+@on_ledger
+def trace_path(ledger):
+    found = _traces_to_hub(ledger)
     return found.select(F.col("src").alias("from_address"), F.col("dst").alias("to_address"), "hops", joined("path"), joined("hashes"))
 
 
+@on_ledger
+def trace_edges(ledger):
+    steps = P.trace_edges(_traces_to_hub(ledger), G.graph_edges(ledger.transactions))
+    return steps.select("src", "dst", (F.col("step") + 1).alias("step"), "hash", "from_address", "to_address", *text("value"), "timestamp")
+
+
 @on_ledger
 def circular_flows(ledger):
     flows = P.circular_flows(G.graph_edges(ledger.transactions), 100)
     return flows.select("hops", joined("path"), joined("hashes"))
 
 
+def _paths(ledger: Ledger) -> DataFrame:
+    return G.neighbourhood_paths(G.graph_edges(ledger.transactions), ledger.accounts.select("address"), 2, 50)
+
+
+def _neighbourhood_nodes(ledger: Ledger, paths: DataFrame) -> DataFrame:
+    edges, centers = G.graph_edges(ledger.transactions), ledger.accounts.select("address")
+    return G.address_graph_nodes(paths, edges, centers, ledger.accounts, ledger.entities, ledger.flags)
+
+
 @on_ledger
 def address_graph(ledger):
-    graphs = G.address_graph(G.graph_edges(ledger.transactions), ledger.accounts.select("address"), ledger.accounts, 2, 50)
+    ledger = ledger.with_stored_accounts()
+    graphs = G.address_graph(_paths(ledger), ledger.accounts.select("address"), ledger.accounts)
     return graphs.select(
         "center",
         F.array_join("nodes", ",").alias("nodes"),
@@ -568,32 +610,23 @@ def address_graph(ledger):
     )
 
 
-def _neighbourhoods(ledger: Ledger) -> DataFrame:
-    return G.address_graph_nodes(
-        G.graph_edges(ledger.transactions),
-        ledger.accounts.select("address"),
-        ledger.accounts,
-        ledger.entities,
-        ledger.flags,
-        2,
-        50,
-    )
-
-
 @on_ledger
 def address_graph_nodes(ledger):
-    return _neighbourhoods(ledger)
+    ledger = ledger.with_stored_accounts()
+    return _neighbourhood_nodes(ledger, _paths(ledger))
 
 
 @on_ledger
 def graph_counters(ledger):
-    paths = G.neighbourhood_paths(G.graph_edges(ledger.transactions), ledger.accounts.select("address"), 2, 50)
-    return G.graph_counters(_neighbourhoods(ledger), G.graph_members(paths)[1])
+    ledger = ledger.with_stored_accounts()
+    paths = _paths(ledger)
+    return G.graph_counters(_neighbourhood_nodes(ledger, paths), G.graph_members(paths)[1])
 
 
 @on_ledger
 def graph_node_priority(ledger):
-    return G.labelled_nodes(_neighbourhoods(ledger))
+    ledger = ledger.with_stored_accounts()
+    return G.labelled_nodes(_neighbourhood_nodes(ledger, _paths(ledger)))
 
 
 @on_ledger
@@ -610,7 +643,8 @@ def merge_duplicate_vertices(spark, sf_dir):
 
 @query
 def merge_duplicate_edges(spark, sf_dir):
-    _, edges = G.merge_duplicates(star.duplicated_nodes(spark, sf_dir), star.duplicated_edges(spark, sf_dir))
+    nodes = materialize(star.duplicated_nodes(spark, sf_dir), "nodes")
+    _, edges = G.merge_duplicates(nodes, star.duplicated_edges(spark, sf_dir))
     return edges
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import scalars as S
@@ -11,6 +11,7 @@ from ledgerscope.operators import accounts as A
 from ledgerscope.operators import records as R
 from ledgerscope.operators import series as TS
 from ledgerscope.operators.labels import address_risk, flag_counts, join_labels, label_columns
+from ledgerscope.session import materialize
 from ledgerscope.sources.ledger import Ledger
 
 
@@ -70,6 +71,7 @@ def profile_summary(ledger: Ledger) -> DataFrame:
 
 def account_profiles(ledger: Ledger, limit: int | None = None) -> DataFrame:
     """Account profiles with their counterparty and transaction lists (at most ``limit`` entries each)."""
+    ledger = ledger.with_stored_accounts()
     partners = (
         labelled_counterparties(ledger, limit)
         .groupBy("address")
@@ -137,6 +139,7 @@ def transaction_details(ledger: Ledger) -> DataFrame:
         F.max_by(F.struct("flag_type", "severity", *COLUMNS), F.struct("detected_at", "id")).alias("latest"),
     )
     profiles = profile_summary(ledger).select("address", "entity_name", "risk_level", "total_count")
+    profiles = materialize(profiles, "profiles")  # joined twice
     sender = profiles.select([F.col(c).alias(f"from_{c}") for c in profiles.columns])
     recipient = profiles.select([F.col(c).alias(f"to_{c}") for c in profiles.columns])
     tx = ledger.transactions.select("hash", "from_address", "to_address", "value", "data", "timestamp")
@@ -165,41 +168,57 @@ def transaction_details(ledger: Ledger) -> DataFrame:
     )
 
 
-def _listed(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """A short, limited list folded into one array column."""
-    fields = F.struct(*order, *[c for c in rows.columns])
-    return rows.agg(F.array_sort(F.collect_list(fields)).alias(name))
+def _listed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """A short, limited list folded into one array column, in the given order."""
+    keys = F.struct(*[key.alias(f"k{i}") for i, key in enumerate(order)])
+    entries = F.array_sort(F.collect_list(F.struct(keys.alias("order"), F.struct(*rows.columns).alias("row"))))
+    return rows.agg(F.transform(entries, lambda e: e["row"]).alias(name))
+
+
+def _as_json(document: Column) -> Column:
+    return F.to_json(document, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"})
+
+
+def _recent(ledger: Ledger, limit: int) -> DataFrame:
+    """Latest transactions with amounts as text: JSON numbers would lose digits."""
+    rows = R.recent_transactions(ledger.transactions, limit)
+    return rows.withColumns({name: F.col(name).cast("string") for name in ("value", "gas_price")})
+
+
+def _newest(column: str) -> Column:
+    return -F.unix_micros(column)
 
 
 def snapshot(ledger: Ledger, transactions: int = 10, flags: int = 10) -> DataFrame:
     """The live snapshot as one JSON document per run."""
-    newest = (-F.unix_micros("timestamp")).alias("_order")
-    latest = (-F.unix_micros("detected_at")).alias("_order")
-    recent = R.recent_transactions(ledger.transactions, transactions)
+    recent = _recent(ledger, transactions)
     raised = explain_flags(R.recent_flags(ledger.flags, flags))
     overview = TS.overview_stats(ledger.transactions, ledger.accounts, ledger.flags, ledger.jobs)
     parts = [
         overview.select(F.struct("*").alias("overview")),
         TS.enrichment_status(ledger.jobs).select(F.struct("*").alias("enrichment")),
-        _listed(recent, [newest], "recent_transactions"),
-        _listed(raised, [latest], "recent_flags"),
+        _listed(recent, [_newest("timestamp"), F.col("hash")], "recent_transactions"),
+        _listed(raised, [_newest("detected_at"), -F.col("id")], "recent_flags"),
     ]
     row = TS.first_of_each(parts)
-    return row.select(F.to_json(F.struct(F.lit(ledger.as_of).alias("timestamp"), *row.columns)).alias("snapshot"))
+    return row.select(_as_json(F.struct(F.lit(ledger.as_of).alias("timestamp"), *row.columns)).alias("snapshot"))
 
 
 def overview_page(ledger: Ledger) -> DataFrame:
     """The overview: counters, six busiest addresses, eight transactions, six flags, 24 hours of metrics."""
+    ledger = ledger.with_stored_accounts()
     top = A.top_addresses(ledger.account_activity, 6)
+    recent = _recent(ledger, 8)
+    raised = explain_flags(R.recent_flags(ledger.flags, 6))
     metrics = TS.network_metrics(ledger.transactions, ledger.as_of, "hour", 24)
     parts = [
         TS.overview_stats(ledger.transactions, ledger.accounts, ledger.flags, ledger.jobs).select(
             F.struct("*").alias("overview")
         ),
-        _listed(top, [(-F.col("total_count")).alias("_order")], "top_addresses"),
-        _listed(R.recent_transactions(ledger.transactions, 8), [(-F.unix_micros("timestamp")).alias("_order")], "recent_transactions"),
-        _listed(explain_flags(R.recent_flags(ledger.flags, 6)), [(-F.unix_micros("detected_at")).alias("_order")], "recent_flags"),
-        _listed(metrics, [], "network_metrics"),
+        _listed(top, [-F.col("total_count"), _newest("last_seen"), F.col("address")], "top_addresses"),
+        _listed(recent, [_newest("timestamp"), F.col("hash")], "recent_transactions"),
+        _listed(raised, [_newest("detected_at"), -F.col("id")], "recent_flags"),
+        _listed(metrics, [F.col("bucket")], "network_metrics"),
     ]
     row = TS.first_of_each(parts)
-    return row.select(F.to_json(F.struct(*row.columns)).alias("page"))
+    return row.select(_as_json(F.struct(*row.columns)).alias("page"))

@@ -259,6 +259,10 @@ w3 AS (SELECT q.src, q.dst, 3 AS hops, min(a.src || ',' || a.dst || ',' || b.dst
     GROUP BY q.src, q.dst),
 walks AS (FROM w1 UNION ALL FROM w2 UNION ALL FROM w3)"""
 
+TO_HUB = """req AS (SELECT address AS src, hub AS dst FROM acc, (SELECT address AS hub FROM
+    (SELECT from_address AS address FROM edg UNION ALL SELECT to_address FROM edg)
+    GROUP BY address ORDER BY count(*) DESC, address LIMIT 1))"""
+
 # Undirected trails of up to two edges around every account, the first fifty each.
 TRAILS = """
 sides AS (SELECT from_address AS node, to_address AS other, hash FROM edg
@@ -630,10 +634,21 @@ ORACLES: dict[str, str] = {
     ),
     "trace_path": sql(
         "SELECT src AS from_address, dst AS to_address, hops, path, hashes FROM walks",
-        "prs", "acc", "edg",
-        extra=f"""req AS (SELECT address AS src, hub AS dst FROM acc, (SELECT address AS hub FROM
-            (SELECT from_address AS address FROM edg UNION ALL SELECT to_address FROM edg)
-            GROUP BY address ORDER BY count(*) DESC, address LIMIT 1)), {WALKS}""",
+        "prs", "acc", "edg", extra=f"{TO_HUB}, {WALKS}",
+    ),
+    "trace_edges": sql(
+        """SELECT src, dst, step::INT AS step, hash, from_address, to_address, value::VARCHAR AS value, timestamp
+        FROM (SELECT src, dst, unnest(string_split(hashes, ',')) AS hash, unnest(range(1, hops + 1)) AS step FROM walks) JOIN edg USING (hash)""",
+        "prs", "acc", "edg", extra=f"{TO_HUB}, {WALKS}",
+    ),
+    "snapshot_contents": sql(
+        f"""SELECT (SELECT count(*) FROM tx) AS transaction_count, (SELECT count(*) FROM acc) AS account_count,
+        (SELECT count(*) FROM jb WHERE status = 'pending') AS pending, (SELECT max(attempts) FROM jb)::BIGINT AS max_attempts,
+        (SELECT string_agg(hash, ',' ORDER BY timestamp DESC, hash) FROM (FROM tx ORDER BY timestamp DESC, hash LIMIT 10)) AS transactions,
+        f.ids AS flags, f.confidences FROM (SELECT string_agg(id, ',' ORDER BY detected_at DESC, id DESC) AS ids,
+            string_agg(confidence, ',' ORDER BY detected_at DESC, id DESC) AS confidences
+            FROM (SELECT *, {EXPLAINED} FROM fl ORDER BY detected_at DESC, id DESC LIMIT 10)) f""",
+        "acc", "jb", "fl",
     ),
     "circular_flows": sql(
         """SELECT * FROM (SELECT 2 AS hops, concat_ws(',', a.from_address, a.to_address, a.from_address) AS path, a.hash || ',' || b.hash AS hashes

@@ -111,10 +111,12 @@ def test_neighbourhoods_against_all_trails(spark, make, depth, limit):
 def test_center_without_edges_is_shown_alone(make):
     ledger = make([("a", "b", 0), ("lone", None, 1)], entities=[("lone", "", "low", True, "seed")])
     edges = G.graph_edges(ledger.transactions)
-    nodes = G.address_graph_nodes(edges, ledger.accounts.select("address"), ledger.accounts, ledger.entities, ledger.flags)
+    centers = ledger.accounts.select("address")
+    paths = G.neighbourhood_paths(edges, centers)
+    nodes = G.address_graph_nodes(paths, edges, centers, ledger.accounts, ledger.entities, ledger.flags)
     lone = nodes.filter("center = 'lone'").collect()
     assert [(r.node, r.entity_type, r.risk_level, r.is_hub, r.degree) for r in lone] == [("lone", "wallet", "low", True, 0)]
-    graph = G.address_graph(edges, ledger.accounts.select("address"), ledger.accounts).filter("center = 'lone'").first()
+    graph = G.address_graph(paths, centers, ledger.accounts).filter("center = 'lone'").first()
     assert graph.nodes == ["lone"] and graph.edges == []
 
 
