@@ -66,7 +66,7 @@ def detect_circular(history: DataFrame, candidates: DataFrame | None = None) ->
     counts for a transfer at time t only if all its edges were there at t.
     """
     plain = circular_candidates(history if candidates is None else candidates)
-    edges = history.filter(F.col("to_address").isNotNull()).select("hash", "from_address", "to_address", "timestamp")
+    edges = history.filter(F.col("to_address").isNotNull()).select("from_address", "to_address", "timestamp")
     if candidates is not None:
         edges = edges_in_reach(edges, plain)
     returns = earliest_returns(edges, plain).select(

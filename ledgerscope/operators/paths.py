@@ -25,17 +25,20 @@ class PairGraph:
 
 
 def collapse_pairs(edges: DataFrame, order: str = BY_ADDRESS) -> PairGraph:
-    """One row per (src, dst) with its lowest hash and first time.
+    """One row per (src, dst), and how many neighbours each end has.
 
     A shortest path never repeats a node, so parallel edges only decide which hash
-    is reported. ``times`` ranks paths: empty to compare paths by their addresses
-    alone; with the edge's first time to prefer the path that was complete first.
+    is reported, which ``with_hashes`` looks up for the paths that were found.
+    ``times`` ranks paths: empty to compare them by their addresses alone; with the
+    edge's first time to prefer the path that was complete first.
     """
-    pairs = edges.groupBy(F.col("from_address").alias("src"), F.col("to_address").alias("dst")).agg(
-        F.min("hash").alias("hash"), F.min("timestamp").alias("since")
-    )
-    times = F.array("since") if order == BY_TIME else F.array().cast("array<timestamp>")
-    pairs = materialize(pairs.withColumn("times", times).drop("since"), "pairs")
+    ends = [F.col("from_address").alias("src"), F.col("to_address").alias("dst")]
+    if order == BY_TIME:
+        first = edges.groupBy(*ends).agg(F.min("timestamp").alias("since"))
+        pairs = first.select("src", "dst", F.array("since").alias("times"))
+    else:
+        pairs = edges.select(*ends).distinct().withColumn("times", F.array().cast("array<timestamp>"))
+    pairs = materialize(pairs, "pairs")
     return PairGraph(
         pairs=pairs,
         fan_out=materialize(pairs.groupBy("src").agg(F.count("*").alias("fan_out")), "fan-out"),
@@ -104,18 +107,26 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, max_hops: int | None =
         walks = materialize(walks, f"walks{hops}")
         found = walks if found is None else found.unionByName(walks)
         open_requests = open_requests.join(walks, ["src", "dst"], "left_anti")
-    return with_hashes(found, graph.pairs)
+    return with_hashes(found, edges)
 
 
-def with_hashes(walks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Attach the reported hash of every step; paths have at most four steps."""
+def with_hashes(walks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Attach the lowest hash of every step; paths have at most four steps."""
     steps = walks.select("*", F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("step", "a")).withColumn(
         "b", F.expr("path[step + 1]")
     )
-    named = steps.join(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "hash"), ["a", "b"])
-    keys = walks.columns
+    lowest = (
+        edges.select(F.col("from_address").alias("a"), F.col("to_address").alias("b"), "hash")
+        .join(steps.select("a", "b").distinct(), ["a", "b"], "left_semi")
+        .groupBy("a", "b")
+        .agg(F.min("hash").alias("hash"))
+    )
     ordered = F.array_sort(F.collect_list(F.struct("step", "hash")))
-    return named.groupBy(*keys).agg(F.transform(ordered, lambda s: s["hash"]).alias("hashes"))
+    return (
+        steps.join(lowest, ["a", "b"])
+        .groupBy(*walks.columns)
+        .agg(F.transform(ordered, lambda s: s["hash"]).alias("hashes"))
+    )
 
 
 def return_paths(edges: DataFrame, transfers: DataFrame, max_hops: int | None = None) -> DataFrame:

@@ -33,7 +33,6 @@ ACCOUNTS = T.StructType(
 )
 PAIRS = T.StructType(
     [
-        T.StructField("hash", T.StringType()),
         T.StructField("from_address", T.StringType()),
         T.StructField("to_address", T.StringType()),
         T.StructField("timestamp", T.TimestampType()),
@@ -99,10 +98,8 @@ def enrich_batch(batch: DataFrame, batch_id: int, store: BatchStore, bytecode: D
 
     # Pairs collapsed per batch are all the history that return paths need.
     plain_edges = batch.filter(F.col("to_address").isNotNull())
-    pairs = plain_edges.groupBy("from_address", "to_address").agg(
-        F.min("hash").alias("hash"), F.min("timestamp").alias("timestamp")
-    )
-    store.write(pairs.select(*PAIRS.fieldNames()), "pairs", batch_id)
+    pairs = plain_edges.groupBy("from_address", "to_address").agg(F.min("timestamp").alias("timestamp"))
+    store.write(pairs, "pairs", batch_id)
     history = store.upto(spark, "pairs", PAIRS, batch_id)
 
     # Calls whose code is not known yet wait and are tried again with every batch.
