@@ -37,7 +37,7 @@ HEADLINE = [
     "merge_duplicate_edges",
     "behavior_features",
     "similar_accounts",
-    "bytecode_fingerprints",
+    "bytecode_embedding",
     "similar_contracts",
     "knn_embeddings",
     "detect_circular",

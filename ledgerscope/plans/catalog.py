@@ -24,7 +24,7 @@ from ledgerscope.operators import quality as Q
 from ledgerscope.operators import records as R
 from ledgerscope.operators import series as TS
 from ledgerscope.operators import vectors as V
-from ledgerscope.operators.knn import nearest_neighbours
+from ledgerscope.operators.knn import RANK_DIGITS, nearest_neighbours
 from ledgerscope.operators.touches import touches
 from ledgerscope.plans import documents as docs
 from ledgerscope.session import materialize
@@ -36,7 +36,8 @@ from ledgerscope.streaming import ingest as ST
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-SIMILARITY_DIGITS = 6
+# Similarities leave as precisely as they are ranked.
+SIMILARITY_DIGITS = RANK_DIGITS
 
 
 def query(fn: Query) -> Query:
@@ -48,7 +49,7 @@ def on_ledger(fn: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(star.load(spark, sf_dir))
 
-    QUERIES[fn.__name__] = run
+    QUERIES[fn.__name__.removeprefix("query_")] = run
     return fn
 
 
@@ -256,7 +257,7 @@ def classify_search_terms(ledger):
 
 
 @on_ledger
-def touches_all(ledger):
+def query_touches(ledger):
     return touches(ledger.transactions, "hash").select("hash", "direction", "address", "counterparty")
 
 
@@ -652,7 +653,7 @@ def merge_duplicate_edges(spark, sf_dir):
 
 
 @on_ledger
-def bytecode_fingerprints(ledger):
+def query_bytecode_embedding(ledger):
     rows = ledger.bytecode.filter("has_code")
     return rows.select("address", _micro_units(bytecode_embedding(F.col("bytecode"))))
 

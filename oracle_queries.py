@@ -320,7 +320,7 @@ def similar_flags(pool: str) -> str:
         CASE WHEN s >= 0.995 THEN 'high' WHEN s >= 0.985 THEN 'medium' ELSE 'low' END AS severity,
         'Contract ' || c.to_address || ' is ' || printf('%.2f', s) || ' similar to ' || n.match
             || ' based on pgvector bytecode fingerprints' AS description,
-        c.timestamp AS detected_at, round(s, 6) AS similarity
+        c.timestamp AS detected_at, s AS similarity
         FROM ({CALLS}) c JOIN {nearest(pool, pool, 1)} n ON n.address = c.to_address WHERE s >= 0.98"""
 
 
@@ -448,7 +448,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT hash AS term FROM tch UNION ALL SELECT address FROM tch)""",
         "tch",
     ),
-    "touches_all": sql("SELECT hash, direction, address, counterparty FROM tch", "tch"),
+    "touches": sql("SELECT hash, direction, address, counterparty FROM tch", "tch"),
     "address_risk": sql("SELECT * FROM risk", "risk"),
     "risk_label_first": sql("SELECT address, risk_level FROM lab", "lab"),
     "risk_flags_first": sql("SELECT address, graph_risk AS risk_level FROM lab", "lab"),
@@ -697,18 +697,18 @@ ORACLES: dict[str, str] = {
         JOIN (SELECT address, min(node_id) AS id FROM nodes GROUP BY address) t ON t.address = {addr('k')} WHERE event_type <> 'signup'""",
         "nodes",
     ),
-    "bytecode_fingerprints": sql(f"SELECT address, {MICRO} AS embedding FROM vec", "code", extra=FINGERPRINT.format(n="vec", source="code")),
+    "bytecode_embedding": sql(f"SELECT address, {MICRO} AS embedding FROM vec", "code", extra=FINGERPRINT.format(n="vec", source="code")),
     "cosine_pairs": """SELECT v.vec_id, h.vec_id AS first_id,
-        round(list_cosine_similarity(v.embedding::DOUBLE[], h.embedding::DOUBLE[]), 6) AS similarity
+        round(list_cosine_similarity(v.embedding::DOUBLE[], h.embedding::DOUBLE[]), 9) AS similarity
         FROM embeddings v JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) h USING (label)""",
     "knn_embeddings": """WITH e AS (SELECT vec_id AS address, embedding FROM embeddings)
-        SELECT address AS vec_id, match, position, round(s, 6) AS similarity FROM """ + nearest("e", "e", 5),
+        SELECT address AS vec_id, match, position, s AS similarity FROM """ + nearest("e", "e", 5),
     "similar_contracts": sql(
-        f"SELECT n.match, n.address, round(s, 6) AS similarity, position, flagged FROM {nearest('vec', 'vec', 5)} n JOIN stored p ON p.address = n.match",
+        f"SELECT n.match, n.address, s AS similarity, position, flagged FROM {nearest('vec', 'vec', 5)} n JOIN stored p ON p.address = n.match",
         "stored", extra=FINGERPRINT.format(n="vec", source="code"),
     ),
     "similar_bytecode": sql(
-        f"SELECT n.match, n.address, round(s, 6) AS similarity, position, flagged FROM {nearest('samplevec', 'vec', 5)} n JOIN stored p ON p.address = n.match",
+        f"SELECT n.match, n.address, s AS similarity, position, flagged FROM {nearest('samplevec', 'vec', 5)} n JOIN stored p ON p.address = n.match",
         "stored", "meta",
         extra="samples AS (SELECT address, encode(source_code) AS bytecode FROM meta), "
         + FINGERPRINT.format(n="vec", source="code") + ", " + FINGERPRINT.format(n="samplevec", source="samples"),
@@ -719,12 +719,12 @@ ORACLES: dict[str, str] = {
     ),
     "behavior_embedding": sql(f"SELECT address, 128 AS dims, {MICRO} AS embedding FROM fvec", "fvec"),
     "similar_accounts": sql(
-        """SELECT s.address, s.match, s.position, round(greatest(0, least(1, s.similarity)), 6) AS similarity,
+        """SELECT s.address, s.match, s.position, greatest(0, least(1, s.similarity)) AS similarity,
         l.entity_name, l.entity_type, l.risk_level, l.is_contract FROM fsim s JOIN lab l ON l.address = s.match""",
         "fsim", "lab",
     ),
     "similar_active_accounts": sql(
-        """SELECT a.address, b.address AS match, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
+        """SELECT a.address, b.address AS match, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity,
         row_number() OVER (PARTITION BY a.address ORDER BY
             round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.address) AS position
         FROM fvec a JOIN fvec b ON a.address <> b.address
