@@ -14,7 +14,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = "mix"
 # Documents of a source are ordered by a hash of 48 bits; this many bits of it make the bins of the first pass.
-HASH_BITS, BIN_BITS = 48, 16
+HASH_BITS, BIN_BITS = 48, 12
 
 
 def word_count(text: Column) -> Column:

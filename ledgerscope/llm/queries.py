@@ -5,24 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerscope.llm import fingerprints, mixing
+from ledgerscope.llm import fingerprints, langid, mixing, quality, toxicity, urls
+from ledgerscope.llm.samples import split_number
 from ledgerscope.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
+    """Documents that ``label`` is known of, with it."""
+    return docs.select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", label).distinct(), "doc_id")
+
+
 @query
 def op2_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.graded(docs, toxicity.learn(labelled(spark, sf_dir, docs, "toxic")))
+
+
 @query
 def op5_mixing(spark, sf_dir):
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query
+def op6_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held_out = split_number(F.col("doc_id"), 4) == 2
+    ranking = quality.learn(labelled(spark, sf_dir, docs, "quality").where(~held_out))
+    scored = quality.scored(docs, ranking, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_url_rules(spark, sf_dir):
+    """Pages are labelled through the document that their URL numbers: bad where its quality is 0 or it is toxic."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("url", r"/([0-9]+)[^/]*/?$", 1)
+    of_document = pages.select("page_id", F.when(number != "", number).try_cast("long").alias("doc_id"))
+    labels = read(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return urls.judge(pages, rules, of_document.join(labels, "doc_id").select("page_id", "bad"))
+
+
+@query
+def op10_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held_out = split_number(F.col("doc_id"), 5) == 0
+    model = langid.learn(docs.select("doc_id", "text", "lang").where(~held_out))
+    found = langid.identified(docs, model, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
