@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import fingerprints, langid, mixing, quality, toxicity, urls
+from ledgerscope.llm import fingerprints, langid, mixing, neardups, quality, toxicity, urls
 from ledgerscope.llm.samples import split_number
 from ledgerscope.llm.tables import read
 
@@ -58,6 +58,11 @@ def op6_quality(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op8_neardups(spark, sf_dir):
+    return neardups.near_duplicates(read(spark, sf_dir, "documents"), neardups.Settings(shingle=2))
+
+
 @query
 def op9_url_rules(spark, sf_dir):
     """Pages are labelled through the document that their URL numbers: bad where its quality is 0 or it is toxic."""
