@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import fingerprints, langid, mixing, neardups, quality, toxicity, urls
+from ledgerscope.llm import decontamination, fingerprints, langid, mixing, neardups, passages, quality, toxicity, urls
 from ledgerscope.llm.samples import split_number
 from ledgerscope.llm.tables import read
 
@@ -32,11 +32,21 @@ def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> D
     return docs.select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", label).distinct(), "doc_id")
 
 
+@query
+def op1_decontamination(spark, sf_dir):
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_passages(spark, sf_dir):
+    return passages.repeats(read(spark, sf_dir, "documents")).drop("version")
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")

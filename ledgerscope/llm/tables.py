@@ -75,3 +75,13 @@ def components(edges: DataFrame) -> DataFrame:
             "labels",
         )
     return labels
+
+
+# Up to this many ids (16 bytes each) are handed to all tasks; more are joined by a shuffle.
+MOST_IDS = 2_000_000
+
+
+def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among ``ids`` (one distinct long column of that name, already written)."""
+    small = ids.count() <= MOST_IDS
+    return df.join(F.broadcast(ids) if small else ids, column, "left_semi")
