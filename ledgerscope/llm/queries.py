@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import decontamination, fingerprints, langid, mixing, neardups, passages, quality, toxicity, urls
+from ledgerscope.llm import decontamination, fingerprints, langid, mixing, neardups, ngrams, passages, quality, toxicity, urls
 from ledgerscope.llm.samples import split_number
 from ledgerscope.llm.tables import read
 
@@ -68,6 +68,13 @@ def op6_quality(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op7_lm_scores(spark, sf_dir):
+    held_out = split_number(F.col("doc_id"), 5) == 1
+    found = ngrams.scores(read(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train")))
+    return found.withColumn("held_out", held_out)
+
+
 @query
 def op8_neardups(spark, sf_dir):
     return neardups.near_duplicates(read(spark, sf_dir, "documents"), neardups.Settings(shingle=2))
