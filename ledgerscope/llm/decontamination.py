@@ -242,3 +242,20 @@ def block_matches(docs: DataFrame, items: list[tuple[int, str]], settings: Setti
                     )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits int, item_words int, first_word int, end_word int")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The documents in which no item is found, with all their columns; see ``contaminated``."""
+    names, schema = docs.columns, docs.schema
+    for block in blocks(benchmark, settings):
+
+        def run(batches: Iterator[pa.RecordBatch], items=block) -> Iterator[pa.RecordBatch]:
+            table = build(items, settings)
+            for batch in batches:
+                for part in pieces(batch):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[row[0] for row in search(part.column("text"), table, settings)]] = False
+                    yield part.select(names).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -63,7 +63,7 @@ def source_targets(
 
 
 def repetitions(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Add ``copies`` to rows of ``doc_id, source, size`` so that every source comes near its target.
+    """How to repeat the documents of each source (rows of ``source, size, draw``) so that it comes near its target.
 
     Each document is taken as often as whole epochs fit; of the rest, documents
     are taken once more in the order of a seeded hash up to the point nearest
@@ -119,15 +119,24 @@ def repetitions(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         .groupBy(F.col("source").alias("s_source"))
         .agg(F.min_by("draw", F.struct("left", "draw")).alias("swap"))
     )
-    plan = materialize(plan.join(swaps, F.col("p_source").eqNullSafe(F.col("s_source")), "left").drop("s_source"), "mix-plan")
+    return materialize(plan.join(swaps, F.col("p_source").eqNullSafe(F.col("s_source")), "left").drop("s_source"), "mix-plan")
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of ``source, draw`` and others with ``source_size, target, copies``."""
     again = (F.col("draw") <= F.col("last")) != F.coalesce(F.col("draw") == F.col("swap"), F.lit(False))
     return (
-        sizes.join(plan, in_source)
+        rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
         .withColumn("copies", F.col("whole") + again.cast("long"))
         .drop("p_source", "whole", "last", "gap", "swap")
     )
 
 
+def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    return materialize(
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("draw")), "sizes"
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -142,8 +151,24 @@ def mix(
     its copies. Repeated ids draw the same number, so they are taken alike.
     A table without rows gives none; other columns of ``docs`` are ignored.
     """
-    sizes = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("draw")), "sizes"
-    )
-    targets = source_targets(sizes, weights, share, max_epochs)
-    return repetitions(sizes, targets).withColumn("taken", F.col("size") * F.col("copies")).drop("draw")
+    sizes = sized(docs, seed)
+    plan = repetitions(sizes, source_targets(sizes, weights, share, max_epochs))
+    return with_copies(sizes, plan).withColumn("taken", F.col("size") * F.col("copies")).drop("draw")
+
+
+def mixed(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.0,
+    max_epochs: float = MAX_EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
+    """The mix itself: every document as often as it is taken, numbered by ``epoch`` from 1.
+
+    Keeps the columns of ``docs``; documents that are not taken are left out.
+    """
+    sizes = sized(docs, seed)
+    plan = repetitions(sizes, source_targets(sizes, weights, share, max_epochs))
+    drawn = docs.select(F.struct(*docs.columns).alias("doc"), "source", draw(F.col("doc_id"), seed).alias("draw"))
+    taken = with_copies(drawn, plan).where("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("epoch")).select("doc.*", "epoch")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.tables import components, key_of
+from ledgerscope.llm.tables import components, key_of, only
 from ledgerscope.llm.words import U64, Words, mix, pieces, seeds
 from ledgerscope.session import materialize
 
@@ -153,7 +153,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, settings: Settings) -> D
     index = materialize(found.join(meet, "pair", "left_semi"), "index")
     sets = classes.select("class_id", "doc_id", "set_a")
     wanted = sets.join(index.select("class_id").distinct(), "class_id", "left_semi").withColumn("key", key_of("doc_id")).drop("doc_id")
-    texts = materialize(docs.select(key_of("doc_id").alias("key"), "text").join(wanted, "key").select("class_id", "set_a", "text"), "class-texts")
+    wanted = materialize(wanted, "wanted-classes")
+    rows = only(docs.select(key_of("doc_id").alias("key"), "text"), wanted.select("key").distinct(), "key")
+    texts = materialize(rows.join(wanted, "key").select("class_id", "set_a", "text"), "class-texts")
 
     def links(candidates: DataFrame) -> DataFrame:
         """Confirmed links of candidate pairs, given with their sizes."""
@@ -212,3 +214,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     rows = signed.select("doc_id", "n_shingles", "class_id").join(of_class, "class_id", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns.
+
+    A row that repeats a kept document stays once. Rows without an id cannot be
+    told apart and all stay.
+    """
+    kept = near_duplicates(docs, settings).where("kept and doc_id is not null").groupBy("doc_id").count()
+    kept = materialize(kept, "kept-ids")
+    once = only(docs, kept.where("count = 1").select("doc_id"), "doc_id")
+    again = only(docs, kept.where("count > 1").select("doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
