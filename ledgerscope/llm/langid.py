@@ -156,8 +156,9 @@ def learn(labelled: DataFrame, most: int = MOST_PER_LANGUAGE, families: dict[str
     this bounded sample reach the driver.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    # At most ``most`` ids a language: few enough to be handed to all tasks that read the texts.
     ids = bounded(known.select("doc_id", "lang"), "lang", most).distinct()
-    chosen = known.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"])
+    chosen = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,11 +27,6 @@ def query(fn):
     return fn
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
-    """Documents that ``label`` is known of, with it."""
-    return docs.select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", label).distinct(), "doc_id")
-
-
 @query
 def op1_decontamination(spark, sf_dir):
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -50,7 +45,7 @@ def op3_passages(spark, sf_dir):
 @query
 def op4_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return toxicity.graded(docs, toxicity.learn(labelled(spark, sf_dir, docs, "toxic")))
+    return toxicity.graded(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
 
 
 @query
@@ -63,7 +58,7 @@ def op5_mixing(spark, sf_dir):
 def op6_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     held_out = split_number(F.col("doc_id"), 4) == 2
-    ranking = quality.learn(labelled(spark, sf_dir, docs, "quality").where(~held_out))
+    ranking = quality.learn(docs, read(spark, sf_dir, "labels").where(~held_out))
     scored = quality.scored(docs, ranking, ["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

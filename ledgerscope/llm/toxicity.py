@@ -114,14 +114,16 @@ def fit(hashes: list[np.ndarray], toxic: np.ndarray, most: int = GRADES) -> Seve
     return Severity(words[use][order], w[order], theta)
 
 
-def learn(labelled: DataFrame, most: int = MOST_PER_LABEL) -> Severity:
-    """Fit on at most ``most`` documents of each label of ``doc_id, text, toxic`` (other values teach nothing).
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_LABEL) -> Severity:
+    """Fit on at most ``most`` documents of each label of ``doc_id, toxic`` (values but 0 and 1 teach nothing).
 
-    The distinct words of this bounded sample are all that reaches the driver.
+    The ids are drawn first; they are few enough, by ``most``, to be handed to
+    all tasks that read the texts. What is taken from this bounded sample is
+    all that reaches the driver.
     """
-    known = labelled.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    ids = bounded(known.select("doc_id", "toxic"), "toxic", most).distinct()
-    chosen = known.select("doc_id", "toxic", "text").join(ids, ["doc_id", "toxic"])
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    ids = bounded(known, "toxic", most).distinct()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
