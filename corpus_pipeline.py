@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.llm import decontamination, mixing, neardups, passages, quality
-from ledgerscope.llm.queries import labelled
 from ledgerscope.llm.tables import read
 from ledgerscope.session import materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    ranking = quality.learn(labelled(spark, sf_dir, docs, "quality"))
+    ranking = quality.learn(docs, read(spark, sf_dir, "labels"))
     return quality.scored(docs, ranking, docs.columns).where("predicted = 1").select(*docs.columns)
 
 
