@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.tables import key_of, numbered
+from ledgerscope.llm.tables import NO_ID, key_of, numbered
 from ledgerscope.session import materialize
 
 RUN = 32
@@ -117,16 +117,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     empty; repeated rows keep a row each; a table without rows gives none;
     other columns are ignored.
     """
-    texts = docs.select("doc_id", key_of("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins read the same two columns by the same key, so the texts are shuffled once.
+    texts = docs.select(key_of("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     links = materialize(next_ids(texts), "next-ids")
     offered = (
-        texts.select(F.col("key").alias("next_key"), "text")
-        .join(links, "next_key")
-        .select("key", F.expr("substring(text, 1, cast(half as int))").alias("offer"), F.sha2("text", 256).alias("sha"))
+        texts.join(links.select(F.col("next_key").alias("key"), F.col("key").alias("owner"), "half"), "key")
+        .select(F.col("owner").alias("key"), F.expr("substring(text, 1, cast(half as int))").alias("offer"), F.sha2("text", 256).alias("sha"))
         .groupBy("key")
         .agg(F.min_by("offer", "sha").alias("offer"))
     )
     edited = texts.join(offered, "key").withColumn("n_chars", F.length("text").cast("long"))
+    edited = edited.withColumn("doc_id", F.when(F.col("key") != NO_ID, F.col("key")))
     edited = edited.withColumn(
         "edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(offer, 1, cast(n_chars div 2 as int)))")
     )
