@@ -165,8 +165,10 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: every document as often as it is taken, numbered by ``epoch`` from 1.
 
-    Keeps the columns of ``docs``; documents that are not taken are left out.
+    Keeps the columns of ``docs`` (but for one that is called ``epoch``);
+    documents that are not taken are left out.
     """
+    docs = docs.drop("epoch")
     sizes = sized(docs, seed)
     plan = repetitions(sizes, source_targets(sizes, weights, share, max_epochs))
     drawn = docs.select(F.struct(*docs.columns).alias("doc"), "source", draw(F.col("doc_id"), seed).alias("draw"))
