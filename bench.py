@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -62,6 +64,8 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    work = tempfile.mkdtemp(prefix="ledgerscope-bench-")
+    spark.conf.set("spark.checkpoint.dir", work)
     from ledgerscope.plans.catalog import QUERIES
 
     QUERIES["overview_stats"](spark, sf_dir).collect()  # start the JVM's compilers
@@ -72,6 +76,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
+    shutil.rmtree(work, ignore_errors=True)
     scale = os.path.basename(sf_dir).removeprefix("sf")
     print(
         json.dumps(

@@ -200,11 +200,11 @@ def features_from_json(text: Column) -> Column:
     return F.from_json(text, "map<string,double>")
 
 
-def clamp_limit(limit: int | None, default: int, maximum: int) -> int:
-    """Limits that are missing or not positive become the default; larger ones the maximum."""
+def clamp_limit(limit: int | None, default: int, maximum: int | None = None) -> int:
+    """Limits that are missing or not positive become the default; larger ones the maximum, if there is one."""
     if limit is None or limit <= 0:
         return default
-    return min(limit, maximum)
+    return limit if maximum is None else min(limit, maximum)
 
 
 def clamp_hours(hours: int | None) -> int:

@@ -116,7 +116,7 @@ def active_candidates(transactions: DataFrame, limit: int = 6) -> DataFrame:
 
 def counterparties(transactions: DataFrame, limit: int | None = None) -> DataFrame:
     """Per address, the partners with most transfers (unlabelled)."""
-    n = S.clamp_limit(limit, 8, 50)
+    n = S.clamp_limit(limit, 8)
     totals = (
         touches(transactions, "value", "timestamp")
         .filter(F.col("counterparty").isNotNull())
@@ -137,7 +137,7 @@ def counterparties(transactions: DataFrame, limit: int | None = None) -> DataFra
 
 def recent_for_accounts(transactions: DataFrame, limit: int | None = None, *keep: str) -> DataFrame:
     """Per address, its latest transactions; a transfer to oneself appears once."""
-    n = S.clamp_limit(limit, 8, 50)
+    n = S.clamp_limit(limit, 8)
     rows = distinct_touches(transactions, "hash", "timestamp", *keep)
     order = Window.partitionBy("address").orderBy(F.desc_nulls_first("timestamp"), "hash")
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)

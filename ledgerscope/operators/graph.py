@@ -180,8 +180,9 @@ def address_graph_nodes(
             degree.alias("degree"),
         )
     )
+    # The trails already tell which centers have edges.
     alone = centers.select(F.col("address").alias("node")).join(
-        touches(edges).select(F.col("address").alias("node")).distinct(), "node", "left_anti"
+        paths.select(F.col("center").alias("node")).distinct(), "node", "left_anti"
     )
     # The stand-alone node goes through the same label step, which lets flag risk override.
     single = alone.join(facts, "node").select(

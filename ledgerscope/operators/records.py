@@ -18,11 +18,15 @@ LISTED = ["hash", "from_address", "to_address", "value", "gas", "gas_price", "no
 def project_raw(raw: DataFrame) -> DataFrame:
     """Raw deliveries as ledger rows, with ``problem`` set where a row cannot be stored.
 
-    Amounts are exact to 38 digits; longer ones are reported, never rounded.
+    Amounts are whole numbers, exact to 38 digits; fractions, signs and longer
+    ones are reported, never rounded.
     """
     value = F.coalesce(S.empty_to_null(F.col("value")), F.lit("0"))
     gas_price = F.coalesce(S.empty_to_null(F.col("gas_price")), F.lit("0"))
-    exact = {"value": value.try_cast("decimal(38,0)"), "gas_price": gas_price.try_cast("decimal(38,0)")}
+    exact = {
+        name: F.when(amount.rlike("^[0-9]+$"), amount).try_cast("decimal(38,0)")
+        for name, amount in (("value", value), ("gas_price", gas_price))
+    }
     return raw.select(
         F.col("hash"),
         S.normalize_address(F.col("from")).alias("from_address"),
@@ -131,13 +135,17 @@ def newest_flags(flags: DataFrame) -> DataFrame:
 def _one_flag_per_key(flags: DataFrame, *order) -> DataFrame:
     keys = ["tx_hash", "address", "flag_type"]
     complete = F.col("tx_hash").isNotNull() & F.col("address").isNotNull() & F.col("flag_type").isNotNull()
-    ranked = flags.filter(complete).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter("_n = 1").drop("_n").unionByName(flags.filter(~complete))
+    # Incomplete flags pass in the same scan: a number of their own keeps them apart and spreads them out.
+    alone = F.when(~complete, F.monotonically_increasing_id())
+    ranked = flags.withColumn("_alone", alone)
+    by_key = Window.partitionBy(*keys, "_alone").orderBy(*order)
+    return ranked.withColumn("_n", F.row_number().over(by_key)).filter("_n = 1").drop("_n", "_alone")
 
 
 def new_flags(found: DataFrame, stored: DataFrame) -> DataFrame:
-    """Flags not stored yet."""
-    return found.join(stored.select("tx_hash", "address", "flag_type"), ["tx_hash", "address", "flag_type"], "left_anti")
+    """Flags not stored yet, one for each transaction, address and type (the earliest, then by text)."""
+    once = _one_flag_per_key(found, F.asc("detected_at"), F.asc("severity"), F.asc("description"))
+    return once.join(stored.select("tx_hash", "address", "flag_type"), ["tx_hash", "address", "flag_type"], "left_anti")
 
 
 def listed_flags(flags: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def nearest_stored(asked: DataFrame, stored: DataFrame, max_distance: float) ->
 
 def similar_bytecode(samples: DataFrame, contracts: DataFrame, limit: int | None = None) -> DataFrame:
     """The nearest stored contracts for code that need not be stored itself."""
-    n = S.clamp_limit(limit, 10, 50)
+    n = S.clamp_limit(limit, 10)
     queries = samples.filter(S.octets(F.col("bytecode")) > 0).select(
         F.col("address").alias("id"), bytecode_embedding(F.col("bytecode")).alias("vector")
     )

@@ -568,9 +568,9 @@ def return_paths(ledger):
 def _traces_to_hub(ledger: Ledger) -> DataFrame:
     """How every account reaches the best connected node."""
     edges = G.graph_edges(ledger.transactions)
-    hub = G.node_degrees(edges).orderBy(F.desc("degree"), "address").limit(1).select(F.lit(1).alias("one"), F.col("address").alias("dst"))
-    requests = ledger.accounts.select(F.col("address").alias("src"), F.lit(1).alias("one")).join(hub, "one")
-    return P.shortest_paths(edges, requests.select("src", "dst"))
+    hub = G.node_degrees(edges).orderBy(F.desc("degree"), "address").first()
+    requests = ledger.accounts.select(F.col("address").alias("src"), F.lit(hub["address"] if hub else None).cast("string").alias("dst"))
+    return P.shortest_paths(edges, requests)
 
 
 @on_ledger

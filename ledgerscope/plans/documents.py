@@ -142,11 +142,18 @@ def transaction_details(ledger: Ledger) -> DataFrame:
     profiles = materialize(profiles, "profiles")  # joined twice
     sender = profiles.select([F.col(c).alias(f"from_{c}") for c in profiles.columns])
     recipient = profiles.select([F.col(c).alias(f"to_{c}") for c in profiles.columns])
-    tx = ledger.transactions.select("hash", "from_address", "to_address", "value", "data", "timestamp")
+    tx = ledger.transactions.select("hash", "from_address", "to_address", "value", "timestamp")
+    sent = tx.join(sender, "from_address", "left")
+    # Creations have no recipient to look up; as one null key they would meet in one task.
+    called = sent.filter(F.col("to_address").isNotNull()).join(recipient, "to_address", "left")
+    nobody = [F.lit(None).cast(recipient.schema[c].dataType).alias(c) for c in recipient.columns if c != "to_address"]
+    created = sent.filter(F.col("to_address").isNull()).select("*", *nobody)
+    # The payload joins last, so that it is moved once.
+    payload = ledger.transactions.select("hash", "data")
     return (
-        tx.join(per_tx, "hash", "left")
-        .join(sender, "from_address", "left")
-        .join(recipient, "to_address", "left")
+        called.unionByName(created)
+        .join(per_tx, "hash", "left")
+        .join(payload, "hash")
         .select(
             "hash",
             "from_address",

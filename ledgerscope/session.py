@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,8 +36,8 @@ def build_session(app: str = "ledgerscope", master: str | None = None, **conf: s
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own: executors of a
-    cluster could not see it.
+    Only a local master may fall back to a folder of its own, which goes with
+    the process: executors of a cluster could not see it.
     """
     configured = spark.conf.get(WORK_DIR_CONF, None)
     if configured:
@@ -43,6 +45,7 @@ def work_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {WORK_DIR_CONF} to a folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="ledgerscope-")
+    atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     spark.conf.set(WORK_DIR_CONF, fallback)
     return fallback
 

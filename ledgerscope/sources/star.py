@@ -198,7 +198,10 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_deliveries(events: DataFrame) -> DataFrame:
-    """Raw deliveries: every event arrives, and each error event again five minutes later."""
+    """Raw deliveries: every event arrives, and each error event again five minutes later.
+
+    Some amounts cannot be stored: too long, with a fraction, or negative.
+    """
     again = F.when(F.col("event_type") == "error", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     spaced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), addr(F.col("user_id")))).otherwise(
         addr(F.col("user_id"))
@@ -209,6 +212,8 @@ def as_deliveries(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") != "signup", addr(F.col("k"))).otherwise("").alias("to"),
         F.when(F.col("event_type") == "signup", F.lit(None))
         .when(F.col("k") == 99, F.concat(F.lit("1"), F.repeat(F.lit("0"), 40)))
+        .when(F.col("k") == 98, F.lit("1.7"))
+        .when(F.col("k") == 97, F.lit("-5"))
         .otherwise(F.concat(F.round(F.col("value") * 100).cast("long").cast("string"), F.repeat(F.lit("0"), 16)))
         .alias("value"),
         (F.lit(21000) + F.col("event_id") % 50000).cast("long").alias("gas"),
@@ -270,6 +275,34 @@ def _node_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_type", "timestamp", F.inline(sides))
 
 
+def land_deliveries(spark: SparkSession, sf_dir: str, path: str, parts: int = 4) -> DataFrame:
+    """Deliveries as landing folders, one after the other.
+
+    The folders do not follow the time of the rows, and each but the first also
+    brings rows of the one before again, fifteen hours later.
+    """
+    rows = deliveries(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(parts)))
+    later = rows.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 15 HOURS"))
+    for part in range(parts):
+        landed = rows.filter(F.col("part") == part)
+        if part:
+            landed = landed.unionByName(later.filter(F.col("part") == part - 1))
+        landed.drop("part").write.parquet(f"{path}/part-{part}")
+    return rows.drop("part")
+
+
+def landed_events(spark: SparkSession, sf_dir: str, path: str, parts: int = 4, in_order: bool = True) -> DataFrame:
+    """The events as a stream of several batches, by time or across it."""
+    events = table(spark, sf_dir, "events")
+    bounds = events.select(F.min("event_id"), F.max("event_id")).first()
+    step = (bounds[1] - bounds[0]) // parts + 1 if bounds[0] is not None else 1
+    part = F.floor((F.col("event_id") - F.lit(bounds[0])) / step) if in_order else F.pmod(F.col("event_id"), F.lit(parts))
+    for i in range(parts):
+        events.filter(part == i).write.parquet(f"{path}/part-{i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
+    return shape_events(stream)
+
+
 def event_stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
     """The event files as a stream."""
     schema = table(spark, sf_dir, "events").schema

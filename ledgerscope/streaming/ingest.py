@@ -18,8 +18,9 @@ from ledgerscope.session import scratch_path
 from ledgerscope.sources import star
 from ledgerscope.streaming.store import BatchStore
 
-# How late a repeated delivery may come and still be recognised.
-REPEAT_DELAY = "1 hour"
+# Keeps the hashes a stream has seen on disk instead of in memory.
+STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 QUARANTINE = T.StructType([*schemas.TRANSACTIONS.fields, T.StructField("problem", T.StringType())])
 ACCOUNTS = T.StructType(
@@ -58,23 +59,26 @@ RAISED = T.StructType(
 )
 
 
-def deduplicated(raw: DataFrame, delay: str = REPEAT_DELAY) -> DataFrame:
-    """A stream of checked rows in which repeated deliveries of a hash are dropped.
+def deduplicated(raw: DataFrame) -> DataFrame:
+    """A stream of checked rows in which each hash passes once, however late it is delivered again.
 
-    Rows without a hash are told apart by their whole content.
+    The first good delivery passes, as for a ledger that refuses a hash it has.
+    A bad delivery does not use up its hash: bad ones are told apart by their
+    whole content. No row is dropped for being late, so the hashes seen are
+    kept for good (on disk, 32 bytes of key each).
     """
     projected = R.project_raw(raw)
-    key = F.coalesce("hash", F.sha2(F.to_json(F.struct(*projected.columns)), 256))
-    return (
-        projected.withColumn("_key", key)
-        .withWatermark("timestamp", delay)
-        .dropDuplicatesWithinWatermark(["_key"])
-        .drop("_key")
-    )
+    content = F.concat(F.lit("bad "), F.sha2(F.to_json(F.struct(*projected.columns)), 256))
+    key = F.when(F.col("problem").isNull(), F.col("hash")).otherwise(content)
+    return projected.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
 
 
 def start_ingest(raw: DataFrame, store: BatchStore, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append good rows to the ledger and set bad rows aside with their problem."""
+    """Append good rows to the ledger and set bad rows aside with their problem.
+
+    Every delivery is in one of the two tables or repeats one that is.
+    """
+    raw.sparkSession.conf.set(STATE_CONF, DISK_STATE)
     store.create(raw.sparkSession, "transactions", schemas.TRANSACTIONS)
     store.create(raw.sparkSession, "quarantine", QUARANTINE)
 
@@ -88,11 +92,32 @@ def start_ingest(raw: DataFrame, store: BatchStore, checkpoint: str, **trigger)
     return stream.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
 
 
+def _unique(*names: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.dropDuplicates(list(names))
+
+
+def _merge_state(spark: SparkSession, batch_id: int, store: BatchStore) -> None:
+    """Fold what earlier batches left, so that later ones read few folders."""
+    if batch_id <= 0 or batch_id % store.merge_every:
+        return
+    resolved = spark.read.schema(RESOLVED).parquet(*store.folders("resolved", batch_id - store.merge_every, batch_id))
+    folds = {
+        "pairs": lambda rows: rows.groupBy("from_address", "to_address").agg(F.min("timestamp").alias("timestamp")),
+        "vectors": _unique("address"),
+        "flags": lambda rows: rows,
+        "waiting": lambda rows: rows.join(resolved, "hash", "left_anti"),
+        "resolved": lambda rows: rows.filter(F.lit(False)),
+    }
+    for table, fold in folds.items():
+        store.merge(spark, table, ENRICHMENT_TABLES[table], batch_id, fold)
+
+
 def enrich_batch(batch: DataFrame, batch_id: int, store: BatchStore, bytecode: DataFrame) -> None:
     """Accounts, graph, fingerprints and flags for one batch of ledger rows."""
     spark = batch.sparkSession
+    _merge_state(spark, batch_id, store)
     waiting = store.before(spark, "waiting", schemas.TRANSACTIONS, batch_id).join(
-        store.before(spark, "resolved", T.StructType([T.StructField("hash", T.StringType())]), batch_id), "hash", "left_anti"
+        store.before(spark, "resolved", RESOLVED, batch_id), "hash", "left_anti"
     )
     store.write(build_accounts(batch, bytecode), "accounts", batch_id)
 
@@ -123,55 +148,96 @@ def enrich_batch(batch: DataFrame, batch_id: int, store: BatchStore, bytecode: D
     store.write(R.new_flags(circular.unionByName(similar), earlier).select(*RAISED.fieldNames()), "flags", batch_id)
 
 
+RESOLVED = T.StructType([T.StructField("hash", T.StringType())])
 ENRICHMENT_TABLES = {
     "accounts": ACCOUNTS,
     "pairs": PAIRS,
     "vectors": VECTORS,
     "flags": RAISED,
     "waiting": schemas.TRANSACTIONS,
-    "resolved": T.StructType([T.StructField("hash", T.StringType())]),
+    "resolved": RESOLVED,
 }
 
 
 def start_enrichment(
-    transactions: DataFrame, store: BatchStore, bytecode: DataFrame, checkpoint: str, **trigger
+    transactions: DataFrame, store: BatchStore, bytecode: Callable[[], DataFrame], checkpoint: str, **trigger
 ) -> StreamingQuery:
+    """Enrich a stream of ledger rows.
+
+    ``bytecode`` is called for every batch: a DataFrame keeps the list of files
+    it was made with and would never see code written later.
+    """
     for name, schema in ENRICHMENT_TABLES.items():
         store.create(transactions.sparkSession, name, schema)
 
     def enrich(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
-        enrich_batch(rows, batch_id, store, bytecode)
+        enrich_batch(rows, batch_id, store, bytecode())
         rows.unpersist()
 
     stream = transactions.writeStream.foreachBatch(enrich).option("checkpointLocation", checkpoint)
     return stream.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
 
 
-def windowed_metrics(transactions: DataFrame, window: str = "1 hour", delay: str = REPEAT_DELAY) -> DataFrame:
-    """Network metrics over closed windows of a stream.
+PARTIALS = T.StructType(
+    [
+        T.StructField("bucket", T.TimestampType()),
+        T.StructField("address", T.StringType()),
+        T.StructField("tx", T.LongType()),
+        T.StructField("value", schemas.WEI),
+        T.StructField("gas", schemas.WEI),
+        T.StructField("priced", T.LongType()),
+    ]
+)
 
-    Grouped by participant first: that makes the distinct count exact and keeps
-    each step's state small per key.
-    """
-    no_amount = F.lit(None).cast(schemas.WEI)
+
+def _folded(partials: DataFrame) -> DataFrame:
+    sums = [F.sum(c).cast(PARTIALS[c].dataType).alias(c) for c in ("tx", "value", "gas", "priced")]
+    return partials.groupBy("bucket", "address").agg(*sums)
+
+
+def metric_partials(transactions: DataFrame, unit: str = "hour") -> DataFrame:
+    """Counts and sums for each bucket and participant; the sender's row carries the amounts."""
+    none = F.lit(None).cast(schemas.WEI)
     sides = F.array(
-        F.struct(F.col("from_address").alias("address"), F.lit(1).cast("long").alias("tx"), "value"),
-        F.struct(F.col("to_address").alias("address"), F.lit(0).cast("long").alias("tx"), no_amount.alias("value")),
+        F.struct(F.col("from_address").alias("address"), F.lit(1).cast("long").alias("tx"), "value", F.col("gas_price").alias("gas")),
+        F.struct(F.col("to_address").alias("address"), F.lit(0).cast("long").alias("tx"), none.alias("value"), none.alias("gas")),
     )
-    rows = transactions.withWatermark("timestamp", delay).select("timestamp", F.inline(sides))
-    per_address = rows.groupBy(F.window("timestamp", window), "address").agg(
-        F.sum("tx").alias("tx"), F.sum("value").alias("value")
-    )
-    return (
-        per_address.groupBy(F.window(F.window_time("window"), window))
-        .agg(
-            F.sum("tx").alias("transaction_count"),
-            F.count("address").alias("unique_addresses"),
-            F.sum("value").cast(schemas.WEI).alias("total_value"),
-        )
-        .select(F.col("window.start").alias("bucket"), "transaction_count", "unique_addresses", "total_value")
+    rows = transactions.select(F.date_trunc(unit, "timestamp").alias("bucket"), F.inline(sides))
+    return _folded(rows.withColumn("priced", F.col("gas").isNotNull().cast("long")))
+
+
+def start_network_metrics(
+    transactions: DataFrame, store: BatchStore, checkpoint: str, unit: str = "hour", **trigger
+) -> StreamingQuery:
+    """Keep network metrics of a stream up to date.
+
+    Every batch adds its partial sums by bucket and participant. They add up
+    exactly, so a row counts in its bucket however late it comes, and the last
+    bucket can be read before it is over.
+    """
+    store.create(transactions.sparkSession, "partials", PARTIALS)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        store.merge(batch.sparkSession, "partials", PARTIALS, batch_id, _folded)
+        store.write(metric_partials(batch, unit), "partials", batch_id)
+
+    stream = transactions.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return stream.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+
+
+def stored_network_metrics(spark: SparkSession, store: BatchStore) -> DataFrame:
+    """Network metrics over all buckets the stream has seen."""
+    per_address = _folded(store.read(spark, "partials", PARTIALS).drop("batch"))
+    totals = per_address.groupBy("bucket").agg(
+        F.sum("tx").alias("transaction_count"),
+        F.count("address").alias("unique_addresses"),
+        F.sum("gas").alias("gas"),
+        F.sum("priced").alias("priced"),
+        F.sum("value").cast(schemas.WEI).alias("total_value"),
     )
+    average = F.coalesce(F.col("gas").cast("double") / F.nullif(F.col("priced"), F.lit(0)), F.lit(0.0))
+    return totals.select("bucket", "transaction_count", "unique_addresses", average.alias("avg_gas_price"), "total_value")
 
 
 def start_snapshots(
@@ -190,33 +256,32 @@ def start_snapshots(
 
 
 def run_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deliveries in several batches out of time order, with repeats much later."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     root = scratch_path(spark, "ingest")
-    raw = star.as_deliveries(star.event_stream(spark, sf_dir))
-    start_ingest(raw, BatchStore(root), f"{root}/_checkpoint", availableNow=True).awaitTermination()
+    landed = star.land_deliveries(spark, sf_dir, f"{root}/landed")
+    stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed/part-*")
+    start_ingest(stream, BatchStore(root), f"{root}/_checkpoint", availableNow=True).awaitTermination()
     rows = BatchStore(root).read(spark, "transactions", schemas.TRANSACTIONS)
     return rows.select("hash", "from_address", "to_address", F.col("value").cast("string").alias("value"))
 
 
 def run_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in several batches, in time order, and compaction on the way."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     root = scratch_path(spark, "enrich")
-    events = star.event_stream(spark, sf_dir).withColumn("nonce", F.lit(0).cast("long"))
-    store = BatchStore(root)
-    query = start_enrichment(
-        star.as_transactions(events), store, star.bytecode(spark, sf_dir), f"{root}/_checkpoint", availableNow=True
-    )
-    query.awaitTermination()
+    events = star.landed_events(spark, sf_dir, f"{root}/landed").withColumn("nonce", F.lit(0).cast("long"))
+    store = BatchStore(root, merge_every=2)
+    code = lambda: star.bytecode(spark, sf_dir)
+    start_enrichment(star.as_transactions(events), store, code, f"{root}/_checkpoint", availableNow=True).awaitTermination()
     return store.read(spark, "flags", RAISED).select("tx_hash", "address", "flag_type", "severity", "detected_at")
 
 
 def run_network_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in several batches; every bucket is there, the last one too."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     root = scratch_path(spark, "metrics")
-    events = star.event_stream(spark, sf_dir).withColumn("nonce", F.lit(0).cast("long"))
-    metrics = windowed_metrics(star.as_transactions(events))
-    sink = metrics.writeStream.format("parquet").option("path", f"{root}/metrics")
-    sink = sink.option("checkpointLocation", f"{root}/_checkpoint").outputMode("append").trigger(availableNow=True)
-    sink.start().awaitTermination()
-    rows = spark.read.schema(metrics.schema).parquet(f"{root}/metrics")
-    return rows.withColumn("total_value", F.col("total_value").cast("string"))
+    events = star.landed_events(spark, sf_dir, f"{root}/landed", in_order=False).withColumn("nonce", F.lit(0).cast("long"))
+    store = BatchStore(root, merge_every=2)
+    start_network_metrics(star.as_transactions(events), store, f"{root}/_checkpoint", availableNow=True).awaitTermination()
+    return stored_network_metrics(spark, store).withColumn("total_value", F.col("total_value").cast("string"))

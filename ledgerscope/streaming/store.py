@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,15 @@ class BatchStore:
 
     A batch that is replayed after a failure overwrites its own sub-folder, and
     reads for a batch see earlier batches only, so replays change nothing.
+
+    What batches read back is merged every ``merge_every`` batches into a base
+    beside the table, so that a batch opens one base and fewer batch folders
+    than that, however old the stream is. Folders are named by number and not
+    searched for.
     """
 
     root: str
+    merge_every: int = 20
 
     def write(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch_id}")
@@ -27,11 +34,31 @@ class BatchStore:
         self.write(spark.createDataFrame([], schema), table, -1)
 
     def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+        """Everything that batches wrote, with the batch."""
         with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
         return spark.read.schema(with_batch).parquet(f"{self.root}/{table}")
 
+    def folders(self, table: str, first: int, end: int) -> list[str]:
+        """The folders that hold the batches before ``end``: the base below ``first``, if any, and those from it on."""
+        base = [f"{self.root}/_{table}/before={first}"] if first > 0 else []
+        return [*base, *[f"{self.root}/{table}/batch={i}" for i in range(first, end)]]
+
     def before(self, spark: SparkSession, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
-        return self.read(spark, table, schema).filter(F.col("batch") < batch_id).drop("batch")
+        """What earlier batches wrote, as far as ``merge`` kept it."""
+        first = batch_id // self.merge_every * self.merge_every
+        folders = self.folders(table, first, batch_id)
+        return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
     def upto(self, spark: SparkSession, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
-        return self.read(spark, table, schema).filter(F.col("batch") <= batch_id).drop("batch")
+        own = spark.read.schema(schema).parquet(f"{self.root}/{table}/batch={batch_id}")
+        return self.before(spark, table, schema, batch_id).unionByName(own)
+
+    def merge(
+        self, spark: SparkSession, table: str, schema: T.StructType, batch_id: int, fold: Callable[[DataFrame], DataFrame]
+    ) -> None:
+        """At every ``merge_every``-th batch, write the base that it and its successors read."""
+        if batch_id <= 0 or batch_id % self.merge_every:
+            return
+        folders = self.folders(table, batch_id - self.merge_every, batch_id)
+        rows = fold(spark.read.schema(schema).parquet(*folders))
+        rows.select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/_{table}/before={batch_id}")

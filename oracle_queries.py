@@ -101,13 +101,13 @@ CTES = {
         FROM once o JOIN tx t USING (hash) QUALIFY position <= 8""",
     "deliv": f"""SELECT {txh('event_id')} AS hash, {addr('user_id')} AS from_address,
         CASE WHEN event_type <> 'signup' THEN {addr('k')} END AS to_address,
-        CASE WHEN event_type = 'signup' THEN '0' WHEN k = 99 THEN NULL
+        CASE WHEN event_type = 'signup' THEN '0' WHEN k IN (97, 98, 99) THEN NULL
              ELSE (round(value * 100)::BIGINT::HUGEINT * 10000000000000000::HUGEINT)::VARCHAR END AS value,
         21000 + event_id % 50000 AS gas, ((event_id % 97 + 1)::HUGEINT * 1000000000)::VARCHAR AS gas_price,
         0::BIGINT AS nonce, 0::BIGINT AS block_number,
         CASE WHEN event_type IN ('click', 'view') THEN encode(props) END AS data,
         timestamp + to_minutes((5 * copy)::INT) AS timestamp,
-        CASE WHEN event_type <> 'signup' AND k = 99 THEN 'value does not fit' END AS problem
+        CASE WHEN event_type <> 'signup' AND k IN (97, 98, 99) THEN 'value does not fit' END AS problem
         FROM ev, LATERAL (SELECT unnest(CASE WHEN event_type = 'error' THEN [0, 1] ELSE [0] END) AS copy)""",
     "repflags": f"""SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS id, {txh('l_orderkey')} AS tx_hash,
         CASE WHEN l_suppkey % 10 <> 0 THEN {addr('l_suppkey % 50')} END AS address,
@@ -324,6 +324,18 @@ def similar_flags(pool: str) -> str:
         FROM ({CALLS}) c JOIN {nearest(pool, pool, 1)} n ON n.address = c.to_address WHERE s >= 0.98"""
 
 
+# Events arrive in four batches; a call is held against the contracts called so far.
+SIMILAR_SO_FAR = f"""bounds AS (SELECT min(event_id) AS low, (max(event_id) - min(event_id)) // 4 + 1 AS step FROM ev),
+calls AS (SELECT c.*, (e.event_id - b.low) // b.step AS part FROM ({CALLS}) c JOIN ev e ON c.hash = {txh('e.event_id')} CROSS JOIN bounds b),
+seen AS (SELECT v.*, f.part FROM vec v JOIN (SELECT to_address AS address, min(part) AS part FROM calls GROUP BY 1) f USING (address)),
+best AS (SELECT p.to_address, p.part, max(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)) AS s
+    FROM (SELECT DISTINCT to_address, part FROM calls) p JOIN seen a ON a.address = p.to_address
+    JOIN seen b ON b.address <> a.address AND b.part <= p.part GROUP BY 1, 2),
+alike AS (SELECT c.hash AS tx_hash, c.to_address AS address, 'similar_bytecode' AS flag_type,
+    CASE WHEN s >= 0.995 THEN 'high' WHEN s >= 0.985 THEN 'medium' ELSE 'low' END AS severity, c.timestamp AS detected_at
+    FROM calls c JOIN best USING (to_address, part) WHERE s >= 0.98)"""
+
+
 def features_top() -> str:
     unpivoted = " UNION ALL ".join(
         f"SELECT address, {i} AS i, '{n}' AS feature, {n} AS v FROM feat" for i, n in enumerate(FEATURES)
@@ -737,16 +749,15 @@ ORACLES: dict[str, str] = {
     "stream_ingest": sql("SELECT DISTINCT hash, from_address, to_address, value FROM deliv WHERE problem IS NULL", "deliv"),
     "stream_enrich": sql(
         f"""SELECT tx_hash, address, flag_type, severity, detected_at FROM circular
-        UNION ALL SELECT tx_hash, address, flag_type, severity, detected_at FROM ({similar_flags('calledvec')})""",
-        "prs", "code",
-        extra=f"""{RETURNS}, {FINGERPRINT.format(n='vec', source='code')},
-        calledvec AS (SELECT * FROM vec WHERE address IN (SELECT to_address FROM ({CALLS})))""",
+        UNION ALL SELECT tx_hash, address, flag_type, severity, detected_at FROM alike""",
+        "prs", "code", "ev",
+        extra=f"""{RETURNS}, {FINGERPRINT.format(n='vec', source='code')}, {SIMILAR_SO_FAR}""",
     ),
     "stream_network_metrics": sql(
-        """SELECT b.bucket, transaction_count, unique_addresses, total_value FROM
-        (SELECT date_trunc('hour', timestamp)::TIMESTAMP AS bucket, count(*) AS transaction_count, sum(value)::VARCHAR AS total_value FROM tx GROUP BY 1) b
-        JOIN (SELECT date_trunc('hour', timestamp)::TIMESTAMP AS bucket, count(DISTINCT address) AS unique_addresses FROM tch GROUP BY 1) p USING (bucket)
-        WHERE b.bucket + INTERVAL 1 HOUR <= (SELECT as_of FROM run) - INTERVAL 1 HOUR""",
-        "tch", "run",
+        """SELECT b.bucket, transaction_count, unique_addresses, avg_gas_price, total_value FROM
+        (SELECT date_trunc('hour', timestamp)::TIMESTAMP AS bucket, count(*) AS transaction_count, sum(value)::VARCHAR AS total_value,
+            sum(gas_price)::DOUBLE / count(gas_price) AS avg_gas_price FROM tx GROUP BY 1) b
+        JOIN (SELECT date_trunc('hour', timestamp)::TIMESTAMP AS bucket, count(DISTINCT address) AS unique_addresses FROM tch GROUP BY 1) p USING (bucket)""",
+        "tch",
     ),
 }

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from ledgerscope import schemas
 from ledgerscope.operators import detectors as D
 from ledgerscope.operators import records as R
@@ -46,10 +48,10 @@ def stream_events(spark, tmp_path, parts):
 
 
 def test_enrichment_in_batches_equals_one_batch_run(spark, tmp_path):
-    store = BatchStore(str(tmp_path / "store"))
+    store = BatchStore(str(tmp_path / "store"), merge_every=2)
     code = star.bytecode(spark, SF)
     stream = stream_events(spark, tmp_path, 4)
-    ST.start_enrichment(stream, store, code, str(tmp_path / "check"), availableNow=True).awaitTermination()
+    ST.start_enrichment(stream, store, lambda: code, str(tmp_path / "check"), availableNow=True).awaitTermination()
     ledger = star.load(spark, SF)
 
     raised = store.read(spark, "flags", ST.RAISED)
@@ -89,6 +91,67 @@ def test_calls_wait_for_their_code(spark, tmp_path, make):
     assert store.read(spark, "flags", ST.RAISED).count() == 1
 
 
+def ingest(spark, tmp_path, files):
+    for rows in files:
+        landing.write_json(spark.createDataFrame(rows, schemas.RAW_TRANSACTIONS).coalesce(1), str(tmp_path / "in"), "append")
+    store = BatchStore(str(tmp_path / "out"))
+    raw = landing.stream_pending(spark, str(tmp_path / "in"), maxFilesPerTrigger="1")
+    ST.start_ingest(raw, store, str(tmp_path / "check"), availableNow=True).awaitTermination()
+    good = [(r.hash, r.timestamp) for r in store.read(spark, "transactions", schemas.TRANSACTIONS).orderBy("hash").collect()]
+    bad = sorted((r.hash, r.problem) for r in store.read(spark, "quarantine", ST.QUARANTINE).collect())
+    return good, bad
+
+
+def test_late_rows_and_late_repeats(spark, tmp_path):
+    """A row far older than the stream's latest is stored; a repeat fifteen hours later is not."""
+    at = lambda h: START + dt.timedelta(hours=h)
+    row = lambda name, hour: (name, "a", "b", "1", 1, "1", 0, None, at(hour))
+    good, bad = ingest(spark, tmp_path, [[row("h1", 20)], [row("h2", 40)], [row("h3", 6)], [row("h1", 55)], [row("h3", 6)]])
+    assert good == [("h1", at(20)), ("h2", at(40)), ("h3", at(6))] and bad == []
+
+
+def test_amounts_are_whole_and_bad_rows_keep_no_hash(spark, tmp_path):
+    row = lambda name, value: (name, "a", "b", value, 1, "1", 0, None, START)
+    good, bad = ingest(spark, tmp_path, [[row("h1", "1.7"), row("h2", "-5"), row("h3", "7")], [row("h1", "2"), row("h2", "-5")]])
+    assert [name for name, _ in good] == ["h1", "h3"]
+    assert bad == [("h1", "value does not fit"), ("h2", "value does not fit")]
+
+
+def test_code_written_while_the_stream_runs(spark, tmp_path, make):
+    """Calls wait in one run of the stream and are resolved in the next, which sees code written in between."""
+    family = b"\x60\x80" * 30
+    store = BatchStore(str(tmp_path / "store"), merge_every=2)
+    code = str(tmp_path / "code")
+    stored = lambda: spark.read.schema(schemas.BYTECODE).parquet(code)
+    first = make([("a", "c", 0, 1, b"x"), ("a", "d", 1, 1, b"x")], code=[("d", family)])
+    first.bytecode.write.parquet(code)
+    first.transactions.write.parquet(str(tmp_path / "tx"))
+    stream = spark.readStream.schema(schemas.TRANSACTIONS).parquet(str(tmp_path / "tx"))
+    query = ST.start_enrichment(stream, store, stored, str(tmp_path / "check"), processingTime="1 second")
+    try:
+        query.processAllAvailable()
+        assert store.read(spark, "flags", ST.RAISED).count() == 0
+        make([], code=[("c", family)]).bytecode.write.mode("append").parquet(code)
+        for minute in range(5, 10):
+            make([("x", "y", minute)]).transactions.withColumn("hash", F.lit(f"t{minute}")).write.mode("append").parquet(str(tmp_path / "tx"))
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    assert {(r.tx_hash, r.address) for r in store.read(spark, "flags", ST.RAISED).collect()} == {("h000", "c")}
+    assert len(store.folders("flags", 4, 5)) == 2
+
+
+def test_metrics_add_up_however_late(spark, tmp_path, make):
+    store = BatchStore(str(tmp_path / "store"), merge_every=2)
+    for minutes in ([600], [5], [601, 6], [7]):
+        rows = [("a", "b", m, 10) for m in minutes]
+        make(rows).transactions.write.mode("append").parquet(str(tmp_path / "tx"))
+    stream = spark.readStream.schema(schemas.TRANSACTIONS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "tx"))
+    ST.start_network_metrics(stream, store, str(tmp_path / "check"), availableNow=True).awaitTermination()
+    rows = ST.stored_network_metrics(spark, store).orderBy("bucket").collect()
+    assert [(r.transaction_count, r.unique_addresses, r.avg_gas_price, int(r.total_value)) for r in rows] == [(3, 2, 10.0, 30), (2, 2, 10.0, 20)]
+
+
 def test_snapshots(spark, tmp_path):
     ledger = star.load(spark, SF)
     stream = spark.readStream.schema(star.table(spark, SF, "events").schema).option("pathGlobFilter", "events.parquet").parquet(SF)
