@@ -12,7 +12,7 @@ from ledgerscope.session import materialize
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     ranking = quality.learn(docs, read(spark, sf_dir, "labels"))
-    return quality.scored(docs, ranking, docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.kept(docs, ranking)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
