@@ -9,8 +9,8 @@ counts have been deleted.
 The documents are packed first: a pack holds the words of many documents as
 numbers of its own vocabulary, and is written once. Counts travel as sorted
 arrays of hashed n-grams, dealt out by ranges of the hash, so that a frequent
-n-gram is one entry for each pack. Back to a pack go only counts that differ
-from its own, in other words those of n-grams that occur elsewhere too.
+n-gram is one entry for each pack. Back to a pack go the totals alone, in the
+order of its own n-grams.
 """
 
 from __future__ import annotations
@@ -113,11 +113,11 @@ class Pack:
         return words, np.bincount(self.pair[chosen], minlength=len(self.pair_keys))
 
     def totals(self, table: pa.Table) -> list[np.ndarray]:
-        """The counts over all training documents: the pack's own, replaced where the table has others."""
-        out = list(self.counts(self.in_training))
-        for kind, keys in ((0, self.vocabulary), (1, self.pair_keys)):
-            for row in table.filter(pa.compute.equal(table.column("kind"), kind)).select(["keys", "counts"]).to_pylist():
-                out[kind][np.searchsorted(keys, unpack_sorted(row["keys"]))] = unpack(row["counts"], np.int64)
+        """The counts of words and of pairs over all training documents, from the pack's rows of ``merged``."""
+        out = []
+        for kind in (0, 1):
+            rows = table.filter(pa.compute.equal(table.column("kind"), kind)).select(["range", "counts"]).to_pylist()
+            out.append(np.concatenate([unpack(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["range"])]))
         return out
 
 
@@ -148,14 +148,15 @@ def counted(packed: DataFrame, bits: int) -> DataFrame:
 
 
 def merged(counts: DataFrame) -> DataFrame:
-    """``pack, kind, keys, counts``: for each pack the totals that differ from its own counts.
+    """``pack, kind, range, counts``: for each pack the totals of its n-grams, in their order.
 
     Rows without a pack tell, in ``distinct`` and ``total``, how many n-grams a
     range has and how often they occur.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        out = {n: [] for n in ("pack", "kind", "keys", "counts", "distinct", "total")}
+        out = {n: [] for n in ("pack", "kind", "range", "counts", "distinct", "total")}
+        number = table.column("range")[0].as_py()
 
         def add(*row):
             for values, value in zip(out.values(), row):
@@ -171,17 +172,14 @@ def merged(counts: DataFrame) -> DataFrame:
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(place, np.concatenate(own), minlength=len(every)).astype(np.int64)
             at = 0
-            for number, k, c in zip(packs_, keys, own):
-                mine = total[place[at : at + len(k)]]
+            for name, k in zip(packs_, keys):
+                add(int(name), kind, number, pack(total[place[at : at + len(k)]]), 0, 0)
                 at += len(k)
-                other = mine != c
-                if other.any():
-                    add(int(number), kind, pack_sorted(k[other]), pack(mine[other]), 0, 0)
-            add(None, kind, None, None, int(np.count_nonzero(total)), int(total.sum()))
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            add(None, kind, number, None, int(np.count_nonzero(total)), int(total.sum()))
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
-    return counts.groupBy("range").applyInArrow(run, "pack long, kind int, keys binary, counts binary, distinct long, total long")
+    return counts.groupBy("range").applyInArrow(run, "pack long, kind int, range long, counts binary, distinct long, total long")
 
 
 def context_bucket(counts: np.ndarray) -> np.ndarray:
@@ -215,7 +213,7 @@ def held_out(packed: DataFrame, totals: DataFrame, starts: int, total: int, sett
             bucket, two, one = bucket[at], two[at], one[at]
             bins = [np.where(x > 0, np.clip(BINS + np.log10(np.maximum(x, 1e-300)) * FINENESS, 1, BINS).astype(np.int64), 0) for x in (two, one)]
             code, place = np.unique((bucket * (BINS + 1) + bins[0]) * (BINS + 1) + bins[1], return_inverse=True)
-            sums = [np.bincount(place, w, minlength=len(code)) for w in (np.ones(len(place)), two, one)]
+            sums = [np.bincount(place, w, minlength=len(code)).astype(float) for w in (np.ones(len(place)), two, one)]
             columns = [code // (BINS + 1) ** 2, code // (BINS + 1) % (BINS + 1), code % (BINS + 1), *sums]
             tables.append(pa.table([pa.array(c) for c in columns], names))
         return pa.concat_tables(tables) if tables else pa.table([pa.array([], t) for t in [pa.int64()] * 3 + [pa.float64()] * 3], names)
