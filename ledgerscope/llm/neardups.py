@@ -3,14 +3,15 @@
 Documents with equal shingle sets are one class. A class is posted under each
 pair of a coordinate and its value. Two classes with at least ``matches`` equal
 coordinates share a pair even among the ``coordinates - matches + 1`` rarest of
-each (prefix), so only those are posted and frequent pairs are skipped; the
-other coordinates are compared once a pair of classes has met. What is left is
-confirmed on the full shingle sets.
-
-Classes that meet under a pair are first held against the most typical of them
-only, the one whose pairs are the most frequent. Nearly all of a large group of
-near copies is linked that way, and only members of different components are
-then held against each other.
+each (prefix), so only those are posted and frequent pairs are skipped. The
+collisions of the other coordinates are counted where two classes meet, on one
+bit of each. Candidates that pass are counted again on many more bits, and what
+is left is confirmed on the full shingle sets.
+
+Classes that meet are first held against a few of them only, the most typical
+(whose pairs are the most frequent) and some at random. Nearly all of a large
+group of near copies is linked that way; then members of different components
+are held against each other.
 """
 
 from __future__ import annotations
@@ -30,14 +31,25 @@ from ledgerscope.session import materialize
 
 @dataclass(frozen=True)
 class Settings:
-    """``percent`` is the least similarity; with 48 coordinates, 26 matches miss about one pair in 10^5 at 80 %."""
+    """``percent`` is the least similarity.
+
+    At 80 %, 26 of 48 equal coordinates, 155 of 192 and 881 of 1024 equal bits
+    miss about one pair in 10^5 each; the first are the posted coordinates, and
+    unequal coordinates have equal bits half of the time.
+    """
 
     shingle: int = 5
     percent: int = 80
     coordinates: int = 48
     matches: int = 26
-    # Classes are held against the most typical one again while pairs left would be more than this many for each posting.
-    pairs_per_posting: int = 64
+    bits: int = 192
+    equal_bits: int = 155
+    sketch: int = 1024
+    equal_sketch: int = 881
+    # Pairs of a class under which it is held against the centres.
+    star_pairs: int = 2
+    # Rounds of centres go on while meetings left are more than this many for each posting.
+    meetings_per_posting: int = 5000
     star_rounds: int = 6
 
     @property
@@ -70,9 +82,24 @@ def set_ids(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
+def least_values(sets: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """The least hash of every non-empty set under each of ``n`` hash functions (32 bits)."""
+    begin = first[:-1][np.diff(first) > 0]
+    for factor in seeds(n, 9000) if len(begin) else []:
+        yield np.minimum.reduceat(sets * factor, begin) >> U64(32)
+
+
+def lists(rows: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """A list for each size: empty where it is 0, else the next of the rows."""
+    offsets = np.concatenate([[0], np.cumsum((sizes > 0) * rows.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+
+
 def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, signature`` for every row (signature null for empty sets)."""
-    factors = seeds(settings.coordinates, 9000)
+    """``doc_id, n_shingles, set_a, set_b, signature, bits`` for every row (empty lists for empty sets).
+
+    ``bits`` packs the lowest bit of every coordinate, also of those that are not posted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,115 +107,163 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
                 sets, first = shingle_sets(part.column("text"), settings.shingle)
                 a, b = set_ids(sets, first)
                 sizes = np.diff(first)
-                full = np.flatnonzero(sizes)
-                values = np.zeros((len(full), settings.coordinates), np.int32)
-                for k, factor in enumerate(factors if len(full) else []):
-                    values[:, k] = (np.minimum.reduceat(sets * factor, first[:-1][full]) >> U64(32)).astype(np.uint32).view(np.int32)
-                offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, settings.coordinates, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+                full = int(np.count_nonzero(sizes))
+                values = np.zeros((full, settings.coordinates), np.int32)
+                bits = np.zeros((full, settings.bits // 64), U64)
+                for k, least in enumerate(least_values(sets, first, settings.bits)):
+                    bits[:, k // 64] |= (least & U64(1)) << U64(k % 64)
+                    if k < settings.coordinates:
+                        values[:, k] = least.astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), lists],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                    [part.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), lists(values, sizes), lists(bits.view(np.int64), sizes)],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>")
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>, bits array<long>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def postings(classes: DataFrame, settings: Settings) -> DataFrame:
-    """``pair, class_id, size, typical``: every class under its rarest coordinate-value pairs."""
-    pairs = classes.where(F.col("size") >= settings.least_linked).select("class_id", "size", F.posexplode("signature").alias("at", "value"))
-    pairs = pairs.select("class_id", "size", F.xxhash64("at", "value").alias("pair"))
-    shared = materialize(pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "shared-pairs")
+    """``pair, place, class_id, size, bits, typical``: every class under its rarest coordinate-value pairs.
+
+    ``place`` counts from the most frequent of them, 0 on.
+    """
+    pairs = classes.where(F.col("size") >= settings.least_linked).select("class_id", F.posexplode("signature").alias("at", "value"))
+    pairs = pairs.select("class_id", F.xxhash64("at", "value").alias("pair"))
+    shared = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     ranked = (
         pairs.join(shared, "pair")
-        .groupBy("class_id", "size")
+        .groupBy("class_id")
         .agg(F.sort_array(F.collect_list(F.struct("times", "pair"))).alias("pairs"), F.sum("times").alias("typical"))
     )
     # Pairs that occur once come before all others in the prefix and need no posting.
     prefix = F.size("pairs") - (settings.matches - 1)
-    return ranked.where(prefix > 0).select("class_id", "size", "typical", F.explode(F.slice("pairs", F.lit(1), prefix)).alias("p")).select(
-        F.col("p.pair").alias("pair"), "class_id", "size", "typical"
+    return (
+        ranked.where(prefix > 0)
+        .join(classes.select("class_id", "size", "bits"), "class_id")
+        .select("class_id", "size", "bits", "typical", F.posexplode(F.reverse(F.slice("pairs", F.lit(1), prefix))).alias("place", "p"))
+        .select(F.col("p.pair").alias("pair"), "place", "class_id", "size", "bits", "typical")
     )
 
 
-def alike_in_size(settings: Settings, a: str = "size", b: str = "other_size") -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * settings.percent
+def may_link(settings: Settings) -> Column:
+    """Whether two classes that meet (one with ``other_`` columns) are alike in size and have enough equal bits."""
+    sizes = F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * settings.percent
+    unequal = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other_bits")[i])) for i in range(settings.bits // 64)), F.lit(0))
+    return sizes & (unequal <= settings.bits - settings.equal_bits)
 
 
-def counted(candidates: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """Candidate pairs with enough equal coordinates."""
-    mine = classes.select(F.col("class_id").alias("a"), F.col("signature").alias("sig_a"))
-    other = classes.select(F.col("class_id").alias("b"), F.col("signature").alias("sig_b"))
-    equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    return candidates.join(mine, "a").join(other, "b").where(equal >= settings.matches).select("a", "b")
+def class_texts(docs: DataFrame, classes: DataFrame, index: DataFrame, settings: Settings) -> DataFrame:
+    """``class_id, text, sketch`` of the classes that meet another one; the sketch has one bit of many more coordinates."""
+    meet = index.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pair")
+    ids = index.join(meet, "pair", "left_semi").select("class_id").distinct()
+    wanted = classes.select("class_id", key_of("doc_id").alias("key"), F.col("set_a").alias("wanted_set")).join(ids, "class_id", "left_semi")
+    wanted = materialize(wanted, "meeting-classes")
+    rows = only(docs.select(key_of("doc_id").alias("key"), "text"), wanted.select("key").distinct(), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                sets, first = shingle_sets(part.column("text"), settings.shingle)
+                sizes = np.diff(first)
+                bits = np.zeros((int(np.count_nonzero(sizes)), settings.sketch // 64), U64)
+                for k, least in enumerate(least_values(sets, first, settings.sketch)):
+                    bits[:, k // 64] |= (least & U64(1)) << U64(k % 64)
+                # A class is looked up by the id of one document; where ids repeat, texts of other classes come along.
+                own = pa.array(set_ids(sets, first)[0] == part.column("wanted_set").to_numpy())
+                out = [part.column("class_id"), part.column("text"), lists(bits.view(np.int64), sizes)]
+                yield pa.RecordBatch.from_arrays(out, ["class_id", "text", "sketch"]).filter(own)
+
+    found = rows.join(wanted, "key").select("class_id", "wanted_set", "text")
+    return materialize(found.mapInArrow(run, "class_id long, text string, sketch array<long>"), "class-texts")
+
+
+def counted(candidates: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Candidate pairs ``a, b`` whose sketches have enough equal bits."""
+    mine = texts.select(F.col("class_id").alias("a"), F.col("sketch").alias("sketch_a"))
+    other = texts.select(F.col("class_id").alias("b"), F.col("sketch").alias("sketch_b"))
+    unequal = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    met = candidates.select("a", "b").distinct().join(mine, "a").join(other, "b")
+    return met.where(unequal <= settings.sketch - settings.equal_sketch).select("a", "b")
 
 
 def confirmed(candidates: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Candidate pairs whose full shingle sets are similar enough, as ``a, b``."""
-    mine = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"), F.col("set_a").alias("set_of_a"))
-    other = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"), F.col("set_a").alias("set_of_b"))
-    joined = candidates.join(mine, "a").join(other, "b").select("a", "text_a", "set_of_a", "b", "text_b", "set_of_b")
+    mine = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
+    joined = candidates.join(mine, "a").join(other, "b").select("a", "text_a", "b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text_a"):
                 left, at = shingle_sets(part.column("text_a"), settings.shingle)
                 right, by = shingle_sets(part.column("text_b"), settings.shingle)
-                # A class is looked up by the id of one document; where ids repeat, texts of other classes come along.
-                own = (set_ids(left, at)[0] == part.column("set_of_a").to_numpy()) & (set_ids(right, by)[0] == part.column("set_of_b").to_numpy())
                 good = np.zeros(part.num_rows, bool)
-                for i in np.flatnonzero(own):
+                for i in range(part.num_rows):
                     x, y = left[at[i] : at[i + 1]], right[by[i] : by[i + 1]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good[i] = 100 * both >= settings.percent * (len(x) + len(y) - both)
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def against_centres(index: DataFrame, round_: int, settings: Settings) -> DataFrame:
+    """Candidates ``a, b``: classes with the centres of the most frequent pairs they are posted under."""
+    few = index.where(F.col("place") < settings.star_pairs)
+    one = F.struct(F.col("class_id").alias("b"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits"))
+    drawn = F.xxhash64("class_id", F.lit(round_))
+    picks = [F.max_by(one, F.struct("typical", "class_id")), F.max_by(one, drawn), F.min_by(one, drawn)]
+    centres = few.groupBy("pair").agg(F.array(*picks).alias("centres"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    star = few.withColumnRenamed("class_id", "a").join(centres, "pair")
+    return star.select("a", "size", "bits", F.inline("centres")).where((F.col("a") != F.col("b")) & may_link(settings)).select("a", "b")
+
+
+def across_components(index: DataFrame, settings: Settings) -> DataFrame:
+    """Candidates ``a, b``: classes of different components that meet, each once, under the least of their common pairs."""
+    mine = index.groupBy("class_id").agg(
+        F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("component").alias("component"), F.sort_array(F.collect_set("pair")).alias("pairs")
+    )
+    under = mine.select("class_id", "size", "bits", "component", "pairs", F.posexplode("pairs").alias("at", "pair"))
+    under = under.select("pair", "class_id", "size", "bits", "component", F.slice("pairs", F.lit(1), F.col("at")).alias("before"))
+    left = under.withColumnRenamed("class_id", "a")
+    right = under.select(
+        F.col("pair").alias("other_pair"),
+        F.col("class_id").alias("b"),
+        F.col("size").alias("other_size"),
+        F.col("bits").alias("other_bits"),
+        F.col("component").alias("other_component"),
+        F.col("before").alias("other_before"),
+    )
+    apart = (F.col("a") < F.col("b")) & (F.col("component") != F.col("other_component"))
+    first = ~F.arrays_overlap("before", "other_before")
+    return left.join(right, (F.col("pair") == F.col("other_pair")) & apart & may_link(settings) & first).select("a", "b")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """``class_id, component`` for every class that has a link to another one."""
-    found = materialize(postings(classes, settings), "postings")
-    meet = materialize(found.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pair"), "meeting-pairs")
-    index = materialize(found.join(meet, "pair", "left_semi"), "index")
-    sets = classes.select("class_id", "doc_id", "set_a")
-    wanted = sets.join(index.select("class_id").distinct(), "class_id", "left_semi").withColumn("key", key_of("doc_id")).drop("doc_id")
-    wanted = materialize(wanted, "wanted-classes")
-    rows = only(docs.select(key_of("doc_id").alias("key"), "text"), wanted.select("key").distinct(), "key")
-    texts = materialize(rows.join(wanted, "key").select("class_id", "set_a", "text"), "class-texts")
+    index = materialize(postings(classes, settings), "postings")
+    texts = class_texts(docs, classes, index, settings)
 
     def links(candidates: DataFrame) -> DataFrame:
-        """Confirmed links of candidate pairs, given with their sizes."""
-        near = candidates.where(alike_in_size(settings)).select("a", "b").distinct()
-        return materialize(confirmed(materialize(counted(near, classes, settings), "candidates"), texts, settings), "links")
+        return materialize(confirmed(counted(candidates, texts, settings), texts, settings), "links")
 
     edges = None
-    for _ in range(settings.star_rounds):
-        centre = index.groupBy("pair").agg(F.max(F.struct("typical", F.col("class_id").alias("b"), F.col("size").alias("other_size"))).alias("c"))
-        centre = materialize(centre.select("pair", F.col("c.b").alias("b"), F.col("c.other_size").alias("other_size")), "centres")
-        star = index.withColumnRenamed("class_id", "a").join(centre, "pair").where("a <> b")
-        new = links(star)
-        edges = new if edges is None else materialize(edges.unionByName(new), "edges")
-        labels = components(edges)
-        # The centres have met all others; members of one component need not meet.
-        rest = (
-            index.join(centre.select("pair", F.col("b").alias("class_id")), ["pair", "class_id"], "left_anti")
-            .drop("component")
-            .join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-            .withColumn("component", F.coalesce("component", "class_id"))
-        )
-        open_pairs = rest.groupBy("pair").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-        open_pairs = materialize(open_pairs.where("low <> high"), "open-pairs")
-        pairs, members = open_pairs.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
-        if not pairs:
-            return labels.withColumnRenamed("node", "class_id")
-        index = materialize(rest.join(open_pairs.select("pair"), "pair", "left_semi"), "index")
-        if pairs <= settings.pairs_per_posting * members:
+    for round_ in range(settings.star_rounds):
+        new = links(against_centres(index, round_, settings))
+        edges = new if edges is None else edges.unionByName(new)
+        labels = components(edges).withColumnRenamed("node", "class_id")
+        # The members of one component need not meet again.
+        rest = index.drop("component", "n").join(labels, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        met = rest.groupBy("pair").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+        index = materialize(rest.join(met.where("low <> high").select("pair", "n"), "pair"), "open-postings")
+        meetings, rows = index.agg(F.sum((F.col("n") - 1) / 2), F.count(F.lit(1))).first()
+        edges = labels.select(F.col("class_id").alias("a"), F.col("component").alias("b"))
+        if not rows:
+            return labels
+        if meetings <= settings.meetings_per_posting * rows:
             break
-    left = index.select("pair", F.col("class_id").alias("a"), "size", F.col("component").alias("ca"))
-    right = index.select("pair", F.col("class_id").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("cb"))
-    edges = edges.unionByName(links(left.join(right, "pair").where("a < b and ca <> cb")))
-    return components(edges).withColumnRenamed("node", "class_id")
+    return components(edges.unionByName(links(across_components(index, settings)))).withColumnRenamed("node", "class_id")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -204,7 +279,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """
     signed = materialize(signatures(docs, settings), "signatures").withColumn("class_id", F.xxhash64("n_shingles", "set_a", "set_b"))
     classes = signed.where("n_shingles > 0").groupBy("class_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("set_a").alias("set_a"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("set_a").alias("set_a"), F.first("signature").alias("signature"), F.first("bits").alias("bits")
     )
     classes = materialize(classes, "classes")
     labels = linked_classes(docs, classes, settings)

@@ -53,10 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
     Nothing is gathered per node, so a hub with many edges does no harm.
     """
     ends = ("a", "b")
-    edges = materialize(edges.select(*ends).where("a <> b").distinct(), "edges")
-    labels = materialize(
-        edges.select(F.explode(F.array(*ends)).alias("node")).distinct().withColumn("component", F.col("node")), "labels"
-    )
+    edges = materialize(edges.select(*ends).where("a <> b"), "edges")
+    labels = edges.select(F.explode(F.array(*ends)).alias("node")).distinct().withColumn("component", F.col("node"))
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         parents = materialize(
@@ -68,13 +66,10 @@ def components(edges: DataFrame) -> DataFrame:
             step = parents.select(F.col("child").alias(end), F.col("parent").alias(f"{end}_next"))
             moved = moved.join(step, end).drop(end).withColumnRenamed(f"{end}_next", end)
         edges = materialize(moved.where("a <> b").select(*ends).distinct(), "edges")
-        labels = materialize(
-            labels.join(parents, labels["component"] == parents["child"], "left").select(
-                "node", F.coalesce("parent", "component").alias("component")
-            ),
-            "labels",
+        labels = labels.join(parents, labels["component"] == parents["child"], "left").select(
+            "node", F.coalesce("parent", "component").alias("component")
         )
-    return labels
+    return materialize(labels, "labels")
 
 
 # Up to this many ids (16 bytes each) are handed to all tasks; more are joined by a shuffle.
