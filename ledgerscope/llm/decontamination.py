@@ -11,7 +11,12 @@ the same words there are candidates. Each repetition has its own bits and
 steps. A window has the size of the item; the walk from each of the item's
 words is in the table, so that it is enough to walk from every ``stride``-th
 word of a document, and an edit near the item's beginning does not hide the
-rest. Candidates are confirmed by their exact edit distance.
+rest.
+
+Short items have too few words for walks at any place. They are cut into one
+piece more than they may have edits, so that one of the pieces is whole
+wherever the item is, and every run of as many words in a document is looked up
+among the pieces. Candidates are confirmed by their exact edit distance.
 """
 
 from __future__ import annotations
@@ -37,14 +42,14 @@ class Settings:
     sampled: int = 6
     stride: int = 2
     target_recall: float = 0.99
-    # Items of fewer words are left out: they are phrases, not passages.
-    least_words: int = 8
+    # Items of fewer words are looked up by pieces, not by walks.
+    walk_words: int = 14
     # Walks of this many items at most are handed to the tasks at a time (8 bytes a walk).
     block_walks: int = 2_000_000
 
     @property
     def repetitions(self) -> int:
-        """Enough for the target recall on the shortest items of usual benchmarks (14 words), edits spread evenly.
+        """Enough for the target recall on the shortest items that are walked, edits spread evenly.
 
         A walk reads about half as many words as it has steps and hits if none
         of them was edited; the walks from one item count as one chance for
@@ -52,7 +57,7 @@ class Settings:
         """
         words = self.steps / 2
         hit = (1 - self.max_edits / 2) ** words
-        chances = max(1.0, (14 - words) / self.stride / 2 + 1)
+        chances = max(1.0, (self.walk_words - words) / self.stride / 2 + 1)
         return max(1, math.ceil(math.log(1 - self.target_recall) / (chances * math.log(1 - hit))))
 
 
@@ -85,6 +90,14 @@ def walks(hashes: np.ndarray, start: np.ndarray, repetition: int, settings: Sett
     return mix(written)
 
 
+def runs_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """One number for the run of ``size`` words from each word on, as far as there are so many."""
+    made = np.zeros(max(len(hashes) - size + 1, 0), U64)
+    for k, factor in enumerate(seeds(size, 6000)):
+        made += hashes[k : k + len(made)] * factor
+    return mix(made)
+
+
 def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int, int]:
     """The least edits that turn ``item`` into some run of ``window``: their number, the run's start and end.
 
@@ -116,7 +129,8 @@ def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int,
 class Table:
     """Walks of a block of items, sorted by what they wrote, for each repetition.
 
-    ``seen`` tells which leading 20 bits occur among them.
+    ``seen`` tells which leading 20 bits occur among them. ``pieces`` has those
+    of the short items by their number of words: sorted runs, items, offsets.
     """
 
     ids: list
@@ -125,6 +139,7 @@ class Table:
     item: list
     offset: list
     seen: list
+    pieces: dict
 
     def candidates(self, repetition: int, written: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Walk, item and word of the item for all walks that wrote the same."""
@@ -143,7 +158,7 @@ def build(items: list[tuple[int, str]], settings: Settings) -> Table:
     start = np.arange(len(words.hashes))
     stop = words.first[1:][owner]
     # A walk that nears the item's end would be held against blanks; the document goes on there.
-    use = (stop - start >= settings.steps // 2 + 1) | (start == words.first[:-1][owner])
+    use = (stop - start >= settings.steps // 2 + 1) & (words.counts[owner] >= settings.walk_words)
     start, owner = start[use], owner[use]
     written, item, offset, seen = [], [], [], []
     for r in range(settings.repetitions):
@@ -154,7 +169,43 @@ def build(items: list[tuple[int, str]], settings: Settings) -> Table:
         item.append(owner[order])
         offset.append((start - words.first[:-1][owner])[order])
     runs = [words.hashes[a:b] for a, b in zip(words.first, words.first[1:])]
-    return Table([i for i, _ in items], runs, written, item, offset, seen)
+    return Table([i for i, _ in items], runs, written, item, offset, seen, short_pieces(runs, settings))
+
+
+def short_pieces(runs: list[np.ndarray], settings: Settings) -> dict:
+    """Pieces of the items under ``walk_words`` by size: their runs in order, the items and the offsets in these."""
+    cut = {}
+    for item, run in enumerate(runs):
+        if len(run) < settings.walk_words:
+            bounds = np.linspace(0, len(run), int(settings.max_edits * len(run)) + 2).astype(int).tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                cut.setdefault(b - a, []).append((runs_of(run[a:b], b - a)[0], item, a))
+    out = {}
+    for size, rows in cut.items():
+        keys, item, offset = (np.array(c, t) for c, t in zip(zip(*rows), (U64, np.int64, np.int64)))
+        order = np.argsort(keys, kind="stable")
+        out[size] = keys[order], item[order], offset[order]
+    return out
+
+
+def short_places(words: Words, table: Table) -> Iterator[tuple[int, int, int]]:
+    """Text, item and begin wherever a text has a piece of a short item; of whole items the first place only."""
+    for size, (keys, items, offsets) in table.pieces.items():
+        made = runs_of(words.hashes, size)
+        a = np.searchsorted(keys, made, side="left")
+        hits = np.flatnonzero(keys[np.minimum(a, len(keys) - 1)] == made)
+        text = np.searchsorted(words.first, hits, side="right") - 1
+        inside = hits + size <= words.first[text + 1]
+        hits, text = hits[inside], text[inside]
+        a, b = a[hits], np.searchsorted(keys, made[hits], side="right")
+        many = b - a
+        k = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        text, item, begin = np.repeat(text, many), items[k], np.repeat(hits, many) - offsets[k]
+        whole = np.array([len(run) for run in table.words])[item] == size
+        _, first = np.unique(text * len(table.words) + item, return_index=True)
+        keep = ~whole
+        keep[first] = True
+        yield from zip(text[keep].tolist(), item[keep].tolist(), begin[keep].tolist())
 
 
 def search(column, table: Table, settings: Settings) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -164,6 +215,8 @@ def search(column, table: Table, settings: Settings) -> Iterator[tuple[int, int,
     if not len(start):
         return
     places = {}
+    for text, item, begin in short_places(words, table):
+        places.setdefault((text, item), set()).add(begin)
     for r in range(settings.repetitions):
         written = walks(words.hashes, start, r, settings)
         for walk, item, offset in table.candidates(r, written):
@@ -186,6 +239,8 @@ def search(column, table: Table, settings: Settings) -> Iterator[tuple[int, int,
             edits, x, y = edit_distance(run, words.hashes[a:b], most)
             if edits <= most and (best is None or edits < best[0]):
                 best = edits, a + x - words.first[text], a + y - words.first[text]
+                if not edits:
+                    break
         if best:
             yield text, table.ids[item], best[0], len(run), int(best[1]), int(best[2])
 
@@ -197,8 +252,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     counted from 0 without case and punctuation). Items are taken in blocks
     of a bounded number of walks, each handed to all tasks that read the
     documents, so neither table is shuffled and no item is left out for size.
-    Null or empty texts hold nothing; items that are null or shorter than
-    ``least_words`` are not looked for; repeated items are found each by its
+    Null or empty texts hold nothing; items that are null or without words are
+    not looked for; items under five words are found unedited only; repeated items are found each by its
     id, repeated documents give repeated rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -215,7 +270,7 @@ def blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[int,
     block, size = [], 0
     for row in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
         words = int(Words(pa.array([row["text"]], pa.string()), PUNCTUATION).counts[0])
-        if words < settings.least_words:
+        if not words:
             continue
         if block and size + words > settings.block_walks:
             yield block

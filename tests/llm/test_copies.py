@@ -239,6 +239,31 @@ def test_edited_items_are_found(spark, docs, share):
         assert min(levenshtein(run, text[i : i + len(run)]) for i in range(len(text))) <= 0.4 * len(run)
 
 
+def short_items(sizes, edits, each=30, seed=6):
+    """Items of the given sizes with so many edits (a function of the size), at even and odd words of a text each."""
+    rng = random.Random(seed)
+    items, rows = [], []
+    for n in sizes:
+        for _ in range(each):
+            words = [f"s{rng.randrange(10**6)}" for _ in range(n)]
+            items.append((len(items), " ".join(words)))
+            for p in sorted(rng.sample(range(n), edits(n)), reverse=True):
+                kind = rng.choice("sid")
+                words[p : p + (kind != "i")] = [] if kind == "d" else ["z"]
+            for before in (20, 21):
+                rows.append((len(rows), " ".join([f"a{k}" for k in range(before)] + words + [f"b{k}" for k in range(20)])))
+    return items, rows
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2])
+def test_items_of_1_to_13_words_are_found_at_even_and_odd_words(spark, docs, share):
+    items, rows = short_items(range(1, 14), lambda n: int(share * n), each=8)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in D.contaminated(docs(rows), benchmark).collect()}
+    assert set(got) == {(k, k // 2) for k in range(len(rows))}
+    assert all(e <= int(share * len(dict(items)[i].split())) for (_, i), e in got.items())
+
+
 def test_clean_documents_stay(spark, docs, odd):
     items, rows = items_and_texts(0.05)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
