@@ -43,20 +43,20 @@ class Settings:
     stride: int = 2
     target_recall: float = 0.99
     # Items of fewer words are looked up by pieces, not by walks.
-    walk_words: int = 14
+    walk_words: int = 24
     # Walks of this many items at most are handed to the tasks at a time (8 bytes a walk).
     block_walks: int = 2_000_000
 
     @property
     def repetitions(self) -> int:
-        """Enough for the target recall on the shortest items that are walked, edits spread evenly.
+        """Enough for the target recall on the shortest items that are walked, with as many edits as are allowed, spread evenly.
 
         A walk reads about half as many words as it has steps and hits if none
         of them was edited; the walks from one item count as one chance for
         every word read, as neighbouring ones share their words.
         """
         words = self.steps / 2
-        hit = (1 - self.max_edits / 2) ** words
+        hit = (1 - self.max_edits) ** words
         chances = max(1.0, (self.walk_words - words) / self.stride / 2 + 1)
         return max(1, math.ceil(math.log(1 - self.target_recall) / (chances * math.log(1 - hit))))
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,14 @@ def test_items_of_1_to_13_words_are_found_at_even_and_odd_words(spark, docs, sha
     assert all(e <= int(share * len(dict(items)[i].split())) for (_, i), e in got.items())
 
 
+@pytest.mark.parametrize("size", [10, 15, 20, 24, 25, 30, 40])
+def test_each_length_is_found_with_as_many_edits_as_allowed(size):
+    settings = D.Settings()
+    items, rows = short_items([size], lambda n: int(settings.max_edits * n), each=200)
+    found = {(t, i) for t, i, *_ in D.search(pa.array([text for _, text in rows]), D.build(items, settings), settings)}
+    assert len(found & {(k, k // 2) for k in range(len(rows))}) >= settings.target_recall * len(rows)
+
+
 def test_clean_documents_stay(spark, docs, odd):
     items, rows = items_and_texts(0.05)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
