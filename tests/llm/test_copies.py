@@ -190,6 +190,19 @@ def test_a_copied_document_goes_and_repeats_inside_one_stay(docs):
     assert "q69" in got[3] and got[3].count("r1 ") < 4
 
 
+def test_exact_repeats_in_a_family_of_versions_are_found(docs):
+    """Many versions of a passage, each in two texts: every second text repeats the first one's version."""
+    rng = random.Random(9)
+    base = [f"p{i}" for i in range(60)]
+    rows = []
+    for v in range(60):
+        body = edited(rng, base, 0.1)
+        rows += [(k * 100 + v, [f"x{rng.randrange(10**6)}" for _ in range(20)] + body + [f"y{rng.randrange(10**6)}" for _ in range(20)]) for k in (0, 1)]
+    got = P.repeats(docs([(i, " ".join(words)) for i, words in rows])).collect()
+    whole = {r.doc_id for r in got if r.first_word <= 20 and r.end_word >= 80}
+    assert whole >= {100 + v for v in range(60)}
+
+
 def levenshtein(a, b):
     cost = list(range(len(b) + 1))
     for i, x in enumerate(a):
