@@ -203,6 +203,38 @@ def test_exact_repeats_in_a_family_of_versions_are_found(docs):
     assert whole >= {100 + v for v in range(60)}
 
 
+def test_a_common_run_of_25_words_gives_a_common_key(docs):
+    rng = random.Random(5)
+    word = lambda: f"k{rng.randrange(10**6)}"
+    rows = []
+    for k in range(200):
+        run = [word() for _ in range(25)]
+        if k % 2:
+            run[12:18] = run[2:8]
+        rows += [(2 * k + side, " ".join([word() for _ in range(rng.randrange(40))] + run + [word() for _ in range(rng.randrange(40))])) for side in (0, 1)]
+    got = P.windows(docs(rows).select(F.col("doc_id").alias("key"), "text"), P.Settings()).collect()
+    keys = {}
+    for r in got:
+        keys.setdefault(r.key, set()).add(r.shingle)
+    assert all(keys[2 * k] & keys[2 * k + 1] for k in range(200))
+
+
+def test_passages_with_a_word_more_or_less_are_found(docs):
+    """One word inserted or deleted anywhere in passages of 50 to 60 words."""
+    rng = random.Random(8)
+    rows = []
+    for size in (50, 52, 55, 60):
+        for k in range(size + 1):
+            for more in (0, 1):
+                body = [f"c{size}_{k}_{more}_{i}" for i in range(size + 1 - more)]
+                copy = body[:k] + ["new"] + body[k:] if more else body[:k] + body[k + 1 :]
+                for words in (body, copy):
+                    around = [f"x{rng.randrange(10**6)}" for _ in range(40)]
+                    rows.append((len(rows), " ".join(around[:20] + words + around[20:])))
+    found = {r.doc_id for r in P.repeats(docs(rows)).collect()}
+    assert found == set(range(1, len(rows), 2))
+
+
 def levenshtein(a, b):
     cost = list(range(len(b) + 1))
     for i, x in enumerate(a):
