@@ -53,6 +53,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
+    work = tempfile.mkdtemp(prefix="ledgerscope-bench-")
     spark = build_session(
         "ledgerscope-bench",
         f"local[{cpus}]",
@@ -61,11 +62,10 @@ def main() -> None:
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": work,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    work = tempfile.mkdtemp(prefix="ledgerscope-bench-")
-    spark.conf.set("spark.checkpoint.dir", work)
     from ledgerscope.plans.catalog import QUERIES
 
     QUERIES["overview_stats"](spark, sf_dir).collect()  # start the JVM's compilers

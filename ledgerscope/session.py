@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 WORK_DIR_CONF = "spark.checkpoint.dir"
+# Folders of local sessions without a configured one, by application; the setting itself is fixed once a session runs.
+_local_folders: dict[str, str] = {}
 
 
 def build_session(app: str = "ledgerscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,10 +46,11 @@ def work_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {WORK_DIR_CONF} to a folder that all executors share")
-    fallback = tempfile.mkdtemp(prefix="ledgerscope-")
-    atexit.register(shutil.rmtree, fallback, ignore_errors=True)
-    spark.conf.set(WORK_DIR_CONF, fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="ledgerscope-")
+        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
+    return _local_folders[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
