@@ -75,4 +75,31 @@ NEARDUPS = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({
     SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
     FROM n LEFT JOIN lowest ON a = doc_id"""
 
-ORACLES: dict[str, str] = {"op2_fingerprints": _fingerprints(), "op5_mixing": MIXING, "op8_neardups": NEARDUPS}
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text that is not empty."""
+    bits = "[0::BIGINT FOR i IN range(8)]"
+    shifted = f"list_reduce(list_prepend(xor(c, b) & 255, {bits}), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    codes = f"[ascii(c)::BIGINT FOR c IN string_split({text}, '')]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, {shifted})), 4294967295)"
+
+
+RUNS = f"""WITH o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w, {_crc32('doc_id::VARCHAR')} AS h FROM documents),
+    c AS (SELECT doc_id, w, h, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM o),
+    e AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+        [w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1] FOR i IN range(n)] END AS w FROM c),
+    x AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM e),
+    same AS (SELECT a.doc_id, b.i, b.i - a.i AS p FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND (b.i - a.i) * 4 <= a.n),
+    isles AS (SELECT doc_id, p, min(i) - p AS s, max(i) + 1 AS t FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS isle FROM same)
+        GROUP BY doc_id, p, isle HAVING count(*) >= 3 * p),
+    runs AS (SELECT doc_id, s, t - s AS l, min(p) AS p FROM isles GROUP BY doc_id, s, t HAVING t - s >= 6),
+    listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS runs,
+        max_by({{'s': s, 'l': l, 'p': p}}, [l, -s, -p]) AS best FROM runs GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + l)) AS i FROM runs),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+        sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, n AS n_words
+    FROM e LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op2_fingerprints": _fingerprints(), "op5_mixing": MIXING, "op8_neardups": NEARDUPS, "op11_runs": RUNS}

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import decontamination, fingerprints, langid, mixing, neardups, ngrams, passages, quality, toxicity, urls
+from ledgerscope.llm import decontamination, fingerprints, langid, mixing, neardups, ngrams, passages, periodic, quality, toxicity, urls
 from ledgerscope.llm.samples import split_number
-from ledgerscope.llm.tables import read
+from ledgerscope.llm.tables import WORD, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -93,3 +93,38 @@ def op10_language(spark, sf_dir):
     model = langid.learn(docs.select("doc_id", "text", "lang").where(~held_out))
     found = langid.identified(docs, model, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; one text in ten goes in a cycle of its own words from some word on, as the contract sets out."""
+    checksum = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.expr("_h div 10")
+    words = docs.select("doc_id", "text", checksum.alias("_h")).select(
+        "doc_id", "text", F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("_words"), g.alias("_g")
+    )
+    n = F.size("_words")
+    sized = words.where("size(_words) > 0").withColumn("_a", (F.col("_g") % n).cast("int"))
+    sized = sized.withColumn("_p", F.expr("cast(1 + (size(_words) - _a) div (3 + _g % 8) as int)"))
+    cycle = F.expr("slice(_words, _a + 1, _p)")
+    times = F.expr("cast(ceil((size(_words) - _a) / _p) as int)")
+    tail = F.slice(F.flatten(F.array_repeat(cycle, times)), F.lit(1), n - F.col("_a"))
+    edited = sized.select("doc_id", F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a")), tail), " ").alias("text"))
+    return words.where("_words IS NULL OR size(_words) <= 0").select("doc_id", "text").unionByName(edited)
+
+
+@query
+def op11_runs(spark, sf_dir):
+    found = periodic.periodic_runs(with_cycles(read(spark, sf_dir, "documents")), exponent=4, least_words=6)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )

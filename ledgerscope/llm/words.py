@@ -15,7 +15,8 @@ WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[9, 10, 11, 12, 13, 32]] = True
 # Everything but ASCII letters and digits and the bytes of longer characters.
 PUNCTUATION = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
-LOWER = np.arange(256, dtype=np.uint8)
+SAME = np.arange(256, dtype=np.uint8)
+LOWER = SAME.copy()
 LOWER[65:91] += 32
 
 
@@ -82,7 +83,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
 class Words:
     """``hashes`` of all words in order; those of text i are ``hashes[first[i]:first[i + 1]]``."""
 
-    def __init__(self, column, separators: np.ndarray = WHITESPACE):
+    def __init__(self, column, separators: np.ndarray = WHITESPACE, fold: np.ndarray = LOWER):
         buf, offsets = text_buffer(column)
         self.texts = len(offsets) - 1
         size = len(buf)
@@ -98,7 +99,7 @@ class Words:
         ends = np.flatnonzero(inside & after) + 1
         power, inverse = _power_tables(size + 1)
         sums = np.zeros(size + 1, U64)
-        values = _BYTE[LOWER[buf]]
+        values = _BYTE[fold[buf]]
         values *= power[:size]
         np.cumsum(values, out=sums[1:])
         self.starts, self.ends = starts, ends
