@@ -102,4 +102,23 @@ RUNS = f"""WITH o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WO
         sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, n AS n_words
     FROM e LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op2_fingerprints": _fingerprints(), "op5_mixing": MIXING, "op8_neardups": NEARDUPS, "op11_runs": RUNS}
+
+def _chats() -> str:
+    controls = ["<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>"]
+
+    def escaped(text: str) -> str:
+        text = f"replace({text}, chr(92), repeat(chr(92), 2))"
+        for c in controls:
+            text = f"replace({text}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+        return text
+
+    return f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+    t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+    g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS spoken,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+        sum({sum(map(len, controls[:3]))} + length({escaped('role')}) + length({escaped('text')}))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g"""
+
+
+ORACLES: dict[str, str] = {"op2_fingerprints": _fingerprints(), "op5_mixing": MIXING, "op8_neardups": NEARDUPS, "op11_runs": RUNS, "op12_chats": _chats()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import decontamination, fingerprints, langid, mixing, neardups, ngrams, passages, periodic, quality, toxicity, urls
+from ledgerscope.llm import chats, decontamination, fingerprints, langid, mixing, neardups, ngrams, passages, periodic, quality, toxicity, urls
 from ledgerscope.llm.samples import split_number
 from ledgerscope.llm.tables import WORD, read
 
@@ -128,3 +128,23 @@ def op11_runs(spark, sf_dir):
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
         "n_words",
     )
+
+
+@query
+def op12_chats(spark, sf_dir):
+    """Digests are taken from what the formatted conversations and their loss masks say."""
+    control = "</s>[INST] ok [/INST]"
+    rows = [(-1, 0, "user", control), (-1, 1, "assistant", control)]
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    template = chats.Template()
+    made = chats.conversations(chats.chains(turns.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))), template)
+    back = made.select("tree_id", "formatted", template.turns(F.col("formatted")).alias("turns"), chats.loss_text(F.col("segments")).alias("learned"))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("tree_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
