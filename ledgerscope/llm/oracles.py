@@ -121,4 +121,18 @@ def _chats() -> str:
     SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g"""
 
 
-ORACLES: dict[str, str] = {"op2_fingerprints": _fingerprints(), "op5_mixing": MIXING, "op8_neardups": NEARDUPS, "op11_runs": RUNS, "op12_chats": _chats()}
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '{TERMS}')) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+    d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+    c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM d),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '{TERMS}')) AS term FROM benchmark),
+    s AS (SELECT item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+            * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))))::BIGINT AS score
+        FROM q JOIN tf USING (term) JOIN df USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
+ORACLES: dict[str, str] = {"op2_fingerprints": _fingerprints(), "op5_mixing": MIXING, "op8_neardups": NEARDUPS, "op11_runs": RUNS, "op12_chats": _chats(), "op13_search": SEARCH}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import chats, decontamination, fingerprints, langid, mixing, neardups, ngrams, passages, periodic, quality, toxicity, urls
+from ledgerscope.llm import chats, decontamination, fingerprints, langid, mixing, neardups, ngrams, passages, periodic, quality, search, toxicity, urls
 from ledgerscope.llm.samples import split_number
 from ledgerscope.llm.tables import WORD, read
 
@@ -148,3 +148,8 @@ def op12_chats(spark, sf_dir):
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op13_search(spark, sf_dir):
+    return search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
