@@ -755,6 +755,28 @@ def detect_similar_bytecode(ledger):
     return _rounded(flags, "similarity", digits=SIMILARITY_DIGITS)
 
 
+@on_ledger
+def detect_velocity(ledger):
+    return D.detect_velocity(ledger.transactions, ratio=3, minimum=5)
+
+
+@on_ledger
+def detect_velocity_sensitive(ledger):
+    """Two in an hour are enough: the test tables are too quiet for many hours of five."""
+    return D.detect_velocity(ledger.transactions, ratio=3, minimum=2)
+
+
+@on_ledger
+def detect_high_value(ledger):
+    found = D.detect_high_value(ledger.transactions, threshold=10**18)
+    return found.withColumn("value", F.col("value").cast("string"))
+
+
+@on_ledger
+def detect_hub(ledger):
+    return D.detect_hub(ledger.transactions, ledger.entities, min_degree=100)
+
+
 # ---------------------------------------------------------------- streaming
 
 

@@ -359,6 +359,17 @@ SEEDS = ", ".join(
 SEED_CTE = f"""seeds AS (SELECT * FROM (VALUES {SEEDS}) s(address, name, entity_type, risk_level, is_hub, is_contract))"""
 ROUNDED_FEATURES = ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in FEATURES)
 
+def velocity_flags(minimum: int) -> str:
+    return f"""SELECT last.hash AS tx_hash, address, 'velocity_spike' AS flag_type, 'medium' AS severity,
+    total_count || ' transactions within an hour after ' || baseline_count || ' in the 24 hours before' AS description,
+    last.timestamp AS detected_at, bucket, total_count, baseline_count
+    FROM (SELECT *, coalesce(sum(total_count) OVER (PARTITION BY address ORDER BY bucket
+            RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 1 HOUR PRECEDING), 0)::BIGINT AS baseline_count
+        FROM (SELECT address, date_trunc('hour', timestamp)::TIMESTAMP AS bucket, count(*) AS total_count,
+            max({{'timestamp': timestamp, 'hash': hash}}) AS last FROM tch GROUP BY ALL))
+    WHERE total_count >= {minimum} AND total_count * 24 > baseline_count * 3"""
+
+
 ORACLES: dict[str, str] = {
     "ledger_projection": sql(f"SELECT * EXCLUDE (data), {HEX_DATA} AS data FROM deliv", "deliv"),
     "ledger_dedup": sql(
@@ -746,6 +757,23 @@ ORACLES: dict[str, str] = {
     "behavior_highlights": sql(highlights(), "fsim"),
     "detect_circular": sql("SELECT * FROM circular", "prs", extra=RETURNS),
     "detect_similar_bytecode": sql(similar_flags("vec"), "tx", "code", extra=FINGERPRINT.format(n="vec", source="code")),
+    "detect_velocity": sql(velocity_flags(5), "tch"),
+    "detect_velocity_sensitive": sql(velocity_flags(2), "tch"),
+    "detect_high_value": sql(
+        """SELECT hash AS tx_hash, from_address AS address, 'high_value_transfer' AS flag_type, 'low' AS severity,
+        'Transfer of ' || value || ' wei reaches the threshold of 1000000000000000000' AS description, timestamp AS detected_at, value::VARCHAR AS value
+        FROM tx WHERE value >= 1000000000000000000""",
+        "tx",
+    ),
+    "detect_hub": sql(
+        """SELECT hash AS tx_hash, t.counterparty AS address, 'hub_interaction' AS flag_type, 'low' AS severity,
+        t.counterparty || ' interacts with ' || t.address || ' (' || coalesce(entity_type, 'node of degree ' || degree) || ')' AS description,
+        timestamp AS detected_at, t.address AS hub, degree
+        FROM tch t JOIN (SELECT address, count(*) AS degree FROM tch WHERE counterparty IS NOT NULL GROUP BY address) d USING (address)
+        LEFT JOIN (FROM ent WHERE is_hub OR entity_type IN ('hub', 'bridge', 'exchange', 'mixer')) e USING (address)
+        WHERE t.counterparty <> t.address AND (degree >= 100 OR e.address IS NOT NULL)""",
+        "tch", "ent",
+    ),
     "stream_ingest": sql("SELECT DISTINCT hash, from_address, to_address, value FROM deliv WHERE problem IS NULL", "deliv"),
     "stream_enrich": sql(
         f"""SELECT tx_hash, address, flag_type, severity, detected_at FROM circular
