@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import scalars as S
-from ledgerscope.operators.paths import BY_TIME, best_walks, collapse_pairs
+from ledgerscope.operators.paths import BY_TIME, WalkSearch, collapse_pairs, edges_in_reach
 from ledgerscope.operators.records import circular_candidates, contract_calls
 from ledgerscope.operators.touches import touches
 from ledgerscope.session import materialize
@@ -34,9 +34,10 @@ def earliest_returns(edges: DataFrame, transfers: DataFrame) -> DataFrame:
         F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at")
     )
     open_requests = materialize(requests, "return-requests")
+    search = WalkSearch(graph, MAX_RETURN_HOPS)
     found = None
     for hops in range(1, MAX_RETURN_HOPS + 1):
-        walks = best_walks(open_requests.select("src", "dst"), graph, hops)
+        walks = search.next(open_requests.select("src", "dst"))
         closed = walks.select("src", "dst", F.lit(hops).alias("hops"), F.col("times")[0].alias("closed_at"), "path")
         closed = open_requests.join(closed, ["src", "dst"]).filter("closed_at <= last_at")
         closed = materialize(closed.drop("last_at"), f"returns{hops}")
@@ -46,24 +47,6 @@ def earliest_returns(edges: DataFrame, transfers: DataFrame) -> DataFrame:
     return found.drop("first_at")
 
 
-def edges_in_reach(edges: DataFrame, transfers: DataFrame) -> DataFrame:
-    """The edges that a return path of at most three steps can use.
-
-    First steps leave a recipient, last steps enter a sender, and a middle step
-    links the two. For a few transfers against a long history these are a few
-    semi joins instead of an aggregation of all edges.
-    """
-    source = transfers.select(F.col("to_address").alias("from_address")).distinct()
-    target = transfers.select(F.col("from_address").alias("to_address")).distinct()
-    first = edges.join(source, "from_address", "left_semi")
-    last = edges.join(target, "to_address", "left_semi")
-    middle = edges.join(
-        first.select(F.col("to_address").alias("from_address")).distinct(), "from_address", "left_semi"
-    ).join(last.select(F.col("from_address").alias("to_address")).distinct(), "to_address", "left_semi")
-    # The same edge may qualify more than once; collapsing to pairs removes that.
-    return first.unionByName(last).unionByName(middle)
-
-
 def detect_circular(history: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Flags for plain transfers whose amount can already flow back to the sender.
 
@@ -73,7 +56,8 @@ def detect_circular(history: DataFrame, candidates: DataFrame | None = None) ->
     plain = circular_candidates(history if candidates is None else candidates)
     edges = history.filter(F.col("to_address").isNotNull()).select("from_address", "to_address", "timestamp")
     if candidates is not None:
-        edges = edges_in_reach(edges, plain)
+        requests = plain.select(F.col("to_address").alias("src"), F.col("from_address").alias("dst"))
+        edges = edges_in_reach(edges, requests, MAX_RETURN_HOPS)
     returns = earliest_returns(edges, plain).select(
         F.col("dst").alias("from_address"), F.col("src").alias("to_address"), "hops", "closed_at", "path"
     )

@@ -15,13 +15,16 @@ BY_ADDRESS = "address"
 BY_TIME = "time"
 
 
+# For at most this many requests only the edges in their reach are collapsed.
+FEW_REQUESTS = 1000
+
+
 @dataclass(frozen=True)
 class PairGraph:
-    """Collapsed edges and how many neighbours each end has."""
+    """Collapsed edges and how many neighbours each node has: ``node, fan_out, fan_in``."""
 
     pairs: DataFrame
-    fan_out: DataFrame
-    fan_in: DataFrame
+    fans: DataFrame
 
 
 def collapse_pairs(edges: DataFrame, order: str = BY_ADDRESS) -> PairGraph:
@@ -39,74 +42,128 @@ def collapse_pairs(edges: DataFrame, order: str = BY_ADDRESS) -> PairGraph:
     else:
         pairs = edges.select(*ends).distinct().withColumn("times", F.array().cast("array<timestamp>"))
     pairs = materialize(pairs, "pairs")
-    return PairGraph(
-        pairs=pairs,
-        fan_out=materialize(pairs.groupBy("src").agg(F.count("*").alias("fan_out")), "fan-out"),
-        fan_in=materialize(pairs.groupBy("dst").agg(F.count("*").alias("fan_in")), "fan-in"),
+    sides = F.array(
+        F.struct(F.col("src").alias("node"), F.lit(1).alias("leaves")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("leaves"))
+    )
+    fans = pairs.select(F.inline(sides)).groupBy("node").agg(
+        F.sum("leaves").alias("fan_out"), (F.count("*") - F.sum("leaves")).alias("fan_in")
     )
+    return PairGraph(pairs=pairs, fans=materialize(fans, "fans"))
+
+
+def edges_in_reach(edges: DataFrame, requests: DataFrame, hops: int) -> DataFrame:
+    """The edges that a walk of at most ``hops`` (up to 4) steps from a ``src`` to a ``dst`` can use.
+
+    First steps leave a source and last steps enter a target; steps between start
+    where first ones end or end where last ones start. For few requests against a
+    long history these are a few semi joins instead of an aggregation of all edges.
+    """
+    first = edges.join(requests.select(F.col("src").alias("from_address")).distinct(), "from_address", "left_semi")
+    last = edges.join(requests.select(F.col("dst").alias("to_address")).distinct(), "to_address", "left_semi")
+    if hops == 1:
+        return first.join(requests.select(F.col("dst").alias("to_address")).distinct(), "to_address", "left_semi")
+    reach = first.unionByName(last)
+    if hops == 2:
+        return reach
+    after = first.select(F.col("to_address").alias("from_address")).distinct()
+    before = last.select(F.col("from_address").alias("to_address")).distinct()
+    second = edges.join(after, "from_address", "left_semi")
+    # The same edge may qualify more than once; collapsing to pairs removes that.
+    if hops == 3:
+        return reach.unionByName(second.join(before, "to_address", "left_semi"))
+    return reach.unionByName(second).unionByName(edges.join(before, "to_address", "left_semi"))
 
 
 def _latest_first(a: Column, b: Column) -> Column:
     return F.sort_array(F.concat(a, b), asc=False)
 
 
-def best_walks(requests: DataFrame, graph: PairGraph, hops: int) -> DataFrame:
-    """For each (src, dst) the best walk of exactly ``hops`` pairs: columns times, path.
+class WalkSearch:
+    """For each (src, dst) the best walk of one pair, then two, then three and so on: columns times, path.
 
     Walks are compared by ``times`` (latest edge first), then by path. Both orders
     survive adding the same pair to two walks, so keeping the best one per state
     is enough and no list of walks is ever built. Each request is opened at the end
-    with fewer neighbours: a hub at one end costs what the other end costs, and
-    the total stays near the sum over requests of the smaller degree.
+    with fewer neighbours, which gives requests between inner nodes: a hub at
+    one end costs what the other end costs, and the total stays near the sum over
+    requests of the smaller degree.
+
+    What was opened for one count is kept: the next count opens only the inner
+    requests made last, looks their pairs up, and carries the walks found back
+    to the outer requests level by level.
     """
-    pairs = graph.pairs
-    single = pairs.select("src", "dst", "times", F.array("src", "dst").alias("path"))
-    if hops == 1:
-        return requests.join(single, ["src", "dst"])
-    sized = requests.join(graph.fan_out, "src").join(graph.fan_in, "dst")
-    forward = sized.filter("fan_out <= fan_in").select("src", "dst")
-    backward = sized.filter("fan_out > fan_in").select("src", "dst")
-
-    def shorter(remaining: DataFrame) -> DataFrame:
-        """Best walks for what remains to be found; one step is looked up as it is."""
-        return single if hops == 2 else best_walks(remaining.distinct(), graph, hops - 1)
-
-    first = pairs.select("src", F.col("dst").alias("mid"), F.col("times").alias("step"))
-    opened = forward.join(first, "src")
-    rest = shorter(opened.select(F.col("mid").alias("src"), "dst"))
-    ahead = opened.join(rest.withColumnRenamed("src", "mid"), ["mid", "dst"]).select(
-        "src", "dst", _latest_first(F.col("step"), F.col("times")).alias("times"), F.concat(F.array("src"), "path").alias("path")
-    )
 
-    last = pairs.select(F.col("src").alias("mid"), "dst", F.col("times").alias("step"))
-    closed = backward.join(last, "dst")
-    start = shorter(closed.select("src", F.col("mid").alias("dst")))
-    behind = closed.join(start.withColumnRenamed("dst", "mid"), ["src", "mid"]).select(
-        "src", "dst", _latest_first(F.col("step"), F.col("times")).alias("times"), F.concat("path", F.array("dst")).alias("path")
-    )
+    def __init__(self, graph: PairGraph, most: int):
+        self.graph = graph
+        self.most = most
+        self.hops = 0
+        # Per level: request, the inner request it leads to, the pair between them.
+        self.links: list[DataFrame] = []
+
+    def next(self, still_open: DataFrame) -> DataFrame:
+        """Walks with one more pair than before, for the requests still open at least."""
+        self.hops += 1
+        single = self.graph.pairs.select("src", "dst", "times", F.array("src", "dst").alias("path"))
+        if self.hops == 1:
+            return single
+        level = still_open
+        for links in self.links:
+            level = links.join(level, ["src", "dst"], "left_semi").select(F.col("inner.src"), F.col("inner.dst")).distinct()
+        opened = self._open(level)
+        # What is opened last is read only once.
+        self.links.append(materialize(opened, f"opened{self.hops}") if self.hops < self.most else opened)
+        walks = single
+        for links in reversed(self.links):
+            walks = self._carry_back(links, walks)
+        return walks
+
+    def _open(self, level: DataFrame) -> DataFrame:
+        pairs, fans = self.graph.pairs, self.graph.fans
+        sized = level.join(fans.select(F.col("node").alias("src"), "fan_out"), "src").join(
+            fans.select(F.col("node").alias("dst"), "fan_in"), "dst"
+        )
+        first = pairs.select("src", F.col("dst").alias("mid"), F.col("times").alias("step"))
+        last = pairs.select(F.col("src").alias("mid"), "dst", F.col("times").alias("step"))
+        ahead = sized.filter("fan_out <= fan_in").join(first, "src")
+        behind = sized.filter("fan_out > fan_in").join(last, "dst")
+        return ahead.select("src", "dst", F.struct(F.col("mid").alias("src"), "dst").alias("inner"), "step", F.lit(True).alias("ahead")).unionByName(
+            behind.select("src", "dst", F.struct("src", F.col("mid").alias("dst")).alias("inner"), "step", F.lit(False).alias("ahead"))
+        )
 
-    return (
-        ahead.unionByName(behind)
-        .groupBy("src", "dst")
-        .agg(F.min(F.struct("times", "path")).alias("best"))
-        .select("src", "dst", "best.times", "best.path")
-    )
+    @staticmethod
+    def _carry_back(links: DataFrame, walks: DataFrame) -> DataFrame:
+        found = walks.select(F.col("src").alias("inner_src"), F.col("dst").alias("inner_dst"), "times", "path")
+        longer = F.when(F.col("ahead"), F.concat(F.array("src"), "path")).otherwise(F.concat("path", F.array("dst")))
+        return (
+            links.select("src", "dst", F.col("inner.src").alias("inner_src"), F.col("inner.dst").alias("inner_dst"), "step", "ahead")
+            .join(found, ["inner_src", "inner_dst"])
+            .select("src", "dst", F.struct(_latest_first(F.col("step"), F.col("times")).alias("times"), longer.alias("path")).alias("walk"))
+            .groupBy("src", "dst")
+            .agg(F.min("walk").alias("best"))
+            .select("src", "dst", "best.times", "best.path")
+        )
 
 
 def shortest_paths(edges: DataFrame, requests: DataFrame, max_hops: int | None = None) -> DataFrame:
     """The shortest path from ``src`` to ``dst`` for each request that has one.
 
     Among equally short paths the one with the lowest addresses is reported, and
-    for each step the lowest hash. ``src`` may equal ``dst``.
+    for each step the lowest hash. ``src`` may equal ``dst``. For few requests
+    only the edges in their reach are gathered.
     """
-    graph = collapse_pairs(edges, BY_ADDRESS)
+    most = S.clamp_hops(max_hops)
     open_requests = materialize(requests.select("src", "dst").distinct(), "requests")
+    few = open_requests.count() <= FEW_REQUESTS
+    reach = edges_in_reach(edges, open_requests, most) if few else edges
+    search = WalkSearch(collapse_pairs(reach, BY_ADDRESS), most)
     found = None
-    for hops in range(1, S.clamp_hops(max_hops) + 1):
-        walks = best_walks(open_requests, graph, hops).select("src", "dst", F.lit(hops).alias("hops"), "path")
-        walks = materialize(walks, f"walks{hops}")
+    for hops in range(1, most + 1):
+        # One table holds what was found and, without a path, what is still open.
+        walks = search.next(open_requests).select("src", "dst", "path")
+        state = materialize(open_requests.join(walks, ["src", "dst"], "left"), f"walks{hops}")
+        walks = state.filter("path IS NOT NULL").select("src", "dst", F.lit(hops).alias("hops"), "path")
         found = walks if found is None else found.unionByName(walks)
-        open_requests = open_requests.join(walks, ["src", "dst"], "left_anti")
+        open_requests = state.filter("path IS NULL").select("src", "dst")
     return with_hashes(found, edges)
 
 

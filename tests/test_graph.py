@@ -33,8 +33,9 @@ def trails(edges, hops, directed=True):
     return level
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_shortest_paths_against_all_trails(spark, make, seed):
+@pytest.mark.parametrize("seed,few", [(1, 0), (2, 0), (2, 1000), (8, 1000)])
+def test_shortest_paths_against_all_trails(spark, make, monkeypatch, seed, few):
+    monkeypatch.setattr(P, "FEW_REQUESTS", few)
     rows = random_rows(seed, nodes=9, count=16)
     edges = edge_list(rows)
     nodes = sorted({n for _, a, b, _ in edges for n in (a, b)})
@@ -63,6 +64,31 @@ def test_chain_and_depth(spark, make):
     assert [(s.from_address, s.to_address) for s in steps] == [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]
 
 
+@pytest.mark.parametrize("hops", [1, 2, 3, 4])
+def test_edges_in_reach_hold_every_walk(spark, make, hops):
+    rows = random_rows(4, nodes=16, count=40)
+    edges = G.graph_edges(make.transactions(rows))
+    ends = [("a", "b"), ("c", "a")]
+    reach = P.edges_in_reach(edges, spark.createDataFrame(ends, "src string, dst string"), hops)
+    kept = {r.hash for r in reach.collect()}
+    used = {h for n in range(1, hops + 1) for nodes, hashes in trails(edge_list(rows), n) if (nodes[0], nodes[-1]) in ends for h in hashes}
+    assert used <= kept
+    far = [r for r in edge_list(rows) if hops < 4 and not {r[1], r[2]} & {n for e in edge_list(rows) for n in e[1:3] if {e[1], e[2]} & {"a", "b", "c"}}]
+    assert not {h for h, *_ in far} & kept
+
+
+def test_few_requests_gather_few_edges(spark, make, monkeypatch):
+    rows = [("a", "b", 0), ("b", "c", 1), ("c", "d", 2)] + [(f"x{i}", f"x{i + 1}", i) for i in range(60)]
+    gathered = []
+    monkeypatch.setattr(P, "collapse_pairs", lambda edges, order, real=P.collapse_pairs: gathered.append(edges.distinct().count()) or real(edges, order))
+    request = spark.createDataFrame([("a", "d")], "src string, dst string")
+    edges = G.graph_edges(make.transactions(rows))
+    assert P.shortest_paths(edges, request, 3).first().path == list("abcd")
+    monkeypatch.setattr(P, "FEW_REQUESTS", 0)
+    assert P.shortest_paths(edges, request, 3).first().path == list("abcd")
+    assert gathered == [3, 63]
+
+
 def test_parallel_edges(spark, make):
     rows = [("a", "b", 0), ("a", "b", 1), ("b", "a", 2)]
     edges = G.graph_edges(make.transactions(rows))
