@@ -668,12 +668,11 @@ def cosine_pairs(spark, sf_dir):
     return vectors.join(heads, "label").select("vec_id", "first_id", similarity.alias("similarity"))
 
 
-@query
-def knn_embeddings(spark, sf_dir):
+def _nearest_embeddings(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     vectors = star.table(spark, sf_dir, "embeddings").select(
         F.lpad(F.col("vec_id").cast("string"), 19, "0").alias("id"), F.col("embedding").alias("vector")
     )
-    found = nearest_neighbours(vectors, None, 5)
+    found = nearest_neighbours(vectors, None, 5, **how)
     return _rounded(
         found.select(F.col("id").cast("long").alias("vec_id"), F.col("neighbour").cast("long").alias("match"), "position", "similarity"),
         "similarity",
@@ -681,6 +680,17 @@ def knn_embeddings(spark, sf_dir):
     )
 
 
+@query
+def knn_embeddings(spark, sf_dir):
+    return _nearest_embeddings(spark, sf_dir)
+
+
+@query
+def knn_embeddings_tiles(spark, sf_dir):
+    """The same by the way taken for pools of any size: a grid of tiles, here of 400 vectors a side."""
+    return _nearest_embeddings(spark, sf_dir, scan_numbers=0, tile_rows=400)
+
+
 @on_ledger
 def similar_contracts(ledger):
     found = V.similar_contracts(_flagged_contracts(ledger), 5)

@@ -726,6 +726,8 @@ ORACLES: dict[str, str] = {
         FROM embeddings v JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) h USING (label)""",
     "knn_embeddings": """WITH e AS (SELECT vec_id AS address, embedding FROM embeddings)
         SELECT address AS vec_id, match, position, s AS similarity FROM """ + nearest("e", "e", 5),
+    "knn_embeddings_tiles": """WITH e AS (SELECT vec_id AS address, embedding FROM embeddings)
+        SELECT address AS vec_id, match, position, s AS similarity FROM """ + nearest("e", "e", 5),
     "similar_contracts": sql(
         f"SELECT n.match, n.address, s AS similarity, position, flagged FROM {nearest('vec', 'vec', 5)} n JOIN stored p ON p.address = n.match",
         "stored", extra=FINGERPRINT.format(n="vec", source="code"),

@@ -25,17 +25,13 @@ def brute_force(queries, pool, k):
     return expected
 
 
-@pytest.mark.parametrize("blocks", [None, (16, 9), (40, 1000), (1000, 50)])
-def test_neighbours_against_brute_force(spark, monkeypatch, blocks):
-    """The scan, and the cell-wise join with several block sizes, agree with comparing all pairs."""
-    if blocks:
-        monkeypatch.setattr(knn, "SCAN_NUMBERS", 0)
-        monkeypatch.setattr(knn, "BLOCK_ROWS", blocks[0])
-        monkeypatch.setattr(knn, "BLOCK_CELLS", blocks[1])
-        monkeypatch.setattr(knn, "REACH_STEPS", [0.05, 0.4])
+@pytest.mark.parametrize("tile_rows", [None, 16, 60, 1000])
+def test_neighbours_against_brute_force(spark, tile_rows):
+    """The scan, and grids of tiles of several sizes, agree with comparing all pairs."""
+    how = {"scan_numbers": 0, "tile_rows": tile_rows} if tile_rows else {}
     rows = clustered(1, 150)
     df = spark.createDataFrame(rows, "id string, vector array<float>")
-    found = knn.nearest_neighbours(df, None, 4).orderBy("id", "position").collect()
+    found = knn.nearest_neighbours(df, None, 4, **how).orderBy("id", "position").collect()
     got = {}
     for r in found:
         got.setdefault(r.id, []).append(r.neighbour)
@@ -43,21 +39,42 @@ def test_neighbours_against_brute_force(spark, monkeypatch, blocks):
     queries = [("new", rows[10][1]), *rows[:30]]
     asked = spark.createDataFrame(queries, "id string, vector array<float>")
     got = {}
-    for r in knn.nearest_neighbours(asked, df, 3).orderBy("id", "position").collect():
+    for r in knn.nearest_neighbours(asked, df, 3, **how).orderBy("id", "position").collect():
         got.setdefault(r.id, []).append(r.neighbour)
     assert got == brute_force(queries, rows, 3)
 
 
-def test_distance_limit_keeps_close_neighbours(spark, monkeypatch):
+def test_distance_limit_keeps_close_neighbours(spark):
     rows = clustered(2, 120)
     df = spark.createDataFrame(rows, "id string, vector array<float>")
     everything = {tuple(r) for r in knn.nearest_neighbours(df, None, 1).filter("similarity >= 0.98").collect()}
-    monkeypatch.setattr(knn, "SCAN_NUMBERS", 0)
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 10)
-    near = {tuple(r) for r in knn.nearest_neighbours(df, None, 1, 0.2).filter("similarity >= 0.98").collect()}
+    near = {tuple(r) for r in knn.nearest_neighbours(df, None, 1, 0.2, scan_numbers=0, tile_rows=30).filter("similarity >= 0.98").collect()}
     assert near == everything and near
 
 
+def test_single_precision_loses_no_neighbour(monkeypatch):
+    """Vectors nearer to each other than single precision can tell, in strips of a few columns."""
+    rng = np.random.default_rng(4)
+    pool = np.repeat(rng.normal(size=(3, 6)), 40, axis=0) + 1e-7 * rng.normal(size=(120, 6))
+    pool /= np.linalg.norm(pool, axis=1)[:, None]
+    pool[5:9] = pool[4]
+    rank = rng.permutation(120)
+    monkeypatch.setattr(knn, "BLOCK_CELLS", 700)
+    rows, columns, similar = knn._first(pool[:50], pool, rank, 7, -2.0)
+    exact = np.round(pool[:50] @ pool.T, 9)
+    for i in range(50):
+        best = np.lexsort((rank, -exact[i]))[:7]
+        assert columns[rows == i].tolist() == best.tolist() and np.allclose(similar[rows == i], exact[i][best], atol=1e-12)
+
+
+def test_vectors_are_copied_once_a_row_of_tiles(spark):
+    rows = [(f"v{i:04d}", [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    shared = knn.materialize(knn._distinct_vectors(df, 3), "shared")
+    grid = knn._tiles(shared, shared, 3, -2.0, 25)
+    assert grid.groupBy("uid").count().filter("count <> 4 * 3").count() == 0
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "id string, vector array<float>")
     some = spark.createDataFrame(clustered(3, 5), "id string, vector array<float>")
