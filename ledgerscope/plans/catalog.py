@@ -32,6 +32,7 @@ from ledgerscope.sources import star
 from ledgerscope.sources.ledger import Ledger
 from ledgerscope.sources.seed_labels import builtin_labels
 from ledgerscope.streaming import ingest as ST
+from ledgerscope.streaming import jobs as SJ
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -800,6 +801,11 @@ def stream_enrich(spark, sf_dir):
     return ST.run_enrichment(spark, sf_dir)
 
 
+@query
+def stream_retry(spark, sf_dir):
+    return SJ.run_jobs(spark, sf_dir)
+
+
 @query
 def stream_network_metrics(spark, sf_dir):
     return ST.run_network_metrics(spark, sf_dir)

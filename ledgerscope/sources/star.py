@@ -303,6 +303,18 @@ def landed_events(spark: SparkSession, sf_dir: str, path: str, parts: int = 4, i
     return shape_events(stream)
 
 
+def landed_job_events(spark: SparkSession, sf_dir: str, path: str, parts: int = 2) -> DataFrame:
+    """The job log as a stream of several batches, each a stretch of time."""
+    events = job_events(spark, sf_dir)
+    bounds = events.select(F.min("at"), F.max("at")).first()
+    step = (bounds[1] - bounds[0]) / parts if bounds[0] is not None else None
+    for i in range(parts):
+        later = F.lit(True) if i == 0 or step is None else F.col("at") >= F.lit(bounds[0] + i * step)
+        earlier = F.lit(True) if i + 1 == parts or step is None else F.col("at") < F.lit(bounds[0] + (i + 1) * step)
+        events.filter(later & earlier).coalesce(1).write.parquet(f"{path}/part-{i}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
+
+
 def event_stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:
     """The event files as a stream."""
     schema = table(spark, sf_dir, "events").schema

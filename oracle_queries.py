@@ -370,6 +370,18 @@ def velocity_flags(minimum: int) -> str:
     WHERE total_count >= {minimum} AND total_count * 24 > baseline_count * 3"""
 
 
+JOB_STATES = f"""WITH je AS (SELECT {txh('l_orderkey')} AS tx_hash,
+        CASE l_returnflag WHEN 'A' THEN 'claimed' WHEN 'R' THEN 'failed' WHEN 'N' THEN 'done' END AS kind,
+        'line ' || l_linenumber AS error, l_shipdate AS moved, l_linenumber AS seq FROM lineitem),
+    jf AS (SELECT tx_hash, arg_max(kind, row(moved, seq, kind)) AS k, max(moved) AS last_at,
+        count(*) FILTER (kind = 'claimed') AS attempts,
+        arg_max(CASE WHEN kind = 'failed' THEN error ELSE '' END, row(moved, seq, kind)) FILTER (kind <> 'claimed') AS err,
+        max(moved) FILTER (kind = 'failed') AS failed_at, min(moved) AS first_at FROM je GROUP BY tx_hash)
+    SELECT tx_hash, CASE k WHEN 'claimed' THEN 'processing' WHEN 'done' THEN 'done' ELSE 'pending' END AS status, attempts,
+        nullif(err, '') AS last_error, coalesce(failed_at + INTERVAL 15 SECOND, first_at) AS available_at,
+        CASE WHEN k = 'claimed' THEN last_at END AS locked_at, last_at AS updated_at FROM jf"""
+
+
 ORACLES: dict[str, str] = {
     "ledger_projection": sql(f"SELECT * EXCLUDE (data), {HEX_DATA} AS data FROM deliv", "deliv"),
     "ledger_dedup": sql(
@@ -453,16 +465,7 @@ ORACLES: dict[str, str] = {
         AND (status = 'pending' OR (status = 'processing' AND locked_at <= (SELECT as_of FROM run) - INTERVAL 2 MINUTE))""",
         "jb", "tx", "run",
     ),
-    "jobs_latest_state": f"""WITH je AS (SELECT {txh('l_orderkey')} AS tx_hash,
-            CASE l_returnflag WHEN 'A' THEN 'claimed' WHEN 'R' THEN 'failed' WHEN 'N' THEN 'done' END AS kind,
-            'line ' || l_linenumber AS error, l_shipdate AS moved, l_linenumber AS seq FROM lineitem),
-        jf AS (SELECT tx_hash, arg_max(kind, row(moved, seq, kind)) AS k, max(moved) AS last_at,
-            count(*) FILTER (kind = 'claimed') AS attempts,
-            arg_max(CASE WHEN kind = 'failed' THEN error ELSE '' END, row(moved, seq, kind)) FILTER (kind <> 'claimed') AS err,
-            max(moved) FILTER (kind = 'failed') AS failed_at, min(moved) AS first_at FROM je GROUP BY tx_hash)
-        SELECT tx_hash, CASE k WHEN 'claimed' THEN 'processing' WHEN 'done' THEN 'done' ELSE 'pending' END AS status, attempts,
-            nullif(err, '') AS last_error, coalesce(failed_at + INTERVAL 15 SECOND, first_at) AS available_at,
-            CASE WHEN k = 'claimed' THEN last_at END AS locked_at, last_at AS updated_at FROM jf""",
+    "jobs_latest_state": JOB_STATES,
     "circular_candidates": sql(
         "SELECT hash, from_address, to_address, timestamp FROM edg WHERE coalesce(octet_length(data), 0) = 0", "edg"
     ),
@@ -783,6 +786,7 @@ ORACLES: dict[str, str] = {
         "prs", "code", "ev",
         extra=f"""{RETURNS}, {FINGERPRINT.format(n='vec', source='code')}, {SIMILAR_SO_FAR}""",
     ),
+    "stream_retry": f"""SELECT *, status = 'pending' AND available_at <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY AS due FROM ({JOB_STATES})""",
     "stream_network_metrics": sql(
         """SELECT b.bucket, transaction_count, unique_addresses, avg_gas_price, total_value FROM
         (SELECT date_trunc('hour', timestamp)::TIMESTAMP AS bucket, count(*) AS transaction_count, sum(value)::VARCHAR AS total_value,

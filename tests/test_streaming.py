@@ -178,3 +178,26 @@ def test_csv_export(spark, tmp_path):
     df = spark.createDataFrame([(1, "2")], "transaction_count long, total_value string")
     landing.write_csv(df, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().total_value == "2"
+
+
+def test_job_states_do_not_depend_on_batches(spark, tmp_path):
+    """Transitions out of order within and across batches, against the fold of the whole log; failed jobs become due."""
+    from ledgerscope.streaming import jobs as SJ
+
+    at = lambda m: START + dt.timedelta(minutes=m)
+    log = [
+        [("a", "claimed", None, at(0), 1), ("a", "failed", "no code", at(1), 2), ("b", "claimed", None, at(3), 1), ("c", "claimed", None, at(2), 1)],
+        [("b", "failed", "late", at(2), 9), ("c", "done", None, at(2), 2), ("d", "failed", "x", at(4), 1), ("a", "claimed", None, at(5), 3)],
+        [("a", "failed", "again", at(6), 4), ("d", "done", None, at(4), 0), ("e", "failed", "z", at(500), 1)],
+    ]
+    schema = "tx_hash string, kind string, error string, at timestamp, seq long"
+    for rows in log:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = BatchStore(str(tmp_path / "store"))
+    SJ.start_jobs(stream, store, str(tmp_path / "check"), lateness="2 hours", availableNow=True).awaitTermination()
+    got = {r.tx_hash: tuple(r)[1:] for r in SJ.stored_jobs(spark, store).collect()}
+    folded = R.latest_job_state(spark.read.schema(schema).parquet(str(tmp_path / "in")))
+    assert {k: v[:-1] for k, v in got.items()} == {r.tx_hash: tuple(r)[1:] for r in folded.collect()}
+    assert {k: v[-1] for k, v in got.items()} == {"a": True, "b": False, "c": False, "d": True, "e": False}
+    assert got["a"][:3] == ("pending", 2, "again")
