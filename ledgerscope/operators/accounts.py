@@ -30,10 +30,11 @@ def account_activity(transactions: DataFrame, bytecode: DataFrame) -> DataFrame:
 
     One scan and one shuffle answer both what an account is and what it did;
     aggregates that a caller does not select are pruned from the plan. Contracts
-    are called addresses that have code.
+    are called addresses that have code. Where ``transactions`` have a column
+    ``payload``, it is the size of the payload.
     """
     called = is_in() & (F.col("payload") > 0)
-    sized = transactions.withColumn("payload", S.octets(F.col("data")))
+    sized = transactions if "payload" in transactions.columns else transactions.withColumn("payload", S.octets(F.col("data")))
     seen = (
         touches(sized, "timestamp", "payload", "value")
         .groupBy("address")

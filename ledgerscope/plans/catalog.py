@@ -7,6 +7,7 @@ exact text, so that results can be compared across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ from ledgerscope.operators import vectors as V
 from ledgerscope.operators.knn import RANK_DIGITS, nearest_neighbours
 from ledgerscope.operators.touches import touches
 from ledgerscope.plans import documents as docs
-from ledgerscope.session import materialize
+from ledgerscope.session import materialize, scratch_path
 from ledgerscope.sources import star
+from ledgerscope.sources.by_address import AddressIndex
 from ledgerscope.sources.ledger import Ledger
 from ledgerscope.sources.seed_labels import builtin_labels
 from ledgerscope.streaming import ingest as ST
@@ -282,9 +284,7 @@ def address_activity(ledger):
     return A.address_activity(ledger.account_activity)
 
 
-@on_ledger
-def account_profile(ledger):
-    profiles = docs.account_profiles(ledger, 8)
+def _listed_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns(
         {
             "counterparties": F.array_join(F.transform("counterparties", lambda c: c["counterparty"]), ","),
@@ -293,6 +293,20 @@ def account_profile(ledger):
     )
 
 
+@on_ledger
+def account_profile(ledger):
+    return _listed_profiles(docs.account_profiles(ledger, 8))
+
+
+@on_ledger
+def account_profile_by_keys(ledger):
+    """Profiles of the labelled entities, looked up in a copy of the ledger by address."""
+    index = AddressIndex(ledger.spark, scratch_path(ledger.spark, "by-address"), slots=16)
+    index.write(ledger.transactions)
+    keys = [r[0] for r in ledger.entities.select("address").collect()]
+    return _listed_profiles(docs.account_profiles(replace(ledger, by_address=index), 8, keys))
+
+
 @on_ledger
 def counterparties(ledger):
     return docs.labelled_counterparties(ledger, 8)
@@ -551,6 +565,20 @@ def tx_detail(ledger):
     return docs.transaction_details(ledger)
 
 
+@on_ledger
+def tx_detail_by_keys(ledger):
+    """The transactions of the live list, looked up by their hashes."""
+    keys = [r[0] for r in R.recent_transactions(ledger.transactions, 50).select("hash").collect()]
+    return docs.transaction_details(ledger, keys)
+
+
+@on_ledger
+def contract_detail_by_keys(ledger):
+    """Dossiers of the labelled entities that are contracts."""
+    keys = [r[0].upper().replace("0X", "0x") for r in ledger.entities.select("address").collect()]
+    return docs.contract_details(ledger, _stored_contracts(ledger), keys)
+
+
 @on_ledger
 def tx_related_flag(ledger):
     return R.related_flag(ledger.transactions, ledger.flags)

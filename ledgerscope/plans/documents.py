@@ -69,8 +69,20 @@ def profile_summary(ledger: Ledger) -> DataFrame:
     )
 
 
-def account_profiles(ledger: Ledger, limit: int | None = None) -> DataFrame:
-    """Account profiles with their counterparty and transaction lists (at most ``limit`` entries each)."""
+def account_profiles(ledger: Ledger, limit: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Account profiles with their counterparty and transaction lists (at most ``limit`` entries each).
+
+    With ``keys`` only of these addresses, from the part of the ledger around
+    them and their listed counterparties; what it costs does not grow with
+    the ledger where that has a copy by address. Unknown addresses give no row.
+    """
+    if keys is not None:
+        wanted = _addresses(ledger, keys)
+        partners = A.counterparties(ledger.around(wanted).transactions, limit).filter(F.col("address").isin(wanted))
+        # At most ``limit`` for each key.
+        listed = [r[0] for r in partners.select("counterparty").distinct().collect()]
+        profiles = account_profiles(ledger.around([*wanted, *listed]), limit)
+        return profiles.filter(F.col("address").isin(wanted))
     ledger = ledger.with_stored_accounts()
     partners = (
         labelled_counterparties(ledger, limit)
@@ -107,8 +119,17 @@ def account_profiles(ledger: Ledger, limit: int | None = None) -> DataFrame:
     return profile_summary(ledger).join(partners, "address", "left").join(recent, "address", "left")
 
 
-def contract_details(ledger: Ledger, contracts: DataFrame) -> DataFrame:
-    """The dossier of every contract account. ``contracts`` holds code and flagged marks."""
+def _addresses(ledger: Ledger, keys: list[str]) -> list[str]:
+    """The keys as the ledger writes addresses."""
+    rows = ledger.spark.createDataFrame([(k,) for k in keys], "address string")
+    return sorted({r[0] for r in rows.select(S.normalize_address(F.col("address"))).collect() if r[0]})
+
+
+def contract_details(ledger: Ledger, contracts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The dossier of every contract account, or of those among ``keys``. ``contracts`` holds code and flagged marks."""
+    if keys is not None:
+        wanted = _addresses(ledger, keys)
+        ledger, contracts = ledger.around(wanted), contracts.filter(F.col("address").isin(wanted))
     risk = address_risk(ledger.flags)
     known = join_labels(ledger.accounts.filter("is_contract"), ledger.entities, risk)
     joined = known.join(contracts.select("address", "bytecode", "flagged"), "address", "left").join(
@@ -131,9 +152,15 @@ def contract_details(ledger: Ledger, contracts: DataFrame) -> DataFrame:
     )
 
 
-def transaction_details(ledger: Ledger) -> DataFrame:
-    """Every transaction with payload, flag summary, and the risk of both parties."""
-    flags = explain_flags(ledger.flags)
+def transaction_details(ledger: Ledger, keys: list[str] | None = None) -> DataFrame:
+    """Every transaction, or those whose hash is among ``keys``, with payload, flag summary, and the risk of both parties."""
+    flags, transactions = explain_flags(ledger.flags), ledger.transactions
+    if keys is not None:
+        flags = flags.filter(F.col("tx_hash").isin(keys))
+        transactions = materialize(transactions.filter(F.col("hash").isin(keys)), "transactions")
+        # At most two for each key.
+        ends = transactions.select(F.explode(F.array("from_address", "to_address")).alias("address")).distinct()
+        ledger = ledger.around([r[0] for r in ends.collect() if r[0]])
     per_tx = flags.groupBy(F.col("tx_hash").alias("hash")).agg(
         F.count("*").alias("flag_count"),
         F.max_by(F.struct("flag_type", "severity", *COLUMNS), F.struct("detected_at", "id")).alias("latest"),
@@ -142,14 +169,14 @@ def transaction_details(ledger: Ledger) -> DataFrame:
     profiles = materialize(profiles, "profiles")  # joined twice
     sender = profiles.select([F.col(c).alias(f"from_{c}") for c in profiles.columns])
     recipient = profiles.select([F.col(c).alias(f"to_{c}") for c in profiles.columns])
-    tx = ledger.transactions.select("hash", "from_address", "to_address", "value", "timestamp")
+    tx = transactions.select("hash", "from_address", "to_address", "value", "timestamp")
     sent = tx.join(sender, "from_address", "left")
     # Creations have no recipient to look up; as one null key they would meet in one task.
     called = sent.filter(F.col("to_address").isNotNull()).join(recipient, "to_address", "left")
     nobody = [F.lit(None).cast(recipient.schema[c].dataType).alias(c) for c in recipient.columns if c != "to_address"]
     created = sent.filter(F.col("to_address").isNull()).select("*", *nobody)
     # The payload joins last, so that it is moved once.
-    payload = ledger.transactions.select("hash", "data")
+    payload = transactions.select("hash", "data")
     return (
         called.unionByName(created)
         .join(per_tx, "hash", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerscope import schemas
 from ledgerscope.operators import accounts as _accounts
 from ledgerscope.session import materialize
+from ledgerscope.sources.by_address import AddressIndex, touching
 
 
 @dataclass
@@ -20,7 +21,8 @@ class Ledger:
 
     ``bytecode`` holds one row per contract address; ``has_code`` tells empty code
     apart without reading the code. ``run_time`` stands for "now"; left out, it is
-    the latest transaction time.
+    the latest transaction time. ``by_address`` is a copy of the transactions for
+    lookups of a few addresses.
     """
 
     transactions: DataFrame
@@ -30,6 +32,7 @@ class Ledger:
     flags: DataFrame
     jobs: DataFrame
     run_time: datetime | None = None
+    by_address: AddressIndex | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -61,6 +64,18 @@ class Ledger:
         return stored
 
 
+    def around(self, addresses: list[str]) -> Ledger:
+        """The part that holds everything about a few addresses: their transactions, code, metadata, labels and flags.
+
+        What is worked out for one of them is as in the whole ledger; transactions
+        have the size of the payload (``payload``) in place of the payload.
+        """
+        wanted = sorted(set(addresses))
+        own = self.by_address.transactions(wanted) if self.by_address else touching(self.transactions, wanted)
+        parts = {name: getattr(self, name).filter(F.col("address").isin(wanted)) for name in ("bytecode", "metadata", "entities", "flags")}
+        return replace(self, transactions=own, by_address=None, **parts)
+
+
 def read_ledger(spark: SparkSession, root: str, run_time: datetime | None = None) -> Ledger:
     """Read a ledger stored as one Parquet folder per table."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

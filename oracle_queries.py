@@ -795,3 +795,11 @@ ORACLES: dict[str, str] = {
         "tch",
     ),
 }
+
+# Lookups by keys give the rows that the whole document has for them.
+_ENTITIES = f"address IN (SELECT {addr('n_nationkey')} FROM nation)"
+ORACLES |= {
+    "account_profile_by_keys": f"SELECT * FROM ({ORACLES['account_profile']}) WHERE {_ENTITIES}",
+    "contract_detail_by_keys": f"SELECT * FROM ({ORACLES['contract_detail']}) WHERE {_ENTITIES}",
+    "tx_detail_by_keys": f"SELECT * FROM ({ORACLES['tx_detail']}) ORDER BY timestamp DESC, hash LIMIT 50",
+}
