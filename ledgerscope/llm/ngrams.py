@@ -3,8 +3,8 @@
 The probability of a word after another mixes the maximum-likelihood estimates
 of the pair, of the word and of any word at all. The weights depend on how often
 the context was seen (buckets by powers of two) and are learned by
-expectation-maximisation on held-out counts: those of documents whose own
-counts have been deleted.
+expectation-maximisation on held-out counts: every training document is held
+out in turn, its own counts deleted from the totals.
 
 The documents are packed first: a pack holds the words of many documents as
 numbers of its own vocabulary, and is written once. Counts travel as sorted
@@ -33,17 +33,15 @@ _PAIR = seeds(2, 21_000)
 END, START = seeds(2, 22_000)
 BUCKETS = 24
 # Bins a decade and the number of bins of probabilities, by which held-out words are tallied.
-FINENESS, BINS = 4, 64
+FINENESS, BINS = 8, 128
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Words to a pack, keys to a range of hashes, and which documents of which packs the weights are learned on."""
+    """Words to a pack, keys to a range of hashes, and rounds of expectation-maximisation."""
 
     pack_words: int = 1_000_000
     range_keys: int = 400_000
-    held_packs: int = 8
-    held_documents: int = 4
     rounds: int = 60
 
 
@@ -194,23 +192,38 @@ def estimates(p: Pack, words: np.ndarray, pairs: np.ndarray, starts: int, total:
     return context_bucket(contexts), two, words[p.word] / max(total, 1)
 
 
-def held_out(packed: DataFrame, totals: DataFrame, starts: int, total: int, settings: Settings) -> list:
-    """Held-out words by context bucket and bins of both estimates: rows of those three, a number and mean estimates."""
-    chosen = F.pmod(F.xxhash64("pack"), F.lit(settings.held_packs)) == 0
-    least = packed.agg(F.min("pack")).first()[0]
-    wanted = chosen | (F.col("pack") == F.lit(least))
+def deleted_estimates(p: Pack, words: np.ndarray, pairs: np.ndarray, starts: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``estimates`` for training documents, each by the counts of all others."""
+    document = np.repeat(np.arange(len(p.sizes)), p.sizes)
+
+    def own(numbers: np.ndarray) -> np.ndarray:
+        """How often the word or pair of each place occurs in its document."""
+        _, place, counts = np.unique(document * (int(numbers.max()) + 1) + numbers, return_inverse=True, return_counts=True)
+        return counts[place]
+
+    own_words = own(p.word)
+    own_contexts = np.empty_like(own_words)
+    own_contexts[1:] = own_words[:-1]
+    own_contexts[p.begins] = 1  # its start
+    contexts = np.append(words, starts)[p.before] - own_contexts
+    two = (pairs[p.pair] - own(p.pair)) / np.maximum(contexts, 1)
+    one = (words[p.word] - own_words) / np.maximum(total - np.repeat(p.sizes, p.sizes), 1)
+    return context_bucket(contexts), two, one
+
+
+def held_out(packed: DataFrame, totals: DataFrame, starts: int, total: int) -> list:
+    """All training words by context bucket and bins of both deleted estimates: rows of those three, a number and sums of estimates."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["bucket", "two", "one", "n", "sum_two", "sum_one"]
         tables = []
         for row in left.to_pylist():
             p = Pack(row)
-            held = p.train & (np.arange(len(p.ids)) % settings.held_documents == 0)
-            at = np.repeat(held, p.sizes)
-            words, pairs = p.totals(right)
-            own_words, own_pairs = p.counts(at)
-            bucket, two, one = estimates(p, words - own_words, pairs - own_pairs, starts - int(held.sum()), total - int(at.sum()))
-            bucket, two, one = bucket[at], two[at], one[at]
+            at = p.in_training
+            if not at.any():
+                continue
+            # Places outside training documents are worked out and left out.
+            bucket, two, one = (x[at] for x in deleted_estimates(p, *p.totals(right), starts, total))
             bins = [np.where(x > 0, np.clip(BINS + np.log10(np.maximum(x, 1e-300)) * FINENESS, 1, BINS).astype(np.int64), 0) for x in (two, one)]
             code, place = np.unique((bucket * (BINS + 1) + bins[0]) * (BINS + 1) + bins[1], return_inverse=True)
             sums = [np.bincount(place, w, minlength=len(code)).astype(float) for w in (np.ones(len(place)), two, one)]
@@ -219,9 +232,8 @@ def held_out(packed: DataFrame, totals: DataFrame, starts: int, total: int, sett
         return pa.concat_tables(tables) if tables else pa.table([pa.array([], t) for t in [pa.int64()] * 3 + [pa.float64()] * 3], names)
 
     tallies = (
-        packed.where(wanted)
-        .groupBy("pack")
-        .cogroup(totals.where(wanted & F.col("pack").isNotNull()).groupBy("pack"))
+        packed.groupBy("pack")
+        .cogroup(totals.where(F.col("pack").isNotNull()).groupBy("pack"))
         .applyInArrow(run, "bucket long, two long, one long, n double, sum_two double, sum_one double")
     )
     # At most as many rows as there are buckets and bins, whatever the input.
@@ -263,6 +275,7 @@ def scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     of them. ``base_score`` is the text's log10 probability under smoothed word
     counts alone, ``score`` under the mixture. A null or empty text is one end
     of text. Without training rows every word is as likely as any other.
+    Nothing depends on how the rows are dealt out, but for rounding.
     Repeated rows keep a row each; other columns are ignored.
     """
     packed = materialize(packs(docs.withColumn("train", F.coalesce("train", F.lit(False))), settings), "packs")
@@ -273,7 +286,7 @@ def scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     distinct, total = int(sums[0] or 0), int(sums[1] or 0)
     starts = docs.where("train").count()
     uniform = 1.0 / (distinct + 1)
-    held = held_out(packed, totals, starts, total, settings) if n_words else []
+    held = held_out(packed, totals, starts, total) if n_words else []
     weights = learn_weights(held, uniform, settings.rounds)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
