@@ -1,4 +1,9 @@
-"""Language identification: first the family, then a language within it."""
+"""Language identification: first the family, then a language within it.
+
+Families are told apart by one machine against the rest each. Within a family
+there is a machine for every two languages (one versus one); the language with
+most of them on its side wins, among equals the one with the greatest margins.
+"""
 
 from __future__ import annotations
 
@@ -103,7 +108,7 @@ def svm(x: np.ndarray, positive: np.ndarray, steps: int = STEPS, ridge: float =
 
 @dataclass(frozen=True)
 class Model:
-    """Machines by family and, within each family, by language."""
+    """Machines by family and, within each family, by pair of languages (in the order of ``pairs``)."""
 
     families: list[str]
     family_weights: np.ndarray
@@ -120,7 +125,7 @@ class Model:
         for f, name in enumerate(self.families):
             rows = np.flatnonzero(letters & (family == f))
             if len(rows):
-                language, inner = _choose(x[rows], self.language_weights[name])
+                language, inner = _vote(x[rows], self.language_weights[name], len(self.languages[name]))
                 best[rows] = np.array(self.languages[name], object)[language]
                 score[rows] = sure[rows] * inner
         return best, score
@@ -133,8 +138,27 @@ def _choose(x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return margin.argmax(1), (1 / e.sum(1))
 
 
+def pairs(n: int) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(n) for b in range(a + 1, n)]
+
+
+def _vote(x: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class that wins most pairs, ties by margins, and the share its mean margin has of all (soft maximum)."""
+    votes, margins = np.zeros((len(x), n)), np.zeros((len(x), n))
+    for (a, b), w in zip(pairs(n), weights):
+        margin = x @ w[:-1] + w[-1]
+        votes[:, a] += margin >= 0
+        votes[:, b] += margin < 0
+        margins[:, a] += margin / (n - 1)
+        margins[:, b] -= margin / (n - 1)
+    winning = np.where(votes == votes.max(1, keepdims=True), margins, -np.inf)
+    best = winning.argmax(1)
+    shares = np.exp(2.0 * (margins - margins.max(1, keepdims=True)))
+    return best, shares[np.arange(len(x)), best] / shares.sum(1)
+
+
 def fit(x: np.ndarray, languages: np.ndarray, families: dict[str, list[str]] | None = None) -> Model:
-    """Learn one machine against the rest for every family and every language within a family."""
+    """Learn one machine against the rest for every family, and one for every two languages of a family."""
     of = {lang: name for name, members in (families or FAMILIES).items() for lang in members}
     family = np.array([of.get(lang, f"={lang}") for lang in languages], object)
     names = sorted(set(family))
@@ -145,7 +169,11 @@ def fit(x: np.ndarray, languages: np.ndarray, families: dict[str, list[str]] | N
     for f in names:
         rows = np.flatnonzero(family == f)
         members[f] = sorted(set(languages[rows]))
-        inner[f] = np.stack([machine(rows, languages[rows] == lang) for lang in members[f]])
+        machines = []
+        for a, b in pairs(len(members[f])):
+            two = rows[np.isin(languages[rows], [members[f][a], members[f][b]])]
+            machines.append(svm(x[two], languages[two] == members[f][a]))
+        inner[f] = np.stack(machines) if machines else np.zeros((0, DIMENSIONS + 1), np.float32)
     return Model(names, top, members, inner)
 
 

@@ -143,6 +143,32 @@ def test_hierarchy_separates_close_languages():
     assert (model.predict(x[~use], np.ones((~use).sum(), bool))[0] == lang[~use]).mean() == 1
 
 
+def test_languages_of_a_family_are_told_apart_in_pairs():
+    rng = random.Random(2)
+    parts = {"aa": ["ka", "lo", "mi"], "ab": ["ka", "lo", "nu"], "ac": ["ka", "mi", "nu"], "zz": ["xq", "wy", "vv"]}
+    texts = [(lang, " ".join("".join(rng.choices(p, k=3)) for _ in range(60))) for lang, p in parts.items() for _ in range(60)]
+    x = langid.frequencies(pa.array([t for _, t in texts]))
+    lang = np.array([n for n, _ in texts], object)
+    use = np.arange(len(lang)) % 2 == 0
+    model = langid.fit(x[use], lang[use], {"near": ["aa", "ab", "ac"]})
+    assert len(model.language_weights["near"]) == 3 and len(model.language_weights["=zz"]) == 0
+    best, score = model.predict(x[~use], np.ones((~use).sum(), bool))
+    assert (best == lang[~use]).mean() == 1 and ((score > 0) & (score <= 1)).all()
+    # The votes are those of plain machines for two languages each.
+    for (a, b), w in zip([("aa", "ab"), ("aa", "ac"), ("ab", "ac")], model.language_weights["near"]):
+        two = use & np.isin(lang, [a, b])
+        assert np.allclose(w, langid.svm(x[two], lang[two] == a))
+
+
+def test_ties_of_votes_go_by_margin():
+    # Each of three classes wins one pair; the second by far.
+    weights = np.array([[0.0, 0.1], [0.0, -0.2], [0.0, 5.0]])
+    best, score = langid._vote(np.zeros((2, 1)), weights, 3)
+    assert best.tolist() == [1, 1] and (score > 0.9).all()
+    best, score = langid._vote(np.zeros((1, 1)), np.zeros((0, 2)), 1)
+    assert best.tolist() == [0] and score.tolist() == [1.0]
+
+
 def test_model_scores_against_plain_counts(spark, docs, odd):
     rng = random.Random(5)
     names = [f"w{i}" for i in range(30)]
