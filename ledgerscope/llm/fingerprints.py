@@ -66,22 +66,25 @@ def shift(a: Column, b: Column, sign: int = 1, bits: int = 32) -> Column:
     return F.zip_with(a, b, lambda x, y: F.pmod(x + sign * y, F.lit(1 << bits)))
 
 
-def fingerprint(wide: Column, ones: Column) -> Column:
-    """Lanes as text: wide ones modulo 2^32, the others modulo 2^16."""
-    hexed = lambda values, width: F.array_join(
-        F.transform(values, lambda x: F.lower(F.lpad(F.hex(F.pmod(x, F.lit(1 << (4 * width)))), width, "0"))), ""
-    )
-    return F.concat(hexed(wide, 8), hexed(ones, 4))
+def reduced(x: Column) -> Column:
+    """A lane as it is printed: modulo 2^32."""
+    return F.pmod(x, F.lit(1 << 32))
+
+
+def fingerprint(p: str) -> Column:
+    """All lanes and the number of runs of a prefix of columns ``wide, ones, runs``, each modulo 2^32 in eight digits."""
+    values = F.concat(F.col(f"{p}wide"), F.col(f"{p}ones"), F.array(F.col(f"{p}runs")))
+    return F.array_join(F.transform(values, lambda x: F.lower(F.lpad(F.hex(reduced(x)), 8, "0"))), "")
 
 
 def likeness(a: str, b: str) -> Column:
-    """0 to 1 for two prefixes of columns ``wide, ones, runs``; 1 for equal fingerprints."""
-    signed = lambda p: F.transform(F.col(f"{p}ones"), lambda x: 2 * x - F.col(f"{p}runs"))
+    """0 to 1 for the fingerprints of two prefixes of columns, from what they print; 1 for equal ones."""
+    signed = lambda p: F.transform(F.col(f"{p}ones"), lambda x: 2 * reduced(x) - reduced(F.col(f"{p}runs")))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0).cast("long"), lambda s, v: s + v)
     left, right = signed(a), signed(b)
     size = F.sqrt(dot(left, left).cast("double")) * F.sqrt(dot(right, right).cast("double"))
     cosine = F.when(size > 0, dot(left, right) / size).otherwise(0.0)
-    same = (F.col(f"{a}wide") == F.col(f"{b}wide")) & (F.col(f"{a}ones") == F.col(f"{b}ones"))
+    same = fingerprint(a) == fingerprint(b)
     return F.when(same, 1.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)), 6))
 
 
@@ -92,7 +95,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return lanes(rows, ["row", "doc_id", "n_chars"], "text").select("doc_id", "n_chars", fingerprint(F.col("wide"), F.col("ones")).alias("fingerprint"))
+    return lanes(rows, ["row", "doc_id", "n_chars"], "text").select("doc_id", "n_chars", fingerprint("").alias("fingerprint"))
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -152,8 +155,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             "doc_id",
             "n_chars",
             "edited_sha256",
-            fingerprint(F.col("own.wide"), F.col("own.ones")).alias("fingerprint"),
-            fingerprint(F.col("edit.wide"), F.col("edit.ones")).alias("edited_fingerprint"),
+            fingerprint("own.").alias("fingerprint"),
+            fingerprint("edit.").alias("edited_fingerprint"),
             likeness("own.", "edit.").alias("near_edited"),
             likeness("own.", "next.").alias("near_next"),
         )

@@ -13,14 +13,14 @@ def _fingerprints() -> str:
     bits += [(i, b + 16) for i, b in bits]
     ones = ", ".join(f"sum((w[{i + 1}] >> {b}) & 1)::BIGINT" for i, b in bits)
     hexed = lambda v, width: f"array_to_string([lpad(to_hex(x % {16**width}), {width}, '0') FOR x IN {v}], '')"
-    text = lambda p: f"lower({hexed(p + '.wide', 8)} || {hexed(p + '.ones', 4)})"
+    text = lambda p: f"lower({hexed(f'list_concat({p}.wide, {p}.ones, [{p}.runs])', 8)})"
     signed = lambda p: f"[2 * x - {p}.runs FOR x IN {p}.ones]"
 
     def near(a: str, b: str) -> str:
         dot = lambda x, y: f"list_sum([p[1] * p[2] FOR p IN list_zip({signed(x)}, {signed(y)})])"
         size = f"(sqrt({dot(a, a)}::DOUBLE) * sqrt({dot(b, b)}::DOUBLE))"
         cosine = f"CASE WHEN {size} > 0 THEN {dot(a, b)} / {size} ELSE 0 END"
-        same = f"{a}.wide = {b}.wide AND {a}.ones = {b}.ones"
+        same = f"{a}.wide = {b}.wide AND {a}.ones = {b}.ones AND {a}.runs = {b}.runs"
         return f"CASE WHEN {same} THEN 1.0::DOUBLE ELSE round(greatest(0, least(1, {cosine})), 6)::DOUBLE END"
 
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),

@@ -1,6 +1,7 @@
 """Fingerprints, mixing and URL rules against plain Python."""
 
 import hashlib
+import math
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,30 @@ def test_fingerprints_are_multiset_hashes(docs):
     assert len({by_id[1], by_id[3], by_id[5]}) == 3
 
 
+def test_likeness_is_that_of_the_printed_fingerprints(docs):
+    rows = [(i, "\n".join(f"line {j} of {i // 2} with words" for j in range(3 + i % 4 * 5))) for i in range(12)] + [(12, "a\n\n"), (13, "\na\n"), (14, "")]
+    got = FP.edited_fingerprints(docs(rows)).collect()
+
+    def printed(text):
+        values = [int(text[i : i + 8], 16) for i in range(0, len(text), 8)]
+        runs = values[-1]
+        return [2 * x - runs for x in values[FP.WIDE_LANES : -1]]
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        x, y = printed(a), printed(b)
+        size = math.sqrt(sum(p * p for p in x)) * math.sqrt(sum(q * q for q in y))
+        return max(0.0, sum(p * q for p, q in zip(x, y)) / size) if size else 0.0
+
+    by_id = {r.doc_id: r for r in got}
+    for r in got:
+        after = by_id[r.doc_id - 1 if r.doc_id else 14]
+        assert abs(r.near_edited - likeness(r.fingerprint, r.edited_fingerprint)) < 1e-5
+        assert abs(r.near_next - likeness(r.fingerprint, after.fingerprint)) < 1e-5
+    assert by_id[12].fingerprint == by_id[13].fingerprint and by_id[13].near_next == 1
+
+
 def test_paragraphs_are_inserted_and_deleted(docs):
     parts = FP.lanes(docs([(1, "a\nb"), (2, "c"), (3, "a\nb\nc")]).select("doc_id", "text"), ["doc_id"], "text")
     a, b, c = (parts.where(f"doc_id = {i}").select(F.col("wide").alias(f"w{i}")) for i in (1, 2, 3))
