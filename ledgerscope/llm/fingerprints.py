@@ -72,9 +72,10 @@ def reduced(x: Column) -> Column:
 
 
 def fingerprint(p: str) -> Column:
-    """All lanes and the number of runs of a prefix of columns ``wide, ones, runs``, each modulo 2^32 in eight digits."""
+    """All lanes and the number of runs of a prefix of columns ``wide, ones, runs``, each modulo 2^32 in four bytes, as base64."""
     values = F.concat(F.col(f"{p}wide"), F.col(f"{p}ones"), F.array(F.col(f"{p}runs")))
-    return F.array_join(F.transform(values, lambda x: F.lower(F.lpad(F.hex(reduced(x)), 8, "0"))), "")
+    digits = F.array_join(F.transform(values, lambda x: F.lpad(F.hex(reduced(x)), 8, "0")), "")
+    return F.translate(F.base64(F.unhex(digits)), "\r\n", "")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -139,22 +140,22 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "key",
         "doc_id",
         "n_chars",
-        F.sha2("text", 256).alias("sha"),
-        F.sha2("edited", 256).alias("edited_sha256"),
         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"),
     )
-    keys = ["key", "row", "doc_id", "n_chars", "sha", "edited_sha256"]
-    made = lanes(both.select(*keys, "v.which", "v.text"), [*keys, "which"], "text")
-    pair = [F.max(F.when(F.col("which") == w, F.struct("wide", "ones", "runs"))).alias(n) for w, n in ((0, "own"), (1, "edit"))]
+    keys = ["key", "row", "doc_id", "n_chars"]
+    # 32 bytes travel with each of the two texts.
+    versions = both.select(*keys, "v.which", "v.text", F.unhex(F.sha2("v.text", 256)).alias("sha"))
+    made = lanes(versions, [*keys, "which", "sha"], "text")
+    pair = [F.max(F.when(F.col("which") == w, F.struct("wide", "ones", "runs", "sha"))).alias(n) for w, n in ((0, "own"), (1, "edit"))]
     done = materialize(made.groupBy(*keys).agg(*pair), "fingerprints")
-    after = done.groupBy(F.col("key").alias("next_key")).agg(F.min_by("own", "sha").alias("next"))
+    after = done.groupBy(F.col("key").alias("next_key")).agg(F.min_by("own", "own.sha").alias("next"))
     return (
         done.join(links.select("key", "next_key"), "key")
         .join(after, "next_key")
         .select(
             "doc_id",
             "n_chars",
-            "edited_sha256",
+            F.lower(F.hex("edit.sha")).alias("edited_sha256"),
             fingerprint("own.").alias("fingerprint"),
             fingerprint("edit.").alias("edited_fingerprint"),
             likeness("own.", "edit.").alias("near_edited"),

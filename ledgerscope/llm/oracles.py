@@ -13,7 +13,7 @@ def _fingerprints() -> str:
     bits += [(i, b + 16) for i, b in bits]
     ones = ", ".join(f"sum((w[{i + 1}] >> {b}) & 1)::BIGINT" for i, b in bits)
     hexed = lambda v, width: f"array_to_string([lpad(to_hex(x % {16**width}), {width}, '0') FOR x IN {v}], '')"
-    text = lambda p: f"lower({hexed(f'list_concat({p}.wide, {p}.ones, [{p}.runs])', 8)})"
+    text = lambda p: f"to_base64(unhex({hexed(f'list_concat({p}.wide, {p}.ones, [{p}.runs])', 8)}))"
     signed = lambda p: f"[2 * x - {p}.runs FOR x IN {p}.ones]"
 
     def near(a: str, b: str) -> str:

@@ -1,8 +1,10 @@
 """Fingerprints, mixing and URL rules against plain Python."""
 
+import base64
 import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import fingerprints as FP
@@ -46,7 +48,7 @@ def test_likeness_is_that_of_the_printed_fingerprints(docs):
     got = FP.edited_fingerprints(docs(rows)).collect()
 
     def printed(text):
-        values = [int(text[i : i + 8], 16) for i in range(0, len(text), 8)]
+        values = np.frombuffer(base64.b64decode(text), ">u4").astype(int).tolist()
         runs = values[-1]
         return [2 * x - runs for x in values[FP.WIDE_LANES : -1]]
 
