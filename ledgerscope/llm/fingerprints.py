@@ -58,7 +58,8 @@ def lanes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     wide_lanes = [F.col(f"w{n}").bitwiseAND(mask) for n in range(WIDE_LANES)]
     halves = [F.coalesce(f"s{i}_{bit}", F.lit(0)) for i in range(SIGN_LANES // WORD_BITS) for bit in range(WORD_BITS // 2)]
     ones = [h.bitwiseAND(mask) for h in halves] + [F.shiftright(h, 32) for h in halves]
-    return sums.select(*keys, F.array(*wide_lanes).alias("wide"), F.array(*ones).alias("ones"), "runs")
+    # No text has 2^31 runs.
+    return sums.select(*keys, F.array(*wide_lanes).alias("wide"), F.array(*ones).cast("array<int>").alias("ones"), "runs")
 
 
 def shift(a: Column, b: Column, sign: int = 1, bits: int = 32) -> Column:
