@@ -202,12 +202,13 @@ def trace_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- circular flows
 
 
-def circular_flows(edges: DataFrame, limit: int | None = None) -> DataFrame:
+def circular_flows(edges: DataFrame, limit: int | None = None, shortest: int = 2) -> DataFrame:
     """The first closed trails of two, then three edges, ordered by path and hashes.
 
     Works on node cycles first: every cycle holds at least one trail, so the first
     ``limit`` cycles hold the first ``limit`` trails, and only those are spelled out
-    with hashes. Three-edge cycles are listed only if two-edge ones do not suffice.
+    with hashes. Three-edge cycles are looked for only if two-edge ones do not
+    suffice, or alone with ``shortest=3``.
     """
     n = S.clamp_limit(limit, 20, 100)
     pairs = materialize(
@@ -216,13 +217,61 @@ def circular_flows(edges: DataFrame, limit: int | None = None) -> DataFrame:
         ),
         "cycle-pairs",
     )
+    if shortest >= 3:
+        return _spell_out(_first_three_cycles(pairs, n), edges, 3, n)
     two = materialize(_spell_out(_first_cycles(_two_cycles(pairs), n), edges, 2, n), "cycles2")
     if two.count() >= n:
         return two
-    three = _spell_out(_first_cycles(_three_cycles(pairs), n), edges, 3, n)
+    three = _spell_out(_first_three_cycles(pairs, n), edges, 3, n)
     return _first_flows(two.unionByName(three), n)
 
 
+def _first_three_cycles(pairs: DataFrame, n: int, first_starts: int = 256) -> DataFrame:
+    """The first ``n`` closed three-step walks by path, without listing the others.
+
+    Paths are ordered by their start, so the starts are taken in order, first
+    ``first_starts`` of them and eight times as many with every round, until the
+    starts taken have ``n`` cycles. A round reads only pairs that can close a walk
+    from its starts. One range of starts is known to the driver as its last address.
+    """
+    leaving = pairs.select(F.col("src").alias("node")).distinct()
+    nodes = materialize(leaving.join(pairs.select(F.col("dst").alias("node")), "node", "left_semi"), "cycle-starts")
+    starts, after, found = first_starts, None, None
+    while True:
+        rest = nodes if after is None else nodes.filter(F.col("node") > after)
+        last = rest.orderBy("node").limit(starts).agg(F.max("node")).first()[0]
+        if last is None:
+            return _first_cycles(_three_cycles(pairs.limit(0)) if found is None else found, n)
+        taken = (F.lit(True) if after is None else F.col("node") > after) & (F.col("node") <= last)
+        cycles = _first_cycles(_three_cycles(_closing_from(pairs, nodes.filter(taken))).filter(_starts_within(after, last)), n)
+        found = materialize(cycles if found is None else _first_cycles(found.unionByName(cycles), n), "cycles3")
+        if found.count() >= n:
+            return found
+        starts, after = starts * 8, last
+
+
+def _starts_within(after: str | None, last: str) -> Column:
+    start = F.col("path")[0]
+    return start <= last if after is None else (start > after) & (start <= last)
+
+
+def _closing_from(pairs: DataFrame, starts: DataFrame) -> DataFrame:
+    """The pairs of which closed three-step walks from ``starts`` can be made.
+
+    First steps leave a start, last ones enter one, and a middle step leads from
+    where a first one ended to where a last one begins. Loops at both kinds of
+    place are kept by the same rule.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    first = pairs.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
+    last = pairs.join(starts.select(F.col("node").alias("dst")), "dst", "left_semi")
+    middle = pairs.join(first.select(dst.alias("src")).distinct(), "src", "left_semi").join(
+        last.select(src.alias("dst")).distinct(), "dst", "left_semi"
+    )
+    kept = first.unionByName(last).unionByName(middle).select("src", "dst", "edges")
+    return materialize(kept.distinct(), "cycle-pairs-near")
+
+
 def _two_cycles(pairs: DataFrame) -> DataFrame:
     back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     there = pairs.filter("src <> dst").join(back, ["src", "dst"], "left_semi")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import scalars as S
@@ -10,9 +12,10 @@ from ledgerscope.functions.fingerprint import bytecode_embedding
 from ledgerscope.operators.accounts import is_in, is_out
 from ledgerscope.operators.knn import nearest_neighbours
 from ledgerscope.operators.labels import address_risk, join_labels, label_columns
-from ledgerscope.operators.touches import distinct_touches
-from ledgerscope.schemas import EMBEDDING_DIMS
+from ledgerscope.operators.touches import distinct_touches, touches
+from ledgerscope.schemas import EMBEDDING_DIMS, STORED_BEHAVIOR
 from ledgerscope.session import materialize
+from ledgerscope.streaming.store import VersionedTable
 
 # Behaviour features in embedding order, with the words used in highlights.
 FEATURES = {
@@ -165,6 +168,26 @@ def with_embedding(features: DataFrame) -> DataFrame:
     )
 
 
+def behavior_store(spark: SparkSession, root: str) -> VersionedTable:
+    """Stored behaviour vectors, one for each address; newer ones replace older ones."""
+    return VersionedTable(spark, root, STORED_BEHAVIOR, ("address",))
+
+
+def upsert_behavior(stored: VersionedTable, transactions: DataFrame, as_of, since: datetime | None = None) -> int:
+    """Store the vectors of all accounts that took part, with ``since`` only of those that did later than that.
+
+    A vector describes all transactions of its account, so those of the accounts
+    in question are read whole.
+    """
+    if since is not None:
+        moved = touches(transactions.filter(F.col("timestamp") > F.lit(since)), "hash").select("address").distinct()
+        moved = materialize(moved, "moved")
+        stats = behavior_stats(transactions, as_of).join(moved, "address", "left_semi")
+    else:
+        stats = behavior_stats(transactions, as_of)
+    return stored.upsert(with_embedding(behavior_features(stats)))
+
+
 def behavior_profiles(features: DataFrame, accounts: DataFrame, entities: DataFrame, flags: DataFrame) -> DataFrame:
     """Features with labels, one row per account."""
     known = join_labels(accounts.select("address", "is_contract"), entities, address_risk(flags))

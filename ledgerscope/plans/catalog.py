@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -239,6 +240,14 @@ def jobs_claimable(ledger):
     return rows.select("tx_hash", "status", "attempts", "available_at", "from_address", "to_address", *text("value"))
 
 
+@on_ledger
+def jobs_claimable_first(ledger):
+    """The fifty that come first, with their place."""
+    rows = R.claimable_jobs(ledger.jobs, ledger.transactions, ledger.as_of, 50)
+    place = F.row_number().over(Window.orderBy("available_at", "updated_at", "tx_hash"))
+    return rows.select("tx_hash", "status", "attempts", "available_at", place.alias("place"))
+
+
 @query
 def jobs_latest_state(spark, sf_dir):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -620,6 +629,12 @@ def circular_flows(ledger):
     return flows.select("hops", joined("path"), joined("hashes"))
 
 
+@on_ledger
+def circular_flows_three(ledger):
+    flows = P.circular_flows(G.graph_edges(ledger.transactions), 100, shortest=3)
+    return flows.select("hops", joined("path"), joined("hashes"))
+
+
 def _paths(ledger: Ledger) -> DataFrame:
     return G.neighbourhood_paths(G.graph_edges(ledger.transactions), ledger.accounts.select("address"), 2, 50)
 
@@ -755,6 +770,18 @@ def behavior_embedding(ledger):
     return vectors.select("address", F.size("embedding").alias("dims"), _micro_units("embedding"))
 
 
+@on_ledger
+def behavior_vectors_upsert(ledger):
+    """Vectors as of half the ledger and, after a second upsert of those that moved, of all of it; the first is read last."""
+    spark, middle = ledger.transactions.sparkSession, ledger.as_of - timedelta(days=15)
+    stored = V.behavior_store(spark, scratch_path(spark, "behavior-vectors"))
+    V.upsert_behavior(stored, ledger.transactions.filter(F.col("timestamp") <= F.lit(middle)), ledger.as_of)
+    first = stored.read()
+    V.upsert_behavior(stored, ledger.transactions, ledger.as_of, since=middle)
+    versions = first.select("*", F.lit(0).alias("version")).unionByName(stored.read().select("*", F.lit(1).alias("version")))
+    return versions.select("version", "address", "sample_size", _micro_units("embedding"))
+
+
 def _similar_accounts(ledger: Ledger) -> DataFrame:
     return V.similar_accounts(_features(ledger), ledger.accounts, ledger.entities, ledger.flags, 6)
 

@@ -90,3 +90,10 @@ METADATA = T.StructType(
         T.StructField("verified", T.BooleanType()),
     ]
 )
+STORED_BEHAVIOR = T.StructType(
+    [
+        T.StructField("address", T.StringType(), False),
+        T.StructField("sample_size", T.LongType()),
+        T.StructField("embedding", EMBEDDING),
+    ]
+)

@@ -37,8 +37,3 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
-
-
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """Replace a derived table, such as behaviour vectors, by its newest state."""
-    df.write.mode("overwrite").parquet(path)

@@ -14,7 +14,7 @@ from ledgerscope.operators import detectors as D
 from ledgerscope.operators import records as R
 from ledgerscope.operators import vectors as V
 from ledgerscope.operators.accounts import build_accounts
-from ledgerscope.session import scratch_path
+from ledgerscope.session import materialize, scratch_path
 from ledgerscope.sources import star
 from ledgerscope.streaming.store import BatchStore
 
@@ -22,6 +22,9 @@ from ledgerscope.streaming.store import BatchStore
 STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
 DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# At most this many called addresses of a batch are handed to the scan of the code table by name.
+FEW_ADDRESSES = 1000
+
 QUARANTINE = T.StructType([*schemas.TRANSACTIONS.fields, T.StructField("problem", T.StringType())])
 ACCOUNTS = T.StructType(
     [
@@ -98,20 +101,33 @@ def _unique(*names: str) -> Callable[[DataFrame], DataFrame]:
 
 def _merge_state(spark: SparkSession, batch_id: int, store: BatchStore) -> None:
     """Fold what earlier batches left, so that later ones read few folders."""
-    if batch_id <= 0 or batch_id % store.merge_every:
+    if not store.merged_tier(batch_id):
         return
-    resolved = spark.read.schema(RESOLVED).parquet(*store.folders("resolved", batch_id - store.merge_every, batch_id))
+    # Within one run; what was resolved later or before is matched where both are read or merged together.
+    resolved = spark.read.schema(RESOLVED).parquet(*store.merged_folders("resolved", batch_id))
+    waiting = spark.read.schema(schemas.TRANSACTIONS).parquet(*store.merged_folders("waiting", batch_id))
     folds = {
         "pairs": lambda rows: rows.groupBy("from_address", "to_address").agg(F.min("timestamp").alias("timestamp")),
         "vectors": _unique("address"),
         "flags": lambda rows: rows,
         "waiting": lambda rows: rows.join(resolved, "hash", "left_anti"),
-        "resolved": lambda rows: rows.filter(F.lit(False)),
+        "resolved": lambda rows: rows.join(waiting.select("hash"), "hash", "left_anti"),
     }
     for table, fold in folds.items():
         store.merge(spark, table, ENRICHMENT_TABLES[table], batch_id, fold)
 
 
+def _code_of(called: DataFrame, bytecode: DataFrame) -> DataFrame:
+    """The stored code of the called addresses, read from the code table once.
+
+    A few addresses become literals, which reach the Parquet scan.
+    """
+    wanted = materialize(called.select(F.col("to_address").alias("address")).distinct(), "called")
+    few = [r.address for r in wanted.limit(FEW_ADDRESSES + 1).collect()]
+    found = bytecode.filter(F.col("address").isin(few)) if len(few) <= FEW_ADDRESSES else bytecode.join(wanted, "address", "left_semi")
+    return materialize(found, "called-code")
+
+
 def enrich_batch(batch: DataFrame, batch_id: int, store: BatchStore, bytecode: DataFrame) -> None:
     """Accounts, graph, fingerprints and flags for one batch of ledger rows."""
     spark = batch.sparkSession
@@ -119,7 +135,6 @@ def enrich_batch(batch: DataFrame, batch_id: int, store: BatchStore, bytecode: D
     waiting = store.before(spark, "waiting", schemas.TRANSACTIONS, batch_id).join(
         store.before(spark, "resolved", RESOLVED, batch_id), "hash", "left_anti"
     )
-    store.write(build_accounts(batch, bytecode), "accounts", batch_id)
 
     # Pairs collapsed per batch are all the history that return paths need.
     plain_edges = batch.filter(F.col("to_address").isNotNull())
@@ -129,6 +144,9 @@ def enrich_batch(batch: DataFrame, batch_id: int, store: BatchStore, bytecode: D
 
     # Calls whose code is not known yet wait and are tried again with every batch.
     calls = batch.filter(F.col("to_address").isNotNull() & (F.octet_length("data") > 0))
+    bytecode = _code_of(calls.select("to_address").unionByName(waiting.select("to_address")), bytecode)
+    # Only called addresses can be contracts.
+    store.write(build_accounts(batch, bytecode), "accounts", batch_id)
     known = bytecode.select(F.col("address").alias("to_address"))
     store.write(calls.join(known, "to_address", "left_anti").select(*schemas.TRANSACTIONS.fieldNames()), "waiting", batch_id)
     tried_again = waiting.join(known, "to_address", "left_semi")

@@ -465,6 +465,13 @@ ORACLES: dict[str, str] = {
         AND (status = 'pending' OR (status = 'processing' AND locked_at <= (SELECT as_of FROM run) - INTERVAL 2 MINUTE))""",
         "jb", "tx", "run",
     ),
+    "jobs_claimable_first": sql(
+        """SELECT tx_hash, status, attempts, available_at, row_number() OVER (ORDER BY available_at, updated_at, tx_hash) AS place
+        FROM jb JOIN tx ON tx_hash = hash WHERE available_at <= (SELECT as_of FROM run)
+        AND (status = 'pending' OR (status = 'processing' AND locked_at <= (SELECT as_of FROM run) - INTERVAL 2 MINUTE))
+        QUALIFY place <= 50""",
+        "jb", "tx", "run",
+    ),
     "jobs_latest_state": JOB_STATES,
     "circular_candidates": sql(
         "SELECT hash, from_address, to_address, timestamp FROM edg WHERE coalesce(octet_length(data), 0) = 0", "edg"
@@ -685,6 +692,14 @@ ORACLES: dict[str, str] = {
         ORDER BY hops, path, hashes LIMIT 100""",
         "edg",
     ),
+    "circular_flows_three": sql(
+        """SELECT 3 AS hops, concat_ws(',', a.from_address, b.from_address, c.from_address, a.from_address) AS path,
+            concat_ws(',', a.hash, b.hash, c.hash) AS hashes
+            FROM edg a JOIN edg b ON b.from_address = a.to_address AND a.hash <> b.hash
+            JOIN edg c ON c.from_address = b.to_address AND c.to_address = a.from_address AND c.hash <> a.hash AND c.hash <> b.hash
+        ORDER BY path, hashes LIMIT 100""",
+        "edg",
+    ),
     "address_graph": sql(
         """SELECT a.address AS center, coalesce(n.nodes, a.address) AS nodes, coalesce(e.edges, '') AS edges FROM acc a
         LEFT JOIN (SELECT center, string_agg(node, ',' ORDER BY node) AS nodes FROM gnodes GROUP BY center) n ON n.center = a.address
@@ -746,6 +761,15 @@ ORACLES: dict[str, str] = {
         "SELECT address, is_contract, entity_name, entity_type, risk_level, 11 AS features, sample_size FROM lab JOIN feat USING (address)", "lab", "feat"
     ),
     "behavior_embedding": sql(f"SELECT address, 128 AS dims, {MICRO} AS embedding FROM fvec", "fvec"),
+    "behavior_vectors_upsert": sql(
+        f"""SELECT 1 AS version, address, sample_size, {MICRO} AS embedding FROM fvec JOIN feat USING (address)
+        UNION ALL SELECT 0, address, sample_size, {MICRO} FROM vec_then JOIN feat_then USING (address)""",
+        "fvec", "run",
+        extra=f"""then_once AS (SELECT * FROM once WHERE timestamp <= (SELECT as_of FROM run) - INTERVAL 15 DAY),
+        stats_then AS ({CTES['stats'].replace('FROM once', 'FROM then_once')}),
+        feat_then AS ({CTES['feat'].replace('FROM stats', 'FROM stats_then')}),
+        vec_then AS ({CTES['fvec'].replace('FROM feat', 'FROM feat_then')})""",
+    ),
     "similar_accounts": sql(
         """SELECT s.address, s.match, s.position, greatest(0, least(1, s.similarity)) AS similarity,
         l.entity_name, l.entity_type, l.risk_level, l.is_contract FROM fsim s JOIN lab l ON l.address = s.match""",

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerscope.operators import detectors as D
 from ledgerscope.operators import graph as G
@@ -117,6 +118,25 @@ def test_three_step_cycles_with_loops(make):
     assert len(expected) < 100 and sorted((r.hops, tuple(r.path), tuple(r.hashes)) for r in flows) == expected
 
 
+@pytest.mark.parametrize("starts,limit", [(1, 7), (1, 100), (2, 30), (256, 30)])
+def test_three_step_cycles_start_by_start(make, starts, limit):
+    """Few starts a round find what all of them find, loops and exhausted rounds included."""
+    rows = [*random_rows(8, nodes=12, count=45), ("b", "b", 900), ("b", "b", 901)]
+    pairs = G.graph_edges(make.transactions(rows)).groupBy(F.col("from_address").alias("src"), F.col("to_address").alias("dst")).agg(
+        F.count("*").alias("edges")
+    )
+    walks = sorted({nodes for nodes, _ in trails(edge_list(rows), 3) if nodes[0] == nodes[-1]})
+    found = P._first_three_cycles(pairs, limit, starts).collect()
+    assert walks and sorted(tuple(r.path) for r in found) == walks[:limit]
+
+
+def test_three_step_cycles_alone(make):
+    rows = [("a", "b", 0), ("b", "a", 1), ("b", "c", 2), ("c", "a", 3), ("x", "y", 4)]
+    edges = G.graph_edges(make.transactions(rows))
+    assert {r.hops for r in P.circular_flows(edges, 100, shortest=3).collect()} == {3}
+    assert P.circular_flows(edges.limit(0), 100, shortest=3).count() == 0
+
+
 @pytest.mark.parametrize("depth,limit", [(1, 50), (2, 4), (2, 50), (3, 6), (3, 200)])
 def test_neighbourhoods_against_all_trails(spark, make, depth, limit):
     rows = random_rows(7, nodes=8, count=13)

@@ -1,6 +1,9 @@
 import datetime as dt
+import glob
+import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerscope import schemas
 from ledgerscope.operators import detectors as D
@@ -11,7 +14,7 @@ from ledgerscope.plans import documents as docs
 from ledgerscope.sources import landing, star
 from ledgerscope.sources.ledger import read_ledger, write_ledger
 from ledgerscope.streaming import ingest as ST
-from ledgerscope.streaming.store import BatchStore
+from ledgerscope.streaming.store import BatchStore, VersionedTable
 from tests.conftest import START
 
 SF = "/root/testdata/sf0.001"
@@ -138,7 +141,80 @@ def test_code_written_while_the_stream_runs(spark, tmp_path, make):
     finally:
         query.stop()
     assert {(r.tx_hash, r.address) for r in store.read(spark, "flags", ST.RAISED).collect()} == {("h000", "c")}
-    assert len(store.folders("flags", 4, 5)) == 2
+    assert len(store.runs(0, 5)) == 2
+
+
+def test_tiers_hold_every_batch_once(spark, tmp_path):
+    """Every batch sees all earlier ones in few runs, each row is written once a tier, and merged runs go."""
+    store = BatchStore(str(tmp_path), merge_every=3)
+    schema = T.StructType([T.StructField("n", T.LongType())])
+    for batch in range(28):
+        for _ in range(2 if batch in (9, 18) else 1):  # replayed where two tiers end
+            store.merge(spark, "t", schema, batch, lambda rows: rows)
+            store.write(spark.createDataFrame([(batch,)], schema), "t", batch)
+        if batch in (0, 1, 3, 8, 9, 13, 18, 26, 27):
+            assert sorted(r.n for r in store.upto(spark, "t", schema, batch).collect()) == list(range(batch + 1))
+        assert len(store.runs(0, batch)) <= 2 * 4
+    assert store.read(spark, "t", schema).count() == 28
+    kept = sorted(os.path.relpath(p, tmp_path / "_t") for p in glob.glob(str(tmp_path / "_t" / "*" / "*")))
+    assert "tier=3/before=27" in kept and "tier=2/before=9" in kept and "tier=1/before=3" not in kept
+
+
+def test_calls_resolved_in_another_run_than_they_waited_in(spark, tmp_path, make):
+    """What waits in one tier's run is taken off by what resolves it in a later run."""
+    store = BatchStore(str(tmp_path / "store"), merge_every=2)
+    for name, schema in ST.ENRICHMENT_TABLES.items():
+        store.create(spark, name, schema)
+    family = b"\x60\x80" * 30
+    waits = make([("a", "c", 0, 1, b"x")], code=[("d", family)])
+    ST.enrich_batch(waits.transactions, 0, store, waits.bytecode)
+    idle = lambda n, code: ST.enrich_batch(make([("x", "y", n)]).transactions.withColumn("hash", F.lit(f"t{n}")), n, store, make([], code=code).bytecode)
+    idle(1, [("d", family)])
+    idle(2, [("d", family)])
+    for n in range(3, 9):
+        idle(n, [("c", family), ("d", family)])
+    assert [r.batch for r in store.read(spark, "resolved", ST.RESOLVED).collect()] == [3]
+    assert store.before(spark, "waiting", schemas.TRANSACTIONS, 8).count() == 0
+    assert store.before(spark, "resolved", ST.RESOLVED, 8).count() == 0
+
+
+VERSIONED = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.ArrayType(T.IntegerType())), T.StructField("at", T.LongType())])
+
+
+def test_versioned_upserts_with_a_reader_in_between(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "table"), VERSIONED, ("k",), merge_every=2)
+    rows = lambda *r: spark.createDataFrame(list(r), VERSIONED)
+    state = lambda df: {r.k: (r.v, r.at) for r in df.collect()}
+    assert table.version() == -1 and table.read().count() == 0
+    extra = rows(("a", [1], 5), ("a", [2], 7), ("b", None, None), (None, [9], 9)).withColumn("_version", F.lit("clash")).withColumn("row", F.lit(1))
+    assert table.upsert(extra, newest="at") == 0
+    reader = table.read()
+    assert table.upsert(rows(("b", [3], 1), ("c", [], 2))) == 1
+    assert state(reader) == {"a": ([2], 7), "b": (None, None)}
+    assert state(table.read()) == {"a": ([2], 7), "b": ([3], 1), "c": ([], 2)}
+    assert state(table.read(0)) == state(reader)
+
+    # A writer that dies before its pointer leaves the last version in force.
+    table._store.write(rows(("a", [99], 0)).withColumn("_version", F.lit(2).cast("long")), "rows", 2)
+    assert table.version() == 1 and state(table.read())["a"] == ([2], 7)
+    for n in range(2, 9):
+        assert table.upsert(rows((f"n{n}", [n], n), ("a", [n], n))) == n
+    assert table.upsert(rows()) == 9
+    assert state(table.read()) == {"a": ([8], 8), "b": ([3], 1), "c": ([], 2), **{f"n{n}": ([n], n) for n in range(2, 9)}}
+    assert state(table.read(7))["a"] == ([7], 7)
+
+
+def test_behaviour_vectors_are_replaced_for_accounts_that_moved(spark, tmp_path):
+    ledger = star.load(spark, SF)
+    middle = ledger.as_of - dt.timedelta(days=1)
+    stored = V.behavior_store(spark, str(tmp_path / "vectors"))
+    V.upsert_behavior(stored, ledger.transactions.filter(F.col("timestamp") <= F.lit(middle)), ledger.as_of)
+    V.upsert_behavior(stored, ledger.transactions, ledger.as_of, since=middle)
+    moved = spark.read.parquet(str(tmp_path / "vectors" / "rows" / "batch=1")).count()
+    whole = V.with_embedding(V.behavior_features(V.behavior_stats(ledger.transactions, ledger.as_of)))
+    expected = {(r.address, r.sample_size, tuple(r.embedding)) for r in whole.collect()}
+    assert {(r.address, r.sample_size, tuple(r.embedding)) for r in stored.read().collect()} == expected
+    assert 0 < moved < len(expected)
 
 
 def test_metrics_add_up_however_late(spark, tmp_path, make):
