@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.session import materialize
 
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 20, 0.6
+MIN_SUPPORT, MIN_COUNT = 0.002, 20
+# A rule's share of bad URLs, as a multiple of the share among all labelled URLs and in standard errors above that share.
+MIN_LIFT, MIN_ERRORS = 1.25, 2.0
+# One labelled URL in HELD_OUT is kept from mining, to choose the confidence at which rules decide.
+HELD_OUT = 4
 BAD = "label=bad"
 
 
@@ -47,35 +53,68 @@ def tokens(host: str = "host", path: str = "path", rest: str = "rest") -> Column
     return F.when(F.col(host) == "", F.array().cast("array<string>")).otherwise(made)
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def token_classes(baskets: DataFrame, least: int) -> DataFrame:
+    """``token, item, tokens``: tokens in ``least`` or more baskets, those that stand in the same baskets under one item.
+
+    A basket of n tokens that are always seen together would have 2^n frequent
+    combinations that all say the same; as one item it has one. Baskets are told
+    apart by two hashes of their ids.
+    """
+    seen = baskets.select("basket", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("count"), *[F.bit_xor(F.xxhash64("basket", F.lit(i))).alias(f"same{i}") for i in (0, 1)]
+    )
+    frequent = materialize(seen.where(F.col("count") >= least), "tokens")
+    classes = frequent.groupBy("count", "same0", "same1").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("tokens"))
+    return materialize(frequent.join(classes, ["count", "same0", "same1"]).select("token", "item", "tokens"), "classes")
+
+
+def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, min_errors: float = MIN_ERRORS) -> DataFrame:
     """``items, confidence, support``: token combinations that mark a URL as bad.
 
     ``labelled`` has ``tokens`` (array) and ``bad`` (boolean); rows where either
-    is null are left out. Rules below the support (share of all labelled URLs,
-    and ``MIN_COUNT`` of them) or confidence are pruned, and so is a rule that says no more than one with
-    a part of its tokens. Without labelled rows there are no rules.
+    is null are left out. The confidence (share of bad URLs) a rule needs follows
+    from the share of bad ones among all: ``min_lift`` times that, and that plus
+    ``min_errors`` standard errors of a share among as many URLs. Rules below the
+    support (share of all labelled URLs, and ``MIN_COUNT`` of them) or confidence
+    are pruned, and so is a rule that says no more than one with a part of its
+    tokens. A rule names all tokens that were only ever seen together. Without
+    labelled rows, or if none or all are bad, there are no rules.
     """
     spark = labelled.sparkSession
-    baskets = materialize(
-        labelled.where(F.col("bad").isNotNull() & F.col("tokens").isNotNull()).select(
-            F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")
-        ),
-        "baskets",
-    )
-    known = baskets.count()
-    if known < MIN_COUNT:
+    rows = labelled.where(F.col("bad").isNotNull() & F.col("tokens").isNotNull())
+    baskets = materialize(rows.select(F.monotonically_increasing_id().alias("basket"), F.array_distinct("tokens").alias("tokens"), "bad"), "baskets")
+    known, bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
+    if known < MIN_COUNT or bad in (0, known):
         return spark.createDataFrame([], "items array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / known), minConfidence=min_confidence).fit(baskets)
-    rules = materialize(
-        model.associationRules.where(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "rules"
+    least, share = max(min_support * known, MIN_COUNT), bad / known
+    classes = token_classes(baskets, math.ceil(least))
+    # At most 1 / min_support times a URL's mean number of tokens are frequent, however many URLs there are.
+    items = (
+        baskets.select("basket", "bad", F.explode_outer("tokens").alias("token"))
+        .join(F.broadcast(classes.select("token", "item")), "token", "left")
+        .groupBy("basket")
+        .agg(F.collect_set("item").alias("items"), F.first("bad").alias("bad"))
+        .select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
     )
-    # A rule is looked up under its parts' own names: all its subsets with one token less.
+    model = FPGrowth(itemsCol="items", minSupport=least / known, minConfidence=min(1.0, min_lift * share)).fit(materialize(items, "items"))
+    found = model.associationRules.where(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
+    urls_held = F.col("support") * known / F.col("confidence")
+    surely = F.col("confidence") >= share + min_errors * F.sqrt(F.lit(share * (1 - share)) / urls_held)
+    rules = materialize(found.where(surely), "rules")
+    # A rule is looked up under its parts' own names: all its subsets with one item less.
     parts = rules.select("items", "confidence", F.explode("items").alias("without")).select(
         "items", "confidence", F.array_remove("items", F.col("without")).alias("part")
     )
     shorter = rules.select(F.col("items").alias("part"), F.col("confidence").alias("part_confidence"))
     told = parts.join(shorter, "part").where("part_confidence >= confidence").select("items").distinct()
-    return rules.join(told, "items", "left_anti")
+    kept = rules.join(told, "items", "left_anti")
+    spelled = (
+        kept.select("items", "confidence", "support", F.explode("items").alias("item"))
+        .join(F.broadcast(classes.where("token = item").select("item", "tokens")), "item")
+        .groupBy("items", "confidence", "support")
+        .agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("spelled"))
+    )
+    return spelled.select(F.col("spelled").alias("items"), "confidence", "support")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -123,18 +162,43 @@ def listed_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def judge(urls: DataFrame, rules: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def deciding_confidence(labelled: DataFrame, rules: DataFrame) -> float | None:
+    """The confidence from which on rules tell bad URLs best, by labelled ones they were not mined from.
+
+    Of all confidences of rules the one at which the share of bad URLs blocked
+    exceeds that of good ones by most (the higher one if equal); None if it
+    never does, so that rules that are no better than chance decide nothing.
+    """
+    scored = labelled.join(matched(labelled, rules), "tokens", "left")
+    bad, good = scored.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
+    if not bad or not good:
+        return None
+    # One row for each confidence that a rule has.
+    steps = scored.where("confidence IS NOT NULL").groupBy("confidence").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    down = Window.orderBy(F.desc("confidence"))
+    gain = F.sum("bad").over(down) * good - F.sum("good").over(down) * bad
+    best = steps.select("confidence", gain.alias("gain")).orderBy(F.desc("gain"), F.desc("confidence")).first()
+    return best.confidence if best and best.gain > 0 else None
+
+
+def judge(urls: DataFrame, rules: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT) -> DataFrame:
     """``page_id, host, path, rule, verdict, confidence`` for every row of ``page_id, url``.
 
     A listed rule decides first; else the URL is blocked if it holds all tokens
-    of a mined rule, and allowed otherwise. ``labels`` has ``page_id, bad``; rows
-    with null in either teach nothing. A null URL or one without ``://`` has an
-    empty host and path, fits no rule and is allowed. Repeated rows keep a row
-    each; a table without rows gives none; other columns are ignored.
+    of a mined rule of at least the deciding confidence, and allowed otherwise;
+    ``confidence`` is that of the surest such rule. ``labels`` has ``page_id,
+    bad``; rows with null in either teach nothing. A null URL or one without
+    ``://`` has an empty host and path, fits no rule and is allowed. Repeated
+    rows keep a row each; a table without rows gives none; other columns are
+    ignored.
     """
     parsed = with_parts(urls).withColumn("tokens", tokens())
-    known = labels.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
-    found = mined_rules(parsed.where(F.size("tokens") > 0).join(known, "page_id"), min_support, min_confidence)
+    known = labels.where(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
+    held = F.pmod(F.xxhash64("page_id"), F.lit(HELD_OUT)) == 0
+    labelled = materialize(parsed.where(F.size("tokens") > 0).join(known, "page_id").select("tokens", "bad", held.alias("held")), "labelled")
+    mined = materialize(mined_rules(labelled.where("NOT held"), min_support, min_lift), "mined")
+    least = deciding_confidence(labelled.where("held"), mined)
+    found = mined.where(F.lit(False) if least is None else F.col("confidence") >= least)
     sure = matched(parsed, found)
     verdict = F.coalesce("listed", F.when(F.col("confidence").isNotNull(), BLOCK).otherwise(ALLOW))
     return (

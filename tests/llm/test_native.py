@@ -180,6 +180,28 @@ def test_mined_rules_block_what_is_bad(spark):
     parsed = U.with_parts(pages).withColumn("tokens", U.tokens())
     known = parsed.join(labels.where("page_id is not null and bad is not null"), "page_id")
     sets = [(set(r.tokens), r.bad) for r in known.collect()]
-    for rule in U.mined_rules(known.select("tokens", "bad")).collect():
+    share = sum(bad for _, bad in sets) / len(sets)
+    rules = U.mined_rules(known.select("tokens", "bad")).collect()
+    assert any(r.confidence == 1.0 for r in rules)
+    for rule in rules:
         hold = [bad for tokens, bad in sets if tokens >= set(rule["items"])]
-        assert abs(sum(hold) / len(hold) - rule.confidence) < 1e-9 and rule.confidence >= U.MIN_CONFIDENCE and sum(hold) >= U.MIN_COUNT
+        assert abs(sum(hold) / len(hold) - rule.confidence) < 1e-9 and sum(hold) >= U.MIN_COUNT
+        assert rule.confidence >= U.MIN_LIFT * share and rule.confidence >= share + U.MIN_ERRORS * (share * (1 - share) / len(hold)) ** 0.5
+
+
+def test_deep_urls_and_labels_that_say_nothing(spark):
+    """Frequent URLs of 40 and more tokens that are always seen together have one combination; chance decides nothing."""
+    deep = "http://" + ".".join(f"l{i}" for i in range(12)) + "/" + "/".join(f"s{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, f"{deep}/x/{i}" if i % 3 else f"http://other.org/{i}", i % 3 == 1) for i in range(400)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "page_id long, bad boolean").withColumn("tokens", F.lit(1))
+    parsed = U.with_parts(pages).withColumn("tokens", U.tokens()).join(labels.select("page_id", "bad"), "page_id")
+    found = U.mined_rules(parsed.select("tokens", "bad")).collect()
+    assert len(found) == 1 and len(found[0]["items"]) >= 40 and abs(found[0].confidence - 0.5) < 0.01
+    listed = spark.createDataFrame([], "rule string, verdict string")
+    got = U.judge(pages, listed, labels).groupBy("verdict").count().collect()
+    assert {r.verdict: r["count"] for r in got} == {"block": 266, "allow": 134}
+    even = spark.createDataFrame([(r[0], (r[0] // 3) % 2 == 0) for r in rows], "page_id long, bad boolean")
+    assert U.mined_rules(parsed.drop("bad").join(even, "page_id").select("tokens", "bad")).count() == 0
+    same = spark.createDataFrame([(r[0], True) for r in rows], "page_id long, bad boolean")
+    assert {r.verdict for r in U.judge(pages, listed, same).collect()} == {"allow"}
