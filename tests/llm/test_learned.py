@@ -7,10 +7,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import langid, ngrams, quality, toxicity
+from ledgerscope.llm import langid, ngrams, quality, samples, toxicity
 from ledgerscope.llm.queries import QUERIES
 from ledgerscope.llm.samples import bounded, split_number
 from ledgerscope.llm.words import PUNCTUATION, Words
@@ -278,3 +279,20 @@ def test_pair_counts_over_packs(spark, docs):
         found += counts[1][p.pair].tolist()
     places = [expected[pair] for _, text in rows for pair in zip(["^", *text.split()], [*text.split(), "$"])]
     assert sorted(found) == sorted(places)
+
+
+@pytest.mark.parametrize("bits", [3, 14])
+def test_samples_are_the_first_by_hash(spark, monkeypatch, bits):
+    """Against a sort of all rows: a frequent label, a rare one, a null one, and repeated rows at the edge."""
+    monkeypatch.setattr(samples, "RANGE_BITS", bits)
+    rows = [(i // 2, "often" if i % 50 else "rare") for i in range(3000)] + [(i, None) for i in range(40)] + [(None, "often")]
+    table = spark.createDataFrame(rows, "doc_id long, label string").withColumn("_rank", F.lit("x")).drop("_rank")
+    hashed = table.withColumn("h", F.xxhash64("doc_id")).collect()
+    for most in (1, 25, 100, 5000):
+        expected = []
+        for label in ("often", "rare", None):
+            own = sorted((r for r in hashed if r.label == label), key=lambda r: (r.h, r.doc_id is not None, r.doc_id))
+            expected += [(r.doc_id, r.label) for r in own[:most]]
+        got = [tuple(r) for r in samples.bounded(table, "label", most).collect()]
+        assert sorted(got, key=str) == sorted(expected, key=str)
+    assert samples.bounded(table.limit(0), "label", 5).count() == 0
