@@ -15,6 +15,9 @@ FLAG_TYPES = ["circular_flow", "similar_bytecode", "velocity_spike", "unknown_si
 SEVERITIES = ["low", "medium", "high"]
 JOB_STATUS = {"F": "done", "O": "pending", "P": "processing"}
 
+# Rows of one landed file, about: a landed part has as many files as its tables need.
+LANDED_ROWS = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -275,44 +278,51 @@ def _node_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_type", "timestamp", F.inline(sides))
 
 
-def land_deliveries(spark: SparkSession, sf_dir: str, path: str, parts: int = 4) -> DataFrame:
-    """Deliveries as landing folders, one after the other.
+def _landed(parts: list[DataFrame], rows: int, path: str) -> DataFrame:
+    """A stream that brings one part of about ``rows`` rows with every batch, one after the other.
+
+    All parts have the same number of files, which the source takes in the order they were
+    written in; so the number of batches does not depend on how the tables are split.
+    """
+    files = max(1, rows // LANDED_ROWS)
+    for i, part in enumerate(parts):
+        part.repartition(files).write.parquet(f"{path}/part-{i}")
+    return parts[0].sparkSession.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part-*")
+
+
+def landed_deliveries(spark: SparkSession, sf_dir: str, path: str, parts: int = 4) -> DataFrame:
+    """Deliveries as a stream of several batches.
 
-    The folders do not follow the time of the rows, and each but the first also
+    The batches do not follow the time of the rows, and each but the first also
     brings rows of the one before again, fifteen hours later.
     """
     rows = deliveries(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(parts)))
     later = rows.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 15 HOURS"))
-    for part in range(parts):
-        landed = rows.filter(F.col("part") == part)
-        if part:
-            landed = landed.unionByName(later.filter(F.col("part") == part - 1))
-        landed.drop("part").write.parquet(f"{path}/part-{part}")
-    return rows.drop("part")
+    landed = [rows.filter(F.col("part") == 0)]
+    landed += [rows.filter(F.col("part") == i).unionByName(later.filter(F.col("part") == i - 1)) for i in range(1, parts)]
+    return _landed([part.drop("part") for part in landed], 2 * table(spark, sf_dir, "events").count() // parts, path)
 
 
 def landed_events(spark: SparkSession, sf_dir: str, path: str, parts: int = 4, in_order: bool = True) -> DataFrame:
     """The events as a stream of several batches, by time or across it."""
     events = table(spark, sf_dir, "events")
-    bounds = events.select(F.min("event_id"), F.max("event_id")).first()
+    bounds = events.select(F.min("event_id"), F.max("event_id"), F.count("*")).first()
     step = (bounds[1] - bounds[0]) // parts + 1 if bounds[0] is not None else 1
     part = F.floor((F.col("event_id") - F.lit(bounds[0])) / step) if in_order else F.pmod(F.col("event_id"), F.lit(parts))
-    for i in range(parts):
-        events.filter(part == i).write.parquet(f"{path}/part-{i}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
-    return shape_events(stream)
+    return shape_events(_landed([events.filter(part == i) for i in range(parts)], bounds[2] // parts, path))
 
 
 def landed_job_events(spark: SparkSession, sf_dir: str, path: str, parts: int = 2) -> DataFrame:
     """The job log as a stream of several batches, each a stretch of time."""
     events = job_events(spark, sf_dir)
-    bounds = events.select(F.min("at"), F.max("at")).first()
+    bounds = events.select(F.min("at"), F.max("at"), F.count("*")).first()
     step = (bounds[1] - bounds[0]) / parts if bounds[0] is not None else None
+    landed = []
     for i in range(parts):
         later = F.lit(True) if i == 0 or step is None else F.col("at") >= F.lit(bounds[0] + i * step)
         earlier = F.lit(True) if i + 1 == parts or step is None else F.col("at") < F.lit(bounds[0] + (i + 1) * step)
-        events.filter(later & earlier).coalesce(1).write.parquet(f"{path}/part-{i}")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
+        landed.append(events.filter(later & earlier))
+    return _landed(landed, bounds[2] // parts, path)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:

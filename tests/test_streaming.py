@@ -277,3 +277,39 @@ def test_job_states_do_not_depend_on_batches(spark, tmp_path):
     assert {k: v[:-1] for k, v in got.items()} == {r.tx_hash: tuple(r)[1:] for r in folded.collect()}
     assert {k: v[-1] for k, v in got.items()} == {"a": True, "b": False, "c": False, "d": True, "e": False}
     assert got["a"][:3] == ("pending", 2, "again")
+
+
+def test_job_states_count_late_transitions_and_rows_of_due_jobs(spark, tmp_path):
+    """However late a transition comes it counts; a job that waited is written once more when its moment has come."""
+    from ledgerscope.streaming import jobs as SJ
+
+    at = lambda h: START + dt.timedelta(hours=h)
+    log = [[("a", "failed", "x", at(100), 1), ("b", "failed", "y", at(40), 1)], [("c", "claimed", None, at(110), 1)], [("c", "claimed", None, at(1), 0)], [("d", "done", None, at(130), 1)]]
+    schema = "tx_hash string, kind string, error string, at timestamp, seq long"
+    for rows in log:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = BatchStore(str(tmp_path / "store"))
+    SJ.start_jobs(stream, store, str(tmp_path / "check"), availableNow=True).awaitTermination()
+    written = sorted((r.tx_hash, r.due, r.batch) for r in store.read(spark, "jobs", SJ.STATES).collect())
+    assert written == [("a", False, 0), ("a", True, 3), ("b", False, 0), ("b", True, 0), ("c", False, 1), ("c", False, 2), ("d", False, 3)]
+    assert {r.tx_hash: r.attempts for r in SJ.stored_jobs(spark, store).collect()} == {"a": 0, "b": 0, "c": 2, "d": 0}
+    assert sorted(os.listdir(tmp_path / "store" / "waiting")) == ["batch=2", "batch=3"]
+
+
+def test_batches_do_not_depend_on_how_tables_are_split(spark, tmp_path, monkeypatch):
+    """Tables of many files, landed in one or several files a part, come as as many batches as parts."""
+    rows = [(i, START + dt.timedelta(minutes=i), i % 5, "click", 1.0, '{"k": 1}') for i in range(400)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    moves = [(i % 40, i, 1, 1, "R", START + dt.timedelta(days=i % 50)) for i in range(400)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame(moves, schema).repartition(6).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for rows_a_file in (1 << 20, 30):
+        monkeypatch.setattr(star, "LANDED_ROWS", rows_a_file)
+        for land, parts, total in ((star.landed_events, 4, 400), (star.landed_deliveries, 4, 700), (star.landed_job_events, 2, 400)):
+            to = str(tmp_path / f"{land.__name__}-{rows_a_file}")
+            counts = []
+            stream = land(spark, str(tmp_path), f"{to}/landed").writeStream.foreachBatch(lambda batch, _: counts.append(batch.count()))
+            stream.option("checkpointLocation", f"{to}/check").trigger(availableNow=True).start().awaitTermination()
+            assert len(counts) == parts and sum(counts) == total
