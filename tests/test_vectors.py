@@ -100,3 +100,51 @@ def test_highlights_prefer_feature_order(make):
     match = V.similar_accounts(features, ledger.accounts, ledger.entities, ledger.flags).filter("address = 'a'").first()
     assert match.highlights == ["similar activity volume", "similar incoming volume", "similar send/receive balance"]
     assert match.similarity == pytest.approx(1.0)
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_pool(spark):
+    """However small tiles are asked for, there are not more than the cores need; all neighbours are still found."""
+    rows = clustered(5, 300)
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    shared = knn.materialize(knn._distinct_vectors(df, 3), "shared")
+    tiles = knn._tiles(shared, shared, 3, -2.0, 1)
+    side = int((4 * spark.sparkContext.defaultParallelism) ** 0.5)
+    assert tiles.groupBy("uid").count().filter(f"count > {side} * 9").count() == 0
+    got = {}
+    for r in knn.nearest_neighbours(df, None, 4, scan_numbers=0, tile_rows=1).orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == brute_force(rows, rows, 4)
+
+
+def test_many_short_vectors_go_to_tiles(spark, monkeypatch):
+    """Vectors that fit into a scan by their numbers are dealt into tiles if there are many of them."""
+    monkeypatch.setattr(knn, "SCAN_ROWS", 100)
+    monkeypatch.setattr(knn, "_scan", lambda *_: pytest.fail("scanned"))
+    rows = clustered(6, 150, dims=3)
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    got = {}
+    for r in knn.nearest_neighbours(df, None, 4).orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == brute_force(rows, rows, 4)
+
+
+def test_memory_of_a_worker():
+    """Fingerprints of much code and neighbours that are all alike take a bounded number of megabytes beside their inputs."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from ledgerscope.functions import fingerprint
+
+    rng = np.random.default_rng(7)
+    codes = pd.Series([rng.bytes(40000) for _ in range(200)])
+    pool = 1 + 1e-6 * rng.normal(size=(4096, 128))
+    pool /= np.linalg.norm(pool, axis=1)[:, None]
+    peaks = []
+    tracemalloc.start()
+    for work in (lambda: fingerprint._fingerprints.func(codes), lambda: knn._first(pool[:256], pool, np.arange(4096), 6, -2.0)):
+        tracemalloc.reset_peak()
+        work()
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+    tracemalloc.stop()
+    assert max(peaks) < 150
