@@ -91,15 +91,16 @@ def claimable_jobs(jobs: DataFrame, transactions: DataFrame, as_of, limit: int |
     return joined.drop("hash").orderBy("available_at", "updated_at", "tx_hash").limit(limit)
 
 
-def latest_job_state(events: DataFrame) -> DataFrame:
+def latest_job_state(events: DataFrame, unknown_ends: bool = False) -> DataFrame:
     """Fold a log of claimed / failed / done events into one row per job.
 
     A claim adds an attempt and takes the lock; done clears the error; a failure
-    keeps its text and makes the job due again after the retry delay.
+    keeps its text and makes the job due again after the retry delay. With
+    ``unknown_ends`` events of other or no kind clear the error too.
     """
     moment = F.struct("at", "seq", "kind")
     kind = F.col("kind")
-    ended = kind.isin("failed", "done")
+    ended = ~kind.eqNullSafe("claimed") if unknown_ends else kind.isin("failed", "done")
     folded = events.groupBy("tx_hash").agg(
         F.max(moment).alias("last"),
         F.count_if(kind == "claimed").alias("attempts"),

@@ -284,7 +284,7 @@ def test_job_states_count_late_transitions_and_rows_of_due_jobs(spark, tmp_path)
     from ledgerscope.streaming import jobs as SJ
 
     at = lambda h: START + dt.timedelta(hours=h)
-    log = [[("a", "failed", "x", at(100), 1), ("b", "failed", "y", at(40), 1)], [("c", "claimed", None, at(110), 1)], [("c", "claimed", None, at(1), 0)], [("d", "done", None, at(130), 1)]]
+    log = [[("a", "failed", "x", at(100), 1), ("b", "failed", "y", at(40), 1)], [("c", "claimed", None, at(110), 1)], [("c", "claimed", None, at(1), 0)], [("d", "done", None, at(130), 1), ("d", None, None, at(130), 2), ("d", "failed", "w", at(129), 1)]]
     schema = "tx_hash string, kind string, error string, at timestamp, seq long"
     for rows in log:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -294,6 +294,7 @@ def test_job_states_count_late_transitions_and_rows_of_due_jobs(spark, tmp_path)
     written = sorted((r.tx_hash, r.due, r.batch) for r in store.read(spark, "jobs", SJ.STATES).collect())
     assert written == [("a", False, 0), ("a", True, 3), ("b", False, 0), ("b", True, 0), ("c", False, 1), ("c", False, 2), ("d", False, 3)]
     assert {r.tx_hash: r.attempts for r in SJ.stored_jobs(spark, store).collect()} == {"a": 0, "b": 0, "c": 2, "d": 0}
+    assert {r.tx_hash: r.last_error for r in SJ.stored_jobs(spark, store).collect()} == {"a": "x", "b": "y", "c": None, "d": None}
     assert sorted(os.listdir(tmp_path / "store" / "waiting")) == ["batch=2", "batch=3"]
 
 
