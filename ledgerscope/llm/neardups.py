@@ -8,10 +8,16 @@ collisions of the other coordinates are counted where two classes meet, on one
 bit of each. Candidates that pass are counted again on many more bits, and what
 is left is confirmed on the full shingle sets.
 
-Classes that meet are first held against a few of them only, the most typical
-(whose pairs are the most frequent) and some at random. Nearly all of a large
-group of near copies is linked that way; then members of different components
-are held against each other.
+Classes that meet are first held against one of a few of them only: of some that are
+typical (whose pairs are the most frequent) the one with the most equal bits. Nearly all of a large group of near copies is linked that way.
+
+What is left are classes of different components that meet. In small groups all
+are held against each other. Large groups are joined by the rarest shingles of
+their full sets. Two linked sets have so many shingles in common that the first
+common one, in any fixed order, comes early in either; how early depends on both
+sizes. The order begins with shingles that few of the classes outside the largest
+components have, so that a class with too many shingles of its own meets nobody,
+however large its group.
 """
 
 from __future__ import annotations
@@ -21,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.tables import components, key_of, only
+from ledgerscope.llm.tables import components, key_of, only, small_to_all
 from ledgerscope.llm.words import U64, Words, mix, pieces, seeds
 from ledgerscope.session import materialize
 
@@ -48,8 +54,11 @@ class Settings:
     equal_sketch: int = 881
     # Pairs of a class under which it is held against the centres.
     star_pairs: int = 2
-    # Rounds of centres go on while meetings left are more than this many for each posting.
-    meetings_per_posting: int = 5000
+    centres: int = 6
+    # Groups of a pair in which classes meet more than this many others on average are large.
+    meetings_per_posting: int = 500
+    # Rounds of centres go on while there are large groups and links found are more than this many for each posting.
+    star_share: float = 0.0001
     star_rounds: int = 6
 
     @property
@@ -126,7 +135,8 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
 def postings(classes: DataFrame, settings: Settings) -> DataFrame:
     """``pair, place, class_id, size, bits, typical``: every class under its rarest coordinate-value pairs.
 
-    ``place`` counts from the most frequent of them, 0 on.
+    ``place`` counts from the most frequent of them, 0 on. Rows with a place
+    below 0 are the most frequent pairs of all, under which centres are found.
     """
     pairs = classes.where(F.col("size") >= settings.least_linked).select("class_id", F.posexplode("signature").alias("at", "value"))
     pairs = pairs.select("class_id", F.xxhash64("at", "value").alias("pair"))
@@ -138,19 +148,24 @@ def postings(classes: DataFrame, settings: Settings) -> DataFrame:
     )
     # Pairs that occur once come before all others in the prefix and need no posting.
     prefix = F.size("pairs") - (settings.matches - 1)
+    often = F.slice("pairs", -settings.star_pairs, settings.star_pairs)
     return (
         ranked.where(prefix > 0)
         .join(classes.select("class_id", "size", "bits"), "class_id")
-        .select("class_id", "size", "bits", "typical", F.posexplode(F.reverse(F.slice("pairs", F.lit(1), prefix))).alias("place", "p"))
-        .select(F.col("p.pair").alias("pair"), "place", "class_id", "size", "bits", "typical")
+        .select("class_id", "size", "bits", "typical", F.posexplode(F.concat(often, F.reverse(F.slice("pairs", F.lit(1), prefix)))).alias("place", "p"))
+        .select(F.col("p.pair").alias("pair"), (F.col("place") - settings.star_pairs).alias("place"), "class_id", "size", "bits", "typical")
     )
 
 
+def unequal_bits(settings: Settings) -> Column:
+    """In how many bits two classes that meet (one with ``other_`` columns) differ."""
+    return sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other_bits")[i])) for i in range(settings.bits // 64)), F.lit(0))
+
+
 def may_link(settings: Settings) -> Column:
     """Whether two classes that meet (one with ``other_`` columns) are alike in size and have enough equal bits."""
     sizes = F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * settings.percent
-    unequal = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other_bits")[i])) for i in range(settings.bits // 64)), F.lit(0))
-    return sizes & (unequal <= settings.bits - settings.equal_bits)
+    return sizes & (unequal_bits(settings) <= settings.bits - settings.equal_bits)
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, index: DataFrame, settings: Settings) -> DataFrame:
@@ -158,8 +173,8 @@ def class_texts(docs: DataFrame, classes: DataFrame, index: DataFrame, settings:
     meet = index.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pair")
     ids = index.join(meet, "pair", "left_semi").select("class_id").distinct()
     wanted = classes.select("class_id", key_of("doc_id").alias("key"), F.col("set_a").alias("wanted_set")).join(ids, "class_id", "left_semi")
-    wanted = materialize(wanted, "meeting-classes")
-    rows = only(docs.select(key_of("doc_id").alias("key"), "text"), wanted.select("key").distinct(), "key")
+    wanted = small_to_all(materialize(wanted, "meeting-classes"))
+    rows = docs.select(key_of("doc_id").alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,9 +204,12 @@ def counted(candidates: DataFrame, texts: DataFrame, settings: Settings) -> Data
 
 def confirmed(candidates: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Candidate pairs whose full shingle sets are similar enough, as ``a, b``."""
-    mine = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
-    joined = candidates.join(mine, "a").join(other, "b").select("a", "text_a", "b", "text_b")
+    # Texts move once for each pair and once for each class that is in one.
+    candidates = materialize(candidates, "candidates")
+    ids = materialize(candidates.select(F.col("b").alias("class_id")).distinct(), "candidate-ids")
+    mine = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a")).join(small_to_all(candidates), "a")
+    other = only(texts, ids, "class_id").select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
+    joined = mine.join(other, "b").select("a", "text_a", "b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,18 +227,29 @@ def confirmed(candidates: DataFrame, texts: DataFrame, settings: Settings) -> Da
 
 
 def against_centres(index: DataFrame, round_: int, settings: Settings) -> DataFrame:
-    """Candidates ``a, b``: classes with the centres of the most frequent pairs they are posted under."""
-    few = index.where(F.col("place") < settings.star_pairs)
-    one = F.struct(F.col("class_id").alias("b"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits"))
-    drawn = F.xxhash64("class_id", F.lit(round_))
-    picks = [F.max_by(one, F.struct("typical", "class_id")), F.max_by(one, drawn), F.min_by(one, drawn)]
+    """Candidates ``a, b``: each class with the likest centre, outside its component, of the most frequent pairs it has and is posted under."""
+    posts = F.sort_array(F.collect_list(F.struct("place", "pair")))
+    few = index.groupBy("class_id").agg(
+        *[F.first(c).alias(c) for c in ("size", "bits", "typical", "component")], F.slice(posts, 1, 2 * settings.star_pairs).alias("posts")
+    )
+    few = few.select("class_id", "size", "bits", "typical", "component", F.explode("posts.pair").alias("pair"))
+    one = F.struct(
+        F.col("class_id").alias("b"), F.col("size").alias("other_size"), F.col("bits").alias("other_bits"), F.col("component").alias("other_component")
+    )
+    # The most typical one of each of several random parts: others in every round, but near the middle of the group.
+    part = F.pmod(F.xxhash64("class_id", F.lit(round_)), F.lit(settings.centres))
+    picks = [F.max_by(one, F.when(part == k, F.struct("typical", "class_id"))) for k in range(settings.centres)]
     centres = few.groupBy("pair").agg(F.array(*picks).alias("centres"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = few.withColumnRenamed("class_id", "a").join(centres, "pair")
-    return star.select("a", "size", "bits", F.inline("centres")).where((F.col("a") != F.col("b")) & may_link(settings)).select("a", "b")
+    star = few.withColumnRenamed("class_id", "a").join(centres.select("pair", "centres"), "pair")
+    met = star.select("a", "size", "bits", "component", F.inline("centres")).where((F.col("component") != F.col("other_component")) & may_link(settings))
+    return met.groupBy("a").agg(F.min_by("b", F.struct(unequal_bits(settings), "b")).alias("b"))
+
 
+def across_small_groups(index: DataFrame, settings: Settings) -> DataFrame:
+    """Candidates ``a, b``: classes of different components that meet, each once, under the least of their common pairs.
 
-def across_components(index: DataFrame, settings: Settings) -> DataFrame:
-    """Candidates ``a, b``: classes of different components that meet, each once, under the least of their common pairs."""
+    For groups of bounded size: everyone in a group is held against all others.
+    """
     mine = index.groupBy("class_id").agg(
         F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("component").alias("component"), F.sort_array(F.collect_set("pair")).alias("pairs")
     )
@@ -240,10 +269,67 @@ def across_components(index: DataFrame, settings: Settings) -> DataFrame:
     return left.join(right, (F.col("pair") == F.col("other_pair")) & apart & may_link(settings) & first).select("a", "b")
 
 
+def outside_largest(index: DataFrame, settings: Settings) -> DataFrame:
+    """``class_id, least_other``: classes that meet a larger component, with the least size (or a little less) of those they meet.
+
+    Of two classes of different components that meet one at least is told.
+    """
+    members = index.select("component", "class_id").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    rows = index.join(members, "component")
+    rough = F.col("size") - F.col("size") % F.greatest(F.lit(1), F.floor(F.col("size") / 64))
+    groups = rows.groupBy("pair").agg(F.max(F.struct("members", "component")).alias("largest"), F.collect_set(rough).alias("sizes"))
+    smallest = F.ceil(F.col("size") * settings.percent / 100) * 63 / 64
+    met = rows.join(groups, "pair").where(F.col("component") != F.col("largest.component"))
+    near = F.array_min(F.filter("sizes", lambda s: s >= F.floor(smallest)))
+    return met.groupBy("class_id").agg(F.min(near).alias("least_other"))
+
+
+def set_rows(texts: DataFrame, settings: Settings) -> DataFrame:
+    """``class_id, shingle``: the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                sets, first = shingle_sets(part.column("text"), settings.shingle)
+                ids = np.repeat(part.column("class_id").to_numpy(), np.diff(first))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sets.view(np.int64))], ["class_id", "shingle"])
+
+    return texts.select("class_id", "text").mapInArrow(run, "class_id long, shingle long")
+
+
+def across_large_groups(index: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Candidates ``a, b``: classes of different components that have one of the shingles in common by which linked ones must meet."""
+    open_ = index.groupBy("class_id").agg(*[F.first(c).alias(c) for c in ("size", "bits", "component")])
+    open_ = materialize(open_.join(outside_largest(index, settings), "class_id", "left"), "open-classes")
+    outside = open_.where("least_other is not null")
+    found = set_rows(texts.join(outside.select("class_id"), "class_id", "left_semi"), settings)
+    times = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    # As many shingles of a set come before the one at ``at`` in the order of all; what two sets have in common lies behind it in both.
+    at = F.row_number().over(Window.partitionBy("class_id").orderBy("times", "shingle")) - 1
+
+    def early(other: str) -> Column:
+        return (F.col("size") - F.col("at")) * (100 + settings.percent) >= (F.col("size") + F.col(other)) * settings.percent
+
+    placed = found.join(times, "shingle").select("class_id", "shingle", at.alias("at")).join(outside, "class_id").where(early("least_other"))
+    placed = materialize(placed.select("shingle", F.col("class_id").alias("a"), "size", "bits", "component", "at"), "early-shingles")
+    keys = materialize(placed.select("shingle").distinct(), "early-keys")
+    others = only(set_rows(texts.join(open_.select("class_id"), "class_id", "left_semi"), settings), keys, "shingle")
+    others = others.join(open_, "class_id").select(
+        "shingle",
+        F.col("class_id").alias("b"),
+        F.col("size").alias("other_size"),
+        F.col("bits").alias("other_bits"),
+        F.col("component").alias("other_component"),
+    )
+    apart = (F.col("component") != F.col("other_component")) & early("other_size") & may_link(settings)
+    met = placed.join(others.withColumnRenamed("shingle", "other_shingle"), (F.col("shingle") == F.col("other_shingle")) & apart)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """``class_id, component`` for every class that has a link to another one."""
-    index = materialize(postings(classes, settings), "postings")
-    texts = class_texts(docs, classes, index, settings)
+    index = materialize(postings(classes, settings), "postings").withColumn("component", F.col("class_id"))
+    texts = class_texts(docs, classes, index.where("place >= 0"), settings)
 
     def links(candidates: DataFrame) -> DataFrame:
         return materialize(confirmed(counted(candidates, texts, settings), texts, settings), "links")
@@ -251,19 +337,25 @@ def linked_classes(docs: DataFrame, classes: DataFrame, settings: Settings) -> D
     edges = None
     for round_ in range(settings.star_rounds):
         new = links(against_centres(index, round_, settings))
+        found = new.count()
         edges = new if edges is None else edges.unionByName(new)
         labels = components(edges).withColumnRenamed("node", "class_id")
         # The members of one component need not meet again.
         rest = index.drop("component", "n").join(labels, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        rest = rest.where("place >= 0")
         met = rest.groupBy("pair").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
         index = materialize(rest.join(met.where("low <> high").select("pair", "n"), "pair"), "open-postings")
-        meetings, rows = index.agg(F.sum((F.col("n") - 1) / 2), F.count(F.lit(1))).first()
+        large = (F.col("n") - 1) / 2 > settings.meetings_per_posting
+        rows, many = index.agg(F.count(F.lit(1)), F.count_if(large)).first()
         edges = labels.select(F.col("class_id").alias("a"), F.col("component").alias("b"))
         if not rows:
             return labels
-        if meetings <= settings.meetings_per_posting * rows:
+        if not many or found <= settings.star_share * rows:
             break
-    return components(edges.unionByName(links(across_components(index, settings)))).withColumnRenamed("node", "class_id")
+    candidates = across_small_groups(index.where(~large), settings)
+    if many:
+        candidates = candidates.unionByName(across_large_groups(index.where(large), texts, settings))
+    return components(edges.unionByName(links(candidates))).withColumnRenamed("node", "class_id")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -78,6 +78,18 @@ def test_a_group_in_which_only_the_base_is_near_all(docs):
     assert got == {i: c for i, (_, c) in expected_components(rows, 2).items()}
 
 
+def test_a_large_group_without_links_is_not_held_pair_by_pair(docs, monkeypatch):
+    """Copies with too many words of their own to be linked, without their base, meet hardly any other."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, " ".join(edited(rng, base, 0.07))) for i in range(1, 121)]
+    met, counted = [], N.counted
+    monkeypatch.setattr(N, "counted", lambda candidates, *rest: (met.append(candidates.distinct().count()), counted(candidates, *rest))[1])
+    got = N.near_duplicates(docs(rows), N.Settings(shingle=2, equal_bits=120, meetings_per_posting=0)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected_components(rows, 2)
+    assert sum(met) < 10 * len(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
