@@ -128,6 +128,26 @@ def test_many_short_vectors_go_to_tiles(spark, monkeypatch):
     assert got == brute_force(rows, rows, 4)
 
 
+def neighbours(found):
+    got = {}
+    for r in found.orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    return got
+
+
+def test_tiles_are_read_and_not_shuffled(spark, monkeypatch):
+    """Many packs on both sides, more than a task holds at once: no exchange carries vectors, and all neighbours are found."""
+    monkeypatch.setattr(knn, "PACK_ROWS", 20)
+    monkeypatch.setattr(knn, "HELD_NEIGHBOURS", 150)
+    rows = clustered(8, 210)
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    shared = knn.materialize(knn._distinct_vectors(df, 3), "shared")
+    grid = knn._tiles(shared, shared, 3, -2.0, 25)
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert neighbours(knn.nearest_neighbours(df, None, 4, scan_numbers=0, tile_rows=25)) == brute_force(rows, rows, 4)
+
+
 def test_memory_of_a_worker():
     """Fingerprints of much code and neighbours that are all alike take a bounded number of megabytes beside their inputs."""
     import tracemalloc
