@@ -148,6 +148,17 @@ def test_tiles_are_read_and_not_shuffled(spark, monkeypatch):
     assert neighbours(knn.nearest_neighbours(df, None, 4, scan_numbers=0, tile_rows=25)) == brute_force(rows, rows, 4)
 
 
+def test_queries_of_their_own_are_read_and_not_shuffled(spark, monkeypatch):
+    """The same for queries against another pool, also where all vectors have the same hash."""
+    monkeypatch.setattr(knn, "PACK_ROWS", 20)
+    monkeypatch.setattr(knn, "_key", lambda _: knn.F.lit(1).cast("long"))
+    rows, queries = clustered(9, 130), [(f"q{i}", v) for i, (_, v) in enumerate(clustered(10, 90))]
+    df, asked = (spark.createDataFrame(r, "id string, vector array<double>") for r in (rows, queries))
+    tables = [knn.materialize(knn._distinct_vectors(d, 3), "shared") for d in (asked, df)]
+    assert "Exchange" not in knn._tiles(*tables, 3, -2.0, None)._jdf.queryExecution().executedPlan().toString()
+    assert neighbours(knn.nearest_neighbours(asked, df, 3, scan_numbers=0)) == brute_force(queries, rows, 3)
+
+
 def test_memory_of_a_worker():
     """Fingerprints of much code and neighbours that are all alike take a bounded number of megabytes beside their inputs."""
     import tracemalloc
