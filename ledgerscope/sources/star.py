@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.schemas import WEI
+from ledgerscope.session import without_shuffle_files
 from ledgerscope.sources.ledger import Ledger
 
 # Fixed values of the mapping.
@@ -182,12 +183,16 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_job_events(table(spark, sf_dir, "lineitem"))
+
+
+def as_job_events(lines: DataFrame) -> DataFrame:
     """A log of job transitions: each line item moves the job of its order."""
     kind = F.element_at(
         F.create_map(F.lit("A"), F.lit("claimed"), F.lit("R"), F.lit("failed"), F.lit("N"), F.lit("done")),
         F.col("l_returnflag"),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return lines.select(
         txh(F.col("l_orderkey")).alias("tx_hash"),
         kind.alias("kind"),
         F.when(kind == "failed", F.concat(F.lit("line "), F.col("l_linenumber").cast("string"))).alias("error"),
@@ -285,8 +290,9 @@ def _landed(parts: list[DataFrame], rows: int, path: str) -> DataFrame:
     written in; so the number of batches does not depend on how the tables are split.
     """
     files = max(1, rows // LANDED_ROWS)
-    for i, part in enumerate(parts):
-        part.repartition(files).write.parquet(f"{path}/part-{i}")
+    with without_shuffle_files(parts[0].sparkSession):
+        for i, part in enumerate(parts):
+            part.repartition(files).write.parquet(f"{path}/part-{i}")
     return parts[0].sparkSession.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part-*")
 
 
@@ -313,16 +319,17 @@ def landed_events(spark: SparkSession, sf_dir: str, path: str, parts: int = 4, i
 
 
 def landed_job_events(spark: SparkSession, sf_dir: str, path: str, parts: int = 2) -> DataFrame:
-    """The job log as a stream of several batches, each a stretch of time."""
-    events = job_events(spark, sf_dir)
-    bounds = events.select(F.min("at"), F.max("at"), F.count("*")).first()
+    """The job log as a stream of several batches, each a stretch of time. What lands are the columns it is made of."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    at = F.col("l_shipdate").cast("timestamp")
+    bounds = lines.select(F.min(at), F.max(at), F.count("*")).first()
     step = (bounds[1] - bounds[0]) / parts if bounds[0] is not None else None
     landed = []
     for i in range(parts):
-        later = F.lit(True) if i == 0 or step is None else F.col("at") >= F.lit(bounds[0] + i * step)
-        earlier = F.lit(True) if i + 1 == parts or step is None else F.col("at") < F.lit(bounds[0] + (i + 1) * step)
-        landed.append(events.filter(later & earlier))
-    return _landed(landed, bounds[2] // parts, path)
+        later = F.lit(True) if i == 0 or step is None else at >= F.lit(bounds[0] + i * step)
+        earlier = F.lit(True) if i + 1 == parts or step is None else at < F.lit(bounds[0] + (i + 1) * step)
+        landed.append(lines.filter(later & earlier))
+    return as_job_events(_landed(landed, bounds[2] // parts, path))
 
 
 def event_stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame:

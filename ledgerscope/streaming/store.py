@@ -29,8 +29,11 @@ class BatchStore:
     root: str
     merge_every: int = 20
 
-    def write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch_id}")
+    def write(self, df: DataFrame, table: str, batch_id: int, more: bool = False) -> None:
+        """Write a batch; ``more`` adds to what this batch wrote before."""
+        # Hashes spelled in hexadecimal digits take half the space.
+        out = df.write.mode("append" if more else "overwrite").option("compression", "zstd")
+        out.parquet(f"{self.root}/{table}/batch={batch_id}")
 
     def create(self, spark: SparkSession, table: str, schema: T.StructType) -> None:
         """Start a table with an empty batch, so that it can be read."""
@@ -96,7 +99,7 @@ class BatchStore:
             return
         self._delete_merged(spark, table, batch_id - self.merge_every)
         rows = fold(spark.read.schema(schema).parquet(*self.merged_folders(table, batch_id)))
-        rows.select(*schema.fieldNames()).write.mode("overwrite").parquet(self.folder(table, tier, batch_id))
+        rows.select(*schema.fieldNames()).write.mode("overwrite").option("compression", "zstd").parquet(self.folder(table, tier, batch_id))
 
     def _delete_merged(self, spark: SparkSession, table: str, batch_id: int) -> None:
         """Delete the runs that went into the one written at ``batch_id``; the batches themselves stay."""

@@ -298,6 +298,30 @@ def test_job_states_count_late_transitions_and_rows_of_due_jobs(spark, tmp_path)
     assert sorted(os.listdir(tmp_path / "store" / "waiting")) == ["batch=2", "batch=3"]
 
 
+def test_job_streams_store_hashes_packed_and_once(spark, tmp_path):
+    """What lands has no hashes, the state has them as bytes, the jobs of a batch are stored once; any text is a name."""
+    from ledgerscope.streaming import jobs as SJ
+
+    names = ["0x" + "0f" * 32, "0x" + "0F" * 32, "0x" + "0f" * 31, "", "a", "\x01" + "b" * 31, "ü" * 16, "0x" + "0f" * 32 + "\n", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    packed = df.select("name", SJ.packed_hash("name").alias("packed")).select("name", "packed", SJ.unpacked_hash("packed").alias("again")).collect()
+    assert [r.again for r in packed] == names and len({r.packed for r in packed}) == len(names)
+    assert [len(r.packed) for r in packed[:3]] == [33, 67, 65]
+
+    moves = [(i % 400, i % 7, "RAN"[i % 3], START + dt.timedelta(days=i % 49)) for i in range(2000)]
+    schema = "l_orderkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame(moves, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    stream = star.landed_job_events(spark, str(tmp_path), str(tmp_path / "landed"))
+    assert "tx_hash" not in spark.read.parquet(str(tmp_path / "landed" / "part-0")).columns
+    store = BatchStore(str(tmp_path / "store"))
+    SJ.start_jobs(stream, store, str(tmp_path / "check"), availableNow=True).awaitTermination()
+    got = {tuple(r)[:-1] for r in SJ.stored_jobs(spark, store).collect()}
+    assert got == {tuple(r) for r in R.latest_job_state(star.job_events(spark, str(tmp_path))).collect()} and len(got) == 400
+    assert sorted(os.listdir(tmp_path / "store")) == ["clock", "jobs", "waiting"]
+    moved = store.read(spark, "jobs", SJ.STATES).filter("not due")
+    assert moved.count() == moved.select("tx_hash", "batch").distinct().count() > 400
+
+
 def test_batches_do_not_depend_on_how_tables_are_split(spark, tmp_path, monkeypatch):
     """Tables of many files, landed in one or several files a part, come as as many batches as parts."""
     rows = [(i, START + dt.timedelta(minutes=i), i % 5, "click", 1.0, '{"k": 1}') for i in range(400)]
