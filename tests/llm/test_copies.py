@@ -381,3 +381,18 @@ def test_pipeline_survives_odd_and_empty_rows(spark, odd, tmp_path):
         assert corpus_pipeline.run(spark, path).columns == [*columns, "epoch"]
 
 
+def test_windows_are_closed_by_one_look_at_the_passages_of_a_text(spark):
+    """Windows inside one of many overlapping passages, held against every passage in turn."""
+    settings = P.Settings(least_words=12)
+    rng = random.Random(11)
+    spans = [(k, b, b + rng.randrange(12, 60)) for k in (1, 2) for b in rng.sample(range(300), 60)]
+    new = spark.createDataFrame([(k, 0, 0, b, e, b, e) for k, b, e in spans], "key long, version long, source long, first_word int, end_word int, source_word int, source_end int")
+    reach = {r.key: r.reach for r in P.reaches(new).collect()}
+    assert reach == {k: [max([e for x, b, e in spans if x == k and b <= at], default=0) for at in range(max(b for x, b, _ in spans if x == k) + 1)] for k in (1, 2)}
+    windows = [(s, k, at, True, True) for s in range(3) for k in (0, 1, 2, 3) for at in range(0, 340, 3)]
+    found = spark.createDataFrame(windows, "shingle long, key long, at int, open boolean, source boolean")
+    sources = spark.createDataFrame([(s, 0, 0) for s in range(3)], "shingle long, source long, s_at int")
+    inside = lambda k, at, margin: any(x == k and b <= at - margin and at + margin <= e - settings.shingle for x, b, e in spans)
+    expected = {(s, k, at, not inside(k, at, 0), (k, at) > (0, 0) and not inside(k, at, settings.least - 1)) for s, k, at, _, _ in windows}
+    expected = {row for row in expected if row[3] or row[4]}
+    assert {tuple(r) for r in P.left_open(found, sources, new, settings).collect()} == expected
